@@ -11,7 +11,7 @@ from feedlens.functions.vectors import pair_similarity
 from feedlens.operators.cluster import cohesion
 from feedlens.operators.components import connected_components
 from feedlens.operators.dedup import choose_representatives
-from feedlens.session import materialise
+from feedlens.operators.number import number_rows
 
 # --- retrieval ---------------------------------------------------------------
 
@@ -297,22 +297,6 @@ def dedup_sweep(pairs: DataFrame, tickets: DataFrame, edges: DataFrame, threshol
 # --- bootstrap -----------------------------------------------------------------------
 
 
-def number_rows(df: DataFrame, order: list[str], into: str = "i") -> DataFrame:
-    """Contiguous numbers 0..n-1 in the given order, without moving all rows into one partition."""
-    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    placed = placed.withColumn("_part", F.spark_partition_id())
-    # written out once: a second run could draw other range borders
-    placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33)))
-    sizes = placed.groupBy("_part").count().orderBy("_part").collect()  # one number per partition
-    offsets, start = {}, 0
-    for row in sizes:
-        offsets[row["_part"]], start = start, start + row["count"]
-    if not offsets:
-        return placed.withColumn(into, F.lit(0).cast("bigint")).drop("_part", "_at")
-    lookup = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return placed.withColumn(into, (lookup[F.col("_part")] + F.col("_at")).cast("bigint")).drop("_part", "_at")
-
-
 def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
     """Reproducible draw from 0..n-1: the first 15 hex digits of md5('seed:replicate:slot') modulo n."""
     text = F.concat_ws(":", F.lit(seed), replicate.cast("string"), slot.cast("string"))
