@@ -83,7 +83,7 @@ def q_exact_dedup_earliest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_exact_dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.dedup_stats(_exact_members(spark, sf, "longest").withColumn("topic_", F.col("topic")), ("topic",))
+    return dedup.dedup_stats(_exact_members(spark, sf, "longest"), ("topic",))
 
 
 def q_md5_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
