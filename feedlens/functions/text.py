@@ -92,9 +92,8 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    """All character n-grams of a text of at least ``n`` characters."""
-    starts = F.sequence(F.lit(1), F.length(text) - F.lit(n - 1))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    """All character n-grams of a text, in one linear pass of overlapping look-aheads."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def ngram_clean(text: Column) -> Column:
@@ -143,9 +142,26 @@ def row_fingerprint(topic: Column, message: Column) -> Column:
     return F.md5(F.concat(F.coalesce(topic, F.lit("")), F.lit("||"), F.coalesce(message, F.lit(""))))
 
 
+def round_half_even(c: Column, digits: int) -> Column:
+    """Round the exact binary value of a double, ties to even.
+
+    ``bround`` rounds the shortest decimal text of a double, so 2.675 (in fact 2.67499...) goes
+    up. Here the distance to the tie is computed without error: the factor is small enough
+    that its products with both halves of the split number are exact.
+    """
+    x, scale = c.cast("double"), float(10**digits)
+    wide = x * 134217729.0  # 2^27 + 1 splits the 53 bits in two halves
+    high = wide - (wide - x)
+    low = x - high
+    down = F.floor(x * scale)
+    over = (high * (2.0 * scale) - (down * 2 + 1)) + low * (2.0 * scale)
+    up = (over > 0) | ((over == 0) & (F.abs(down) % 2 == 1))
+    return F.when(up, down + 1).otherwise(down) / scale
+
+
 def fixed(c: Column, digits: int) -> Column:
     """Number with a fixed count of decimals, half to even."""
-    return F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
+    return F.format_string(f"%.{digits}f", round_half_even(c, digits))
 
 
 def bullets(items: Column, empty: str = "None identified.") -> Column:

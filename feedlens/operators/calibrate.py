@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.constants import CALIBRATED_BIAS, DRIFT_ECE
-from feedlens.functions.text import fixed
+from feedlens.functions.text import fixed, round_half_even
 
 TIERS = ["Low", "Moderate", "High"]
 
@@ -116,9 +116,9 @@ def reliability_bins(records: DataFrame, num_bins: int = 5) -> DataFrame:
         "bin_index",
         "bin_range",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("count"),
-        F.coalesce(F.bround("p", 3), zero).alias("avg_confidence"),
-        F.coalesce(F.bround("y", 3), zero).alias("empirical_accuracy"),
-        F.coalesce(F.bround(F.abs(F.col("y") - F.col("p")), 3), zero).alias("calibration_gap"),
+        F.coalesce(round_half_even(F.col("p"), 3), zero).alias("avg_confidence"),
+        F.coalesce(round_half_even(F.col("y"), 3), zero).alias("empirical_accuracy"),
+        F.coalesce(round_half_even(F.abs(F.col("y") - F.col("p")), 3), zero).alias("calibration_gap"),
     )
 
 
@@ -137,9 +137,9 @@ def tier_metrics(records: DataFrame) -> DataFrame:
     return tiers.join(totals, "tier", "left").select(
         "tier",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("count"),
-        F.coalesce(F.bround("p", 1), zero).alias("avg_score"),
-        F.coalesce(F.bround("y", 3), zero).alias("empirical_success_rate"),
-        F.coalesce(F.bround("ok", 3), zero).alias("accuracy"),
+        F.coalesce(round_half_even(F.col("p"), 1), zero).alias("avg_score"),
+        F.coalesce(round_half_even(F.col("y"), 3), zero).alias("empirical_success_rate"),
+        F.coalesce(round_half_even(F.col("ok"), 3), zero).alias("accuracy"),
     )
 
 
@@ -162,10 +162,10 @@ def calibration_summary(records: DataFrame, num_bins: int = 5) -> DataFrame:
         F.col("total").alias("total_records"),
         F.col("done").alias("evaluated_records"),
         (F.col("total") - F.col("done")).alias("pending_records"),
-        F.bround("brier", 4).alias("brier_score"),
-        F.bround("ece", 4).alias("expected_calibration_error"),
-        F.bround("bias", 4).alias("calibration_bias"),
-        F.bround("accuracy", 3).alias("overall_accuracy"),
+        round_half_even(F.col("brier"), 4).alias("brier_score"),
+        round_half_even(F.col("ece"), 4).alias("expected_calibration_error"),
+        round_half_even(F.col("bias"), 4).alias("calibration_bias"),
+        round_half_even(F.col("accuracy"), 3).alias("overall_accuracy"),
         F.when(F.col("done") == 0, "INSUFFICIENT_DATA").when(F.col("ece") < DRIFT_ECE, "CALIBRATED")
         .otherwise("CALIBRATION_DRIFT").alias("status"),
     )
@@ -177,7 +177,7 @@ def calibration_report(summary: DataFrame) -> DataFrame:
     tendency = (
         F.when(F.abs(bias) < CALIBRATED_BIAS, "Well-calibrated").when(bias > 0, "Overconfident").otherwise("Underconfident")
     )
-    signed = F.format_string("%+.4f", F.bround(bias, 4))
+    signed = F.format_string("%+.4f", round_half_even(bias, 4))
     # fixed report format
     text = F.concat(
         F.lit("Historical Calibration Report (N="), F.col("evaluated_records").cast("string"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedlens.constants import (
     ASSUMPTIONS, LOWEST_TIER, MISSING, PRIORITY_OFFSET, PRIORITY_TIERS, RATIONALE, RISKS, TRADE_OFFS, WEIGHTS,
 )
-from feedlens.functions.text import clip, fill, fixed, level, rescale
+from feedlens.functions.text import clip, fill, fixed, level, rescale, round_half_even
 
 # criterion -> level taken where none can be read
 DEFAULT_LEVELS = {"effort": 3.0, "impact": 3.0, "alignment": 3.0, "cost": 1.5, "risk": 1.5}
@@ -50,7 +50,7 @@ def decide(scored: DataFrame) -> DataFrame:
     drags = WEIGHTS["effort"] * rescale(eff) + WEIGHTS["cost"] * rescale(cost) + WEIGHTS["risk"] * rescale(risk)
     base = base.withColumns({"gains": gains, "drags": drags})
     net = clip(F.col("gains") - F.col("drags") + PRIORITY_OFFSET, 0.0, 100.0)
-    base = base.withColumn("priority_score", F.bround(net, 0).cast("int"))
+    base = base.withColumn("priority_score", round_half_even(net, 0).cast("int"))
 
     pri = F.col("priority_score")
     shown = {
@@ -90,7 +90,7 @@ def decide(scored: DataFrame) -> DataFrame:
         F.col("ruling.recommendation").alias("recommendation"),
         "priority_score",
         priority_tier(pri).alias("decision_tier"),
-        F.bround(ev, 0).cast("int").alias("evidence_score"),
+        round_half_even(ev, 0).cast("int").alias("evidence_score"),
         F.col("ruling.rationale").alias("rationale"),
         _lines(
             (True, ASSUMPTIONS["effort"]), (True, ASSUMPTIONS["impact"]),
@@ -106,13 +106,13 @@ def decide(scored: DataFrame) -> DataFrame:
             (size_known_small, MISSING["sample"]), (True, MISSING["spec"]),
         ).alias("missing_information"),
         F.struct(
-            F.bround(ev, 1).alias("evidence_score"),
+            round_half_even(ev, 1).alias("evidence_score"),
             eff.alias("engineering_effort_level"),
             imp.alias("business_impact_level"),
             align.alias("strategic_alignment_level"),
             cost.alias("cost_level"),
             risk.alias("risk_level"),
-            F.bround("gains", 2).alias("raw_benefits"),
-            F.bround("drags", 2).alias("raw_frictions"),
+            round_half_even(F.col("gains"), 2).alias("raw_benefits"),
+            round_half_even(F.col("drags"), 2).alias("raw_frictions"),
         ).alias("criteria_breakdown"),
     )

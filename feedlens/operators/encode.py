@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from feedlens.constants import NORM_TOLERANCE
 from feedlens.functions import vectors as V
-from feedlens.functions.text import is_blank, words
+from feedlens.functions.text import is_blank, round_half_even, words
 
 NUM_FEATURES = 1 << 18
 _HEX = 8  # hex digits of the token digest that pick the feature
@@ -127,8 +127,8 @@ def norm_audit(vectors: DataFrame, vec: str = "embedding", tolerance: float = NO
     return vectors.select(length.alias("n")).agg(
         F.count("n").alias("vectors"),
         F.coalesce(F.sum((F.abs(F.col("n") - 1.0) > tolerance).cast("bigint")), F.lit(0)).alias("norm_violations"),
-        F.bround(F.min("n"), 6).alias("min_norm"),
-        F.bround(F.max("n"), 6).alias("max_norm"),
+        round_half_even(F.min("n"), 6).alias("min_norm"),
+        round_half_even(F.max("n"), 6).alias("max_norm"),
     )
 
 

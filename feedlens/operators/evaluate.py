@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.constants import CANDIDATE_FILTERS, EVIDENCE_THRESHOLD, GENERIC_WORDS, WS
-from feedlens.functions.text import ngram_jaccard, same_topic, strip, token_jaccard
+from feedlens.functions.text import ngram_jaccard, round_half_even, same_topic, strip, token_jaccard
 from feedlens.functions.vectors import pair_similarity
 from feedlens.operators.cluster import cohesion
 from feedlens.operators.components import connected_components
@@ -60,10 +60,10 @@ def ir_macro(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Means over queries, optionally per encoder or dataset."""
     return per_query.groupBy(*by).agg(
         F.count("*").alias("queries_evaluated"),
-        F.bround(F.avg("precision_at_k"), 4).alias("precision_at_k"),
-        F.bround(F.avg("recall_at_k"), 4).alias("recall_at_k"),
-        F.bround(F.avg("reciprocal_rank"), 4).alias("mrr"),
-        F.bround(F.avg("average_precision"), 4).alias("map"),
+        round_half_even(F.avg("precision_at_k"), 4).alias("precision_at_k"),
+        round_half_even(F.avg("recall_at_k"), 4).alias("recall_at_k"),
+        round_half_even(F.avg("reciprocal_rank"), 4).alias("mrr"),
+        round_half_even(F.avg("average_precision"), 4).alias("map"),
     )
 
 
@@ -76,7 +76,7 @@ def negative_controls(queries: DataFrame, ranked: DataFrame, threshold: float =
     passed = F.coalesce("passed", F.lit(0)).cast("bigint")
     return joined.select(
         query,
-        F.coalesce(F.bround("top", 4), F.lit(0.0)).alias("top_similarity_score"),
+        F.coalesce(round_half_even(F.col("top"), 4), F.lit(0.0)).alias("top_similarity_score"),
         passed.alias("false_positives_above_evidence_threshold"),
         (passed == 0).alias("properly_rejected"),
     )
@@ -107,11 +107,11 @@ def confusion(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rated.select(
         *by, tp, fp, fn, tn,
         (tp + fp + fn + tn).alias("total_annotated_pairs"),
-        F.bround(prec, 4).alias("precision"),
-        F.bround(rec, 4).alias("recall"),
-        F.bround(_ratio(tn, tn + fp, 1.0), 4).alias("specificity"),
-        F.bround(_ratio(2 * prec * rec, prec + rec, 0.0), 4).alias("f1_score"),
-        F.bround(_ratio(tp + tn, tp + tn + fp + fn, 1.0), 4).alias("accuracy"),
+        round_half_even(prec, 4).alias("precision"),
+        round_half_even(rec, 4).alias("recall"),
+        round_half_even(_ratio(tn, tn + fp, 1.0), 4).alias("specificity"),
+        round_half_even(_ratio(2 * prec * rec, prec + rec, 0.0), 4).alias("f1_score"),
+        round_half_even(_ratio(tp + tn, tp + tn + fp + fn, 1.0), 4).alias("accuracy"),
     )
 
 
@@ -136,8 +136,8 @@ def detected_vs_truth(detected: DataFrame, truth: DataFrame) -> DataFrame:
     rated = counts.withColumns({"_p": _ratio(tp, tp + fp, nothing), "_r": _ratio(tp, tp + fn, 1.0)})
     prec, rec = F.col("_p"), F.col("_r")
     return rated.select(
-        F.bround(prec, 4).alias("precision"), F.bround(rec, 4).alias("recall"),
-        F.bround(_ratio(2 * prec * rec, prec + rec, 0.0), 4).alias("f1_score"),
+        round_half_even(prec, 4).alias("precision"), round_half_even(rec, 4).alias("recall"),
+        round_half_even(_ratio(2 * prec * rec, prec + rec, 0.0), 4).alias("f1_score"),
         tp, fp, fn,
         (tp + fp).alias("detected_pairs_count"), (tp + fn).alias("ground_truth_pairs_count"),
     )
@@ -265,10 +265,10 @@ def gate_sweep_queries(queries: DataFrame, hits: DataFrame, thresholds: list[flo
 def gate_sweep(per_query: DataFrame) -> DataFrame:
     """Means over queries per gate value."""
     return per_query.groupBy("threshold").agg(
-        F.bround(F.avg("precision"), 4).alias("precision"),
-        F.bround(F.avg("recall"), 4).alias("recall"),
-        F.bround(F.avg("f1_score"), 4).alias("f1_score"),
-        F.bround(F.avg("retention"), 4).alias("average_retention_rate"),
+        round_half_even(F.avg("precision"), 4).alias("precision"),
+        round_half_even(F.avg("recall"), 4).alias("recall"),
+        round_half_even(F.avg("f1_score"), 4).alias("f1_score"),
+        round_half_even(F.avg("retention"), 4).alias("average_retention_rate"),
         F.count("*").alias("queries_evaluated"),
     )
 
@@ -324,8 +324,8 @@ def bootstrap_ci(values: DataFrame, value: str, order: list[str], replicates: in
     means = drawn.join(numbered.select("i", F.col(value).alias("v")), "i").groupBy("replicate").agg(F.avg("v").alias("mean"))
     return means.agg(
         F.lit(n).cast("bigint").alias("n"),
-        F.bround(F.percentile("mean", F.lit(tail)), 4).alias("ci_lower"),
-        F.bround(F.percentile("mean", F.lit(1.0 - tail)), 4).alias("ci_upper"),
+        round_half_even(F.percentile("mean", F.lit(tail)), 4).alias("ci_lower"),
+        round_half_even(F.percentile("mean", F.lit(1.0 - tail)), 4).alias("ci_upper"),
     )
 
 
@@ -339,7 +339,7 @@ def cluster_quality(rows: DataFrame, label: str = "cluster_id", vec: str = "embe
 
     per_cluster = cohesion(rows, [label], vec)
     summary = per_cluster.agg(
-        F.bround(F.avg("cohesion"), 4).alias("intra_cluster_coherence"),
+        round_half_even(F.avg("cohesion"), 4).alias("intra_cluster_coherence"),
         F.count("*").alias("total_clusters"), F.sum("size").alias("n"),
     )
     row = summary.first()
@@ -351,4 +351,4 @@ def cluster_quality(rows: DataFrame, label: str = "cluster_id", vec: str = "embe
         )
         score = ClusteringEvaluator(distanceMeasure="cosine").evaluate(ready)
     value = F.lit(score).cast("double")
-    return summary.select(F.bround(value, 4).alias("silhouette_score"), "intra_cluster_coherence", "total_clusters")
+    return summary.select(round_half_even(value, 4).alias("silhouette_score"), "intra_cluster_coherence", "total_clusters")

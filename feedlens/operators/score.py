@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.constants import SINGLE_TICKET_CAP, TWO_TICKET_CAP
-from feedlens.functions.text import clip, is_severe, parse_time, strip
+from feedlens.functions.text import clip, is_severe, parse_time, round_half_even, strip
 
 FACTORS = ["ticket_volume", "severity", "sentiment_consistency", "recency", "diversity"]
 
@@ -63,7 +63,7 @@ def factor_points(evidence: DataFrame, by: str = "proposal_id") -> DataFrame:
         F.least(F.lit(20.0), F.col("severe") * 4.0).alias("severity"),
         (detail * mean).alias("sentiment_consistency"),
         (F.when(F.col("dated"), 15.0).otherwise(10.0) * mean).alias("recency"),
-        F.bround(distinct / F.col("n") * 10.0 * mean, 1).alias("diversity"),
+        round_half_even(distinct / F.col("n") * 10.0 * mean, 1).alias("diversity"),
     )
 
 
@@ -79,7 +79,7 @@ def score_evidence(proposals: DataFrame, evidence: DataFrame, retrieved: DataFra
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     found = F.coalesce(F.col("retrieved"), n) if retrieved is not None else n
     points = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in FACTORS}
-    total = F.bround(sum(points[f] for f in ("ticket_volume", "sentiment_consistency", "severity", "recency", "diversity")), 0)
+    total = round_half_even(sum(points[f] for f in ("ticket_volume", "sentiment_consistency", "severity", "recency", "diversity")), 0)
     score = F.greatest(F.lit(0), F.least(total.cast("int"), score_cap(n)))
     return joined.select(
         "proposal_id",
@@ -89,8 +89,8 @@ def score_evidence(proposals: DataFrame, evidence: DataFrame, retrieved: DataFra
             n.alias("validated_tickets"),
             found.cast("bigint").alias("retrieved_tickets"),
             F.greatest(F.lit(0).cast("bigint"), found - n).alias("rejected_tickets"),
-            F.bround(F.coalesce(F.col("mean_similarity"), F.lit(0.0)), 2).alias("average_similarity"),
+            round_half_even(F.coalesce(F.col("mean_similarity"), F.lit(0.0)), 2).alias("average_similarity"),
             sample_size(n).alias("sample_size"),
         ).alias("evidence_summary"),
-        F.struct(*[F.bround(points[f], 1).alias(f) for f in FACTORS]).alias("factors"),
+        F.struct(*[round_half_even(points[f], 1).alias(f) for f in FACTORS]).alias("factors"),
     )

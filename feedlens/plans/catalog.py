@@ -196,7 +196,7 @@ def q_cluster_cohesion(spark: SparkSession, sf: str) -> DataFrame:
 def q_cluster_stats(spark: SparkSession, sf: str) -> DataFrame:
     sizes = tables.vectors(spark, sf).groupBy("label").agg(F.count("*").alias("size"))
     return sizes.agg(
-        F.count("*").alias("total_clusters"), F.bround(F.avg("size"), 2).alias("average_cluster_size"),
+        F.count("*").alias("total_clusters"), T.round_half_even(F.avg("size"), 2).alias("average_cluster_size"),
         F.max("size").alias("largest"), F.min("size").alias("smallest"),
     )
 
@@ -439,8 +439,8 @@ def q_cluster_sweep(spark: SparkSession, sf: str) -> DataFrame:
     cuts = cluster.cluster_groups(found, CLUSTER_SWEEP)
     per_cluster = cuts.groupBy("cut", "proposal_id", "cluster_id").agg(F.count("*").alias("size"), F.first("cohesion").alias("cohesion"))
     return per_cluster.groupBy(F.col("cut").alias("distance_threshold")).agg(
-        F.count("*").alias("total_clusters"), F.bround(F.avg("size"), 2).alias("average_cluster_size"),
-        F.bround(F.avg("cohesion"), 4).alias("intra_cluster_coherence"),
+        F.count("*").alias("total_clusters"), T.round_half_even(F.avg("size"), 2).alias("average_cluster_size"),
+        T.round_half_even(F.avg("cohesion"), 4).alias("intra_cluster_coherence"),
     )
 
 

@@ -41,7 +41,20 @@ def dot(a: str, b: str) -> str:
 
 
 def fixed(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', round_even({x}, {digits}))"
+    return f"printf('%.{digits}f', CAST({x} AS DOUBLE))"
+
+
+def exact_rounding(sql: str) -> str:
+    """Replace round_even(x, n) by printing: that rounds the exact binary value, ties to even."""
+    while (at := sql.find("round_even(")) >= 0:
+        depth, i, comma = 1, at + len("round_even("), 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            comma = i if sql[i] == "," and depth == 1 else comma
+            i += 1
+        value, digits = sql[at + len("round_even(") : comma], sql[comma + 1 : i - 1].strip()
+        sql = f"{sql[:at]}CAST(printf('%.{digits}f', CAST({value} AS DOUBLE)) AS DOUBLE){sql[i:]}"
+    return sql
 
 
 TICKETS = """
@@ -119,7 +132,7 @@ SUMMARY = (
 def level_of(id: str, shift: int) -> str:
     names = "[" + ", ".join(f"'{c}'" for c in CRITERIA) + "]"
     name = f"{names}[(({id}) + {shift}) % 5 + 1]"
-    return f"(CASE {name} WHEN 'Low' THEN 1.5 WHEN 'Medium' THEN 3.0 WHEN 'High' THEN 4.5 ELSE 5.0 END)"
+    return f"(CASE {name} WHEN 'Low' THEN 1.5::DOUBLE WHEN 'Medium' THEN 3.0 WHEN 'High' THEN 4.5 ELSE 5.0 END)"
 
 
 def decided(source: str) -> str:
@@ -134,8 +147,8 @@ def decided(source: str) -> str:
       WHEN 'spike' THEN 'PROTOTYPE_OR_SPIKE' WHEN 'build' THEN 'PROCEED_TO_BUILD' WHEN 'favorable' THEN 'PROCEED_TO_BUILD'
       WHEN 'borderline' THEN 'VALIDATE_FURTHER' ELSE 'DEPRIORITIZE' END"""
     return f"""
-d0 AS (SELECT *, (0.35 * ev + 0.30 * ((imp - 1) / 4 * 100) + 0.15 * ((ali - 1) / 4 * 100)) AS gains,
-         (0.10 * ((eff - 1) / 4 * 100) + 0.05 * ((cost - 1) / 4 * 100) + 0.05 * ((risk - 1) / 4 * 100)) AS drags FROM {source}),
+d0 AS (SELECT *, (0.35::DOUBLE * ev + 0.30::DOUBLE * ((imp - 1) / 4 * 100) + 0.15::DOUBLE * ((ali - 1) / 4 * 100)) AS gains,
+         (0.10::DOUBLE * ((eff - 1) / 4 * 100) + 0.05::DOUBLE * ((cost - 1) / 4 * 100) + 0.05::DOUBLE * ((risk - 1) / 4 * 100)) AS drags FROM {source}),
 d1 AS (SELECT *, CAST(round_even(greatest(0.0, least(100.0, gains - drags + 20.0)), 0) AS BIGINT) AS pri FROM d0),
 d2 AS (SELECT *, {rule} AS rule FROM d1),
 dc AS (SELECT *, {action} AS recommendation, CASE WHEN pri >= 80 THEN 'Top Priority' WHEN pri >= 60 THEN 'Strong Candidate'
@@ -255,7 +268,7 @@ def clean(x: str) -> str:
 
 
 def grams(x: str) -> str:
-    return f"list_transform(range(1, length({x}) - 1), i -> substr({x}, i, 3))"
+    return f"list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))"
 
 
 TRIGRAM = f"""(SELECT ticket_a, ticket_b, CASE WHEN length(ca) < 3 OR length(cb) < 3 THEN CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END
@@ -300,7 +313,7 @@ ir{suffix} AS (SELECT vec_id AS query_id, count(rank) AS retrieved_count, count(
 
 
 VE = "ve AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
-VEH = """veh AS (SELECT vec_id, label, list_transform(h, z -> z / sqrt(list_dot_product(h, h))) AS embedding
+VEH = """veh AS (SELECT vec_id, label, list_transform(h, lambda z: z / sqrt(list_dot_product(h, h))) AS embedding
   FROM (SELECT vec_id, label, CAST(list_slice(embedding, 1, 32) AS DOUBLE[]) AS h FROM embeddings))"""
 MACRO = """count(*) AS queries_evaluated, round_even(avg(precision_at_k), 4) AS precision_at_k, round_even(avg(recall_at_k), 4) AS recall_at_k,
   round_even(avg(reciprocal_rank), 4) AS mrr, round_even(avg(average_precision), 4) AS map"""
@@ -371,7 +384,7 @@ ORACLE: dict[str, str] = {
       WHERE text_hash NOT IN (SELECT text_hash FROM h JOIN labels ON doc_id = pos) GROUP BY 2""",
     "q_vector_norm_audit": f"""SELECT count(*) AS vectors, count(*) FILTER (abs(n - 1) > 1e-5) AS norm_violations, round_even(min(n), 6) AS min_norm,
       round_even(max(n), 6) AS max_norm FROM (SELECT sqrt({dot('embedding', 'embedding')}) AS n FROM embeddings)""",
-    "q_topk_vectors": f"""WITH {SUMS}, ce2 AS (SELECT label AS pid, list_transform(total, z -> z / sqrt(list_dot_product(total, total))) AS c FROM su),
+    "q_topk_vectors": f"""WITH {SUMS}, ce2 AS (SELECT label AS pid, list_transform(total, lambda z: z / sqrt(list_dot_product(total, total))) AS c FROM su),
       r AS ({topk(f"SELECT pid, vec_id AS pos, round({dot('c', 'embedding')}, 9) AS s FROM ce2 CROSS JOIN embeddings", 5)})
       SELECT CAST(pid AS BIGINT) AS proposal_id, rank, CAST(pos AS VARCHAR) AS ticket_id, round(s, 6) AS similarity FROM r""",
     "q_tfidf_topk": f"WITH {EVIDENCE} SELECT pid AS proposal_id, rank, CAST(pos AS VARCHAR) AS ticket_id, round(s, 6) AS similarity FROM ev",
@@ -450,7 +463,7 @@ ORACLE: dict[str, str] = {
     "q_error_causes": f"""{SEMANTIC_MEMBERS}, {PAIR_TEXTS}, {JUDGED}, {PAIR_COSINE},
       er AS (SELECT ticket_a, ticket_b, predicted, cosine AS s, length({strip('ma')}) < 30 OR length({strip('mb')}) < 30 AS short,
         len(list_filter(list_intersect(regexp_split_to_array(lower({strip('ma')}), '{K.WS}+'), regexp_split_to_array(lower({strip('mb')}), '{K.WS}+')),
-          z -> NOT list_contains([{', '.join(q(w) for w in K.GENERIC_WORDS)}], z))) AS telling
+          lambda z: NOT list_contains([{', '.join(q(w) for w in K.GENERIC_WORDS)}], z))) AS telling
         FROM judged JOIN pt USING (ticket_a, ticket_b) JOIN pc USING (ticket_a, ticket_b) WHERE judged.is_duplicate <> predicted)
       SELECT ticket_a, ticket_b, CASE WHEN predicted THEN 'FALSE_POSITIVE' ELSE 'FALSE_NEGATIVE' END AS error_type,
       CASE WHEN predicted THEN CASE WHEN s >= 0.85 AND s < 0.85::DOUBLE + 0.05::DOUBLE THEN 'threshold_too_low' WHEN short THEN 'short_message'
@@ -482,3 +495,5 @@ ORACLE: dict[str, str] = {
       me AS (SELECT r, avg(value) AS m FROM dr JOIN v USING (i) GROUP BY 1)
       SELECT (SELECT n FROM n) AS n, round_even(quantile_cont(m, 0.025), 4) AS ci_lower, round_even(quantile_cont(m, 0.975), 4) AS ci_upper FROM me""",
 }
+
+ORACLE = {name: exact_rounding(sql) for name, sql in ORACLE.items()}
