@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from feedlens.constants import NORM_TOLERANCE
 from feedlens.functions import vectors as V
 from feedlens.functions.text import is_blank, round_half_even, words
+from feedlens.session import spread
 
 NUM_FEATURES = 1 << 18
 _HEX = 8  # hex digits of the token digest that pick the feature
@@ -66,12 +67,6 @@ class TextEncoder:
         return spread(df).withColumn(into, self.column(text))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than cores one partition per core; larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fit_text_encoder(texts: DataFrame, text: Column | str, num_features: int = NUM_FEATURES) -> TextEncoder:
     """Count texts per feature. At most ``num_features`` + 1 rows leave each task and reach the driver."""
     text = F.col(text) if isinstance(text, str) else text

@@ -147,8 +147,13 @@ def detected_vs_truth(detected: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def annotate_pairs(pairs: DataFrame, tickets: DataFrame, columns: list[str], id: str = "ticket_id") -> DataFrame:
-    """Annotated pairs with the columns of both tickets as ``<name>_a`` and ``<name>_b``; unknown ids give nulls."""
-    out = pairs
+    """Annotated pairs with the columns of both tickets as ``<name>_a`` and ``<name>_b``; unknown ids give nulls.
+
+    The narrow pair rows are spread by both ids first: heavy text work per pair then uses all
+    cores, also where one ticket occurs in very many pairs.
+    """
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = pairs.repartition(width, "ticket_a", "ticket_b")
     for side in ("a", "b"):
         part = tickets.select(F.col(id).alias(f"ticket_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
         out = out.join(part, f"ticket_{side}", "left")
@@ -278,7 +283,7 @@ def dedup_sweep(pairs: DataFrame, tickets: DataFrame, edges: DataFrame, threshol
 
     ``edges`` are similarity edges ``(a, b, similarity)`` between positions, complete or a
     maximum spanning forest, at or above the lowest threshold; exact edges have similarity 1.
-    ``tickets`` is ``(pos, ticket_id, message, key)``. All thresholds share one components run.
+    ``tickets`` is ``(pos, ticket_id, key, chars)``. All thresholds share one components run.
     """
     steps = _thresholds(edges.sparkSession, thresholds)
     linked = edges.crossJoin(steps).where(F.col("similarity") >= F.col("threshold"))

@@ -158,7 +158,10 @@ def dense_pairs(
 
 
 def _prefixes(rows: DataFrame, encoder: TextEncoder, threshold: float) -> DataFrame:
-    """``(id, f, w, rest)``: prefix features, rarest first, with the norm of what follows each."""
+    """``(id, f, w, rest, tail)``: prefix features, rarest first.
+
+    ``rest`` is the norm of what follows the feature, ``tail`` of what follows the whole prefix.
+    """
     counts = encoder.counts
 
     def scan(batches):
@@ -172,12 +175,15 @@ def _prefixes(rows: DataFrame, encoder: TextEncoder, threshold: float) -> DataFr
             rest = np.sqrt(np.maximum(ahead[v.offsets[1:]][owner] - ahead[1:], 0.0))
             before = np.sqrt(np.maximum(rest**2 + square, 0.0))
             keep = before >= threshold - 1e-6
+            tail = np.full(v.n, np.inf)
+            np.minimum.at(tail, owner[keep], rest[keep])
             ids = batch.column("id").take(pa.array(owner[keep]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(idx[keep], pa.int32()), pa.array(w[keep]), pa.array(rest[keep])], ["id", "f", "w", "rest"]
+                [ids, pa.array(idx[keep], pa.int32()), pa.array(w[keep]), pa.array(rest[keep]), pa.array(tail[owner[keep]])],
+                ["id", "f", "w", "rest", "tail"],
             )
 
-    return rows.mapInArrow(scan, "id bigint, f int, w double, rest double")
+    return rows.mapInArrow(scan, "id bigint, f int, w double, rest double, tail double")
 
 
 def sparse_pairs(
@@ -192,9 +198,11 @@ def sparse_pairs(
 ) -> DataFrame:
     """``(a, b, similarity)`` with a < b for sparse unit vectors of a text encoder.
 
-    Features in at most ``hot_feature`` prefixes join by id with an upper bound on the
-    similarity (weights at the shared feature plus the norms of what follows); survivors are
-    verified against the full vectors. More frequent ones are matched in cells.
+    Features in at most ``hot_feature`` prefixes join by id. A pair that shares prefix features
+    adds up their products; every other common feature follows the last shared one in both
+    vectors and the whole prefix in one of them, which bounds what is missing. Few pairs pass
+    that bound and are verified against the full vectors. Pairs that share a more frequent
+    prefix feature are matched completely in cells.
     """
     if threshold <= 0:
         raise ValueError("the prefix bound needs a threshold above 0")
@@ -206,9 +214,14 @@ def sparse_pairs(
     common = prefixes.join(frequent, "f", "left_anti") if has_hot else prefixes
 
     x, y = common.alias("x"), common.alias("y")
-    bound = F.col("x.w") * F.col("y.w") + F.col("x.rest") * F.col("y.rest")
-    near = (F.col("x.f") == F.col("y.f")) & (F.col("x.id") < F.col("y.id")) & (bound >= threshold - 1e-6)
-    candidates = x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    met = x.join(y, (F.col("x.f") == F.col("y.f")) & (F.col("x.id") < F.col("y.id")))
+    shared = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.sum(F.col("x.w") * F.col("y.w")).alias("part"),
+        F.min("x.rest").alias("rest_a"), F.min("y.rest").alias("rest_b"),
+        F.min("x.tail").alias("tail_a"), F.min("y.tail").alias("tail_b"),
+    )
+    missing = F.greatest(F.col("tail_a") * F.col("rest_b"), F.col("rest_a") * F.col("tail_b"))
+    candidates = shared.where(F.col("part") + missing >= threshold - 1e-6).select("a", "b")
     left = rows.select(F.col("id").alias("a"), F.col("vec").alias("va"))
     right = rows.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
     checked = candidates.join(left, "a").join(right, "b")

@@ -17,10 +17,10 @@ GATES = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
 
 
 def _text_edges(encoder):
-    """Similarity edges of canonical tickets, as a spanning forest."""
+    """Similarity edges of ticket vectors, as a spanning forest."""
 
-    def edges(canonical: DataFrame, threshold: float) -> DataFrame:
-        return pairs.sparse_pairs(pipelines.encode_tickets(canonical, encoder), encoder, threshold, forest=True)
+    def edges(vectors: DataFrame, threshold: float) -> DataFrame:
+        return pairs.sparse_pairs(vectors, encoder, threshold, forest=True)
 
     return edges
 
@@ -162,7 +162,8 @@ def q_trigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _semantic_members(spark, sf, strategy: str = "longest") -> DataFrame:
     fitted = tables.encoder(spark, sf)
-    rows = dedup.corpus_components(tables.tickets(spark, sf), _text_edges(fitted))
+    rows = pipelines.encode_tickets(tables.tickets(spark, sf), fitted)
+    rows = dedup.corpus_components(rows, _text_edges(fitted))
     return dedup.choose_representatives(rows, strategy)
 
 
@@ -424,11 +425,12 @@ def q_dedup_sweep(spark: SparkSession, sf: str) -> DataFrame:
     fitted = tables.encoder(spark, sf)
     keyed = dedup.exact_components(tables.tickets(spark, sf))
     exact = keyed.where("component <> pos").select(F.col("component").alias("a"), F.col("pos").alias("b"), F.lit(1.0).alias("similarity"))
-    rows = tables.tickets(spark, sf)
-    text = T.embedding_text(F.col("topic"), F.col("message"))
-    first = rows.groupBy(F.md5(text)).agg(F.min("pos").alias("pos"))
-    alike = _text_edges(fitted)(rows.join(first.select("pos"), "pos", "left_semi"), min(DEDUP_SWEEP))
-    members = keyed.select("pos", "ticket_id", "message", "key")
+    rows = pipelines.encode_tickets(tables.tickets(spark, sf), fitted)
+    # tickets with equal keys are linked already: among equal texts only the first needs a vector
+    text = F.md5(T.embedding_text(F.col("topic"), F.col("message")))
+    first = tables.tickets(spark, sf).groupBy(text).agg(F.min("pos").alias("pos"))
+    alike = _text_edges(fitted)(rows.select("pos", "vec").join(first.select("pos"), "pos", "left_semi"), min(DEDUP_SWEEP))
+    members = keyed.select("pos", "ticket_id", "key", "chars")
     return evaluate.dedup_sweep(tables.annotated_pairs(spark, sf), members, exact.unionByName(alike), DEDUP_SWEEP)
 
 

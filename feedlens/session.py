@@ -36,3 +36,16 @@ def materialise(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="feedlens-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+SMALL_INPUT = 512 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for a small input before heavy row work; large inputs stay as they are.
+
+    A small file is one scan partition and would keep a single core busy. The decision uses the
+    optimizer's size estimate only, nothing runs.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
