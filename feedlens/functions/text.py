@@ -121,7 +121,8 @@ def level(c: Column, default: float) -> Column:
     text = F.lower(strip(c.cast("string")))
     named = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
     number = text.try_cast("double")
-    number = F.when(~F.isnan(number), F.least(F.lit(5.0), F.greatest(F.lit(1.0), number)))
+    # least and greatest skip nulls, so an unreadable number must not reach them
+    number = F.when(number.isNotNull() & ~F.isnan(number), clip(number, 1.0, 5.0))
     return F.coalesce(F.try_element_at(named, text), number, F.lit(default))
 
 

@@ -84,6 +84,12 @@ def _p() -> Column:
     return F.col("predicted_score") / F.lit(100.0)
 
 
+def _mean_p() -> Column:
+    """Mean probability; whole scores are summed exactly, so the order of rows cannot matter."""
+    known = F.when(F.col("actual_outcome").isNotNull(), F.col("predicted_score"))
+    return F.sum(known) / (F.count(known) * F.lit(100.0))
+
+
 def _edges(num_bins: int) -> list[float]:
     return [i * (1.0 / num_bins) for i in range(num_bins)] + [1.0]
 
@@ -100,7 +106,7 @@ def bin_index(p: Column, num_bins: int) -> Column:
 def _bin_totals(records: DataFrame, num_bins: int) -> DataFrame:
     done = records.where("actual_outcome is not null")
     return done.groupBy(bin_index(_p(), num_bins).alias("bin_index")).agg(
-        F.count("*").alias("n"), F.avg(_p()).alias("p"), F.avg("actual_outcome").alias("y")
+        F.count("*").alias("n"), _mean_p().alias("p"), F.avg("actual_outcome").alias("y")
     )
 
 
@@ -130,7 +136,7 @@ def tier_metrics(records: DataFrame) -> DataFrame:
     """Low, Moderate and High with zeros where a tier is empty; other tier names appear nowhere."""
     done = records.where("actual_outcome is not null")
     totals = done.groupBy(F.col("predicted_confidence").alias("tier")).agg(
-        F.count("*").alias("n"), F.avg(_p() * 100).alias("p"), F.avg("actual_outcome").alias("y"), F.avg(_correct()).alias("ok")
+        F.count("*").alias("n"), F.avg("predicted_score").alias("p"), F.avg("actual_outcome").alias("y"), F.avg(_correct()).alias("ok")
     )
     tiers = records.sparkSession.createDataFrame([(t,) for t in TIERS], "tier string")
     zero = F.lit(0.0)
@@ -152,7 +158,7 @@ def calibration_summary(records: DataFrame, num_bins: int = 5) -> DataFrame:
         F.count("actual_outcome").alias("done"),
         F.avg(F.when(known, F.pow(p - y, 2))).alias("brier"),
         F.avg(F.when(known, _correct())).alias("accuracy"),
-        (F.avg(F.when(known, p)) - F.avg("actual_outcome")).alias("bias"),
+        (_mean_p() - F.avg("actual_outcome")).alias("bias"),
     )
     inside = _bin_totals(records, num_bins).where("bin_index is not null")
     gaps = inside.agg(F.sum(F.col("n") * F.abs(F.col("y") - F.col("p"))).alias("gap"))

@@ -328,10 +328,10 @@ re AS (SELECT doc_id AS record_id, n_chars % 101 AS score, (n_chars % 101) / 100
    CASE WHEN n_chars % 101 < 40 THEN 'Low' WHEN n_chars % 101 < 70 THEN 'Moderate' ELSE 'High' END AS tier
    FROM documents LEFT JOIN lo ON record_id = doc_id)"""
 BINS = """bi AS (SELECT i, i * (1.0::DOUBLE / 5) AS lo, CASE WHEN i = 4 THEN 1.0::DOUBLE ELSE (i + 1) * (1.0::DOUBLE / 5) END AS hi FROM range(5) g(i)),
-bt AS (SELECT i, lo, hi, count(y) AS n, avg(p) FILTER (y IS NOT NULL) AS p, avg(y) AS y
+bt AS (SELECT i, lo, hi, count(y) AS n, sum(score) FILTER (y IS NOT NULL) / (count(y) * 100.0::DOUBLE) AS p, avg(y) AS y
    FROM bi LEFT JOIN re ON y IS NOT NULL AND p >= lo AND (p < hi OR (i = 4 AND p <= hi)) GROUP BY 1, 2, 3)"""
 CALIB = f"""{RECORDS}, {BINS}, ca AS (SELECT count(*) AS total_records, count(y) AS evaluated_records, count(*) - count(y) AS pending_records,
-   avg((p - y) * (p - y)) AS brier, (SELECT sum(n * abs(y - p)) FROM bt) / count(y) AS ece, avg(p) FILTER (y IS NOT NULL) - avg(y) AS bias,
+   avg((p - y) * (p - y)) AS brier, (SELECT sum(n * abs(y - p)) FROM bt) / count(y) AS ece, sum(score) FILTER (y IS NOT NULL) / (count(y) * 100.0::DOUBLE) - avg(y) AS bias,
    avg(CAST((p >= 0.5) = (y >= 0.5) AS INT)) FILTER (y IS NOT NULL) AS accuracy FROM re),
 cs AS (SELECT total_records, evaluated_records, pending_records, round_even(brier, 4) AS brier_score, round_even(ece, 4) AS expected_calibration_error,
    round_even(bias, 4) AS calibration_bias, round_even(accuracy, 3) AS overall_accuracy,
@@ -436,7 +436,7 @@ ORACLE: dict[str, str] = {
     "q_calib_bins": f"""WITH {RECORDS}, {BINS} SELECT i AS bin_index, {fixed('lo', 2)} || ' - ' || {fixed('hi', 2)} AS bin_range, n AS count,
       coalesce(round_even(p, 3), 0.0) AS avg_confidence, coalesce(round_even(y, 3), 0.0) AS empirical_accuracy,
       coalesce(round_even(abs(y - p), 3), 0.0) AS calibration_gap FROM bt""",
-    "q_calib_tiers": f"""WITH {RECORDS} SELECT z.tier, count(y) AS count, coalesce(round_even(avg(p * 100), 1), 0.0) AS avg_score,
+    "q_calib_tiers": f"""WITH {RECORDS} SELECT z.tier, count(y) AS count, coalesce(round_even(avg(score), 1), 0.0) AS avg_score,
       coalesce(round_even(avg(y), 3), 0.0) AS empirical_success_rate, coalesce(round_even(avg(CAST((p >= 0.5) = (y >= 0.5) AS INT)), 3), 0.0) AS accuracy
       FROM (VALUES ('Low'), ('Moderate'), ('High')) z(tier) LEFT JOIN re ON re.tier = z.tier AND y IS NOT NULL GROUP BY 1""",
     "q_ir_metrics": f"""WITH {SIZES}, {VE}, {ranked(5)} SELECT query_id, retrieved_count, relevant_in_top_k, total_relevant, round(precision_at_k, 6) AS precision_at_k,
