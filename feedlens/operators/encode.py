@@ -71,15 +71,24 @@ def fit_text_encoder(texts: DataFrame, text: Column | str, num_features: int = N
     """Count texts per feature. At most ``num_features`` + 1 rows leave each task and reach the driver."""
     text = F.col(text) if isinstance(text, str) else text
     present = spread(texts.where(~is_blank(text)).select(text.alias("text")))
-    found = features(F.array_distinct(words(F.col("text"))), num_features)
-    marked = F.array_distinct(F.concat(F.array(F.lit(-1)), found))
-    rows = present.select(F.explode(marked).alias("f")).groupBy("f").count().toArrow()
-    feature, count = rows.column("f").to_numpy(), rows.column("count").to_numpy()
-    counts = np.zeros(num_features, dtype=np.int64)
-    counts[feature[feature >= 0]] = count[feature >= 0]
-    n_texts = int(count[feature < 0].sum())
-    spark = texts.sparkSession
-    return TextEncoder(num_features, n_texts, spark.sparkContext.broadcast(counts))
+    found = present.select(features(words(F.col("text")), num_features).alias("found"))
+
+    def count(batches):
+        totals = np.zeros(num_features + 1, dtype=np.int64)
+        for batch in batches:
+            offsets, feature = V.list_parts(batch.column("found"))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            once = np.unique(owner * num_features + feature) % num_features
+            totals[:-1] += np.bincount(once, minlength=num_features)
+            totals[-1] += batch.num_rows  # the last cell counts texts
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["f", "n"])
+
+    rows = found.mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(num_features + 1, dtype=np.int64)
+    counts[rows.column("f").to_numpy()] = rows.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts[:-1])
+    return TextEncoder(num_features, int(counts[-1]), shared)
 
 
 def with_text_hash(tickets: DataFrame, model: str, text: Column) -> DataFrame:

@@ -50,6 +50,8 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
         if x != y:
             root[max(x, y)] = min(x, y)
             keep.append(i)
+            if len(keep) == len(nodes) - 1:  # everything is connected, the rest adds nothing
+                break
     return np.array(keep, dtype=np.int64)
 
 

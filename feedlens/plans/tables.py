@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.functions.text import embedding_text
+from feedlens.functions.text import embedding_text, match_key
 from feedlens.operators.encode import TextEncoder, fit_text_encoder
 from feedlens.plans.pipelines import encode_proposals, encode_tickets
+from feedlens.session import materialise, spread
 
 CRITERIA = ["Low", "Medium", "High", "Very High", "Critical"]
 # shift of the criterion cycle, so that the five criteria of a proposal differ
@@ -67,9 +68,8 @@ def annotated_pairs(spark: SparkSession, sf: str) -> DataFrame:
     A pair is a duplicate if both texts have the same exact-match key. The pair list grows
     linearly with the documents, also where one text has very many copies.
     """
-    from feedlens.functions.text import match_key
-
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("d"), F.md5(match_key(F.col("text"))).alias("k"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = materialise(docs.select(F.col("doc_id").alias("d"), F.md5(match_key(F.col("text"))).alias("k")))
     following = docs.select((F.col("d") - 1).alias("d"), F.col("d").alias("e"), F.col("k").alias("ek"))
     neighbours = docs.join(following, "d").select(F.col("d").alias("a"), F.col("e").alias("b"), (F.col("k") == F.col("ek")).alias("dup"))
     first = docs.groupBy("k").agg(F.min("d").alias("a"))

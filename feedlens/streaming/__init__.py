@@ -1,0 +1 @@
+"""Kept for the package layout: the inventory has no streaming operator."""
