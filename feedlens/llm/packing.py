@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,41 +24,55 @@ BATCH_ROWS = 128
 
 
 class WordEncoder:
-    """Token ids of whole texts for a tokenizer that never joins characters across white space.
+    """Token ids of whole texts, equal to the tokenizer's own, for a tokenizer that lower-cases and
+    cuts words at white space and where letters meet other characters.
 
-    Each word is encoded once by the tokenizer and remembered; a text is then the concatenation
-    of its words. ``whole_texts`` switches that off for tokenizers whose tokens may hold white space.
+    Each word is encoded once and remembered; a text is then the concatenation of its words.
+    Texts with the start of a special token go through the tokenizer as a whole, and with
+    ``whole_texts``, for tokenizers of any other kind, all do.
     """
 
+    #: A stop or comma between a letter or digit and white space is a word of its own.
+    STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0d]|$)")
+
     def __init__(self, path: str, end_id: int, whole_texts: bool = False):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.whole_texts = whole_texts
         self.known: dict[bytes, bytes] = {}
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        cut = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(words) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        # the printable characters that stand for the bytes of a word inside the model
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = (chr(c) for c in range(0x250))
+        self.signs = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in latin if c.isalpha()}
+
+    def _encode_text(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode_words(self, words: list[bytes]) -> Iterator[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        for raw in words:
+            word = raw.decode()
+            low = word.lower()
+            if low.isalpha() and max(low) < "\u0250":  # such letters compose with nothing: straight to the model
+                yield np.array([t.id for t in tokenize(low.translate(self.signs))], dtype="<u4").tobytes()
+            else:
+                yield self._encode_text(word)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text with the end id behind them."""
-        if self.whole_texts:
-            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                yield np.array(found.ids, dtype="<u4").tobytes() + self.end
-            return
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
-        split = [text.encode().split() for text in texts]  # at ASCII white space
+        split = [[] if self.whole_texts or "<|" in text else self.STOP.sub(rb" \1", text.encode().lower()).split() for text in texts]
         new = list({w for words in split for w in words if w not in self.known})
         if new:
             self.known.update(zip(new, self._encode_words(new), strict=True))
         get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words)) + self.end
+        for text, words in zip(texts, split, strict=True):
+            ids = b"".join(map(get, words)) if words or not text else self._encode_text(text)
+            yield ids + self.end
         for word in new:
             if len(word) > MEMORY_BYTES_OF_WORD:
                 del self.known[word]
