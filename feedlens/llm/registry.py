@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from feedlens.llm.language import LanguageModel, fit_languages, identify_languages
 from feedlens.llm.packing import pack_documents
 from feedlens.llm.urls import Rule, judge_urls
 
@@ -26,12 +28,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def held_out(id_col: str = "doc_id"):
+    """Rows that no language is learned from: crc32 of the id as text leaves 2 modulo 4."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> LanguageModel:
+    return fit_languages(docs.where(~held_out()))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op4_language_id": op4_language_id,
     "op10_packing": op10_packing,
 }
 
