@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from feedlens.llm.language import LanguageModel, fit_languages, identify_languages
 from feedlens.llm.packing import pack_documents
 from feedlens.llm.urls import Rule, judge_urls
+from feedlens.llm.warc import archive_round_trip
 
 URL_RULES = [
     Rule("allow", "org/"),
@@ -43,6 +44,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -50,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_language_id": op4_language_id,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
@@ -71,4 +78,12 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
 }
