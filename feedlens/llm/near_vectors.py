@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.common import stored
-from feedlens.llm.vectors import lists, matrix, rotation, runs, usable_vectors
+from feedlens.llm.vectors import matrix, rotation, runs, usable_vectors
 from feedlens.operators.components import connected_components
 
 SEED = 20
@@ -77,7 +77,6 @@ def near_duplicate_vectors(
     and rows with a null id, link with nothing: no links, their own component, kept. Rows that
     repeat an id with an equal vector count as one another's links. Other columns are ignored.
     """
-    spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
     usable, dim = usable_vectors(df, id_col, vec_col)
     keyed = usable.withColumn("digest", F.xxhash64("vec", F.lit(1))).withColumn("digest2", F.xxhash64(F.lit(2), "vec"))

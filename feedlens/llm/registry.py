@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from feedlens.llm.language import LanguageModel, fit_languages, identify_languages
 from feedlens.llm.near_text import near_duplicates
 from feedlens.llm.near_vectors import near_duplicate_vectors
+from feedlens.llm.neighbours import nearest_neighbours
 from feedlens.llm.packing import pack_documents
 from feedlens.llm.urls import Rule, judge_urls
 from feedlens.llm.warc import archive_round_trip
@@ -50,6 +51,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
     "op4_language_id": op4_language_id,
+    "op6_prefix_forest": op6_prefix_forest,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,

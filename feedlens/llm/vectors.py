@@ -27,12 +27,6 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def lists(rows: np.ndarray) -> pa.ListArray:
-    """A matrix as a list column."""
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel()))
-
-
 def rotation(rows: int, dim: int, seed: int) -> np.ndarray:
     """``rows`` x ``dim`` random matrix: blocks of orthonormal directions, the same for a seed everywhere."""
     rng = np.random.default_rng(seed)
