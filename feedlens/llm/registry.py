@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlens.llm.html_text import extract_main_text, fit_weights
 from feedlens.llm.language import LanguageModel, fit_languages, identify_languages
 from feedlens.llm.near_text import near_duplicates
 from feedlens.llm.near_vectors import near_duplicate_vectors
@@ -55,6 +56,11 @@ def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_main_text(pages, fit_weights(pages), keep=["url"])
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_language_id": op4_language_id,
     "op6_prefix_forest": op6_prefix_forest,
+    "op7_html_text": op7_html_text,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
