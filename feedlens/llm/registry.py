@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from feedlens.llm.html_text import extract_main_text, fit_weights
 from feedlens.llm.language import LanguageModel, fit_languages, identify_languages
+from feedlens.llm.mixing import mix_plan
 from feedlens.llm.near_text import near_duplicates
 from feedlens.llm.near_vectors import near_duplicate_vectors
 from feedlens.llm.neighbours import nearest_neighbours
 from feedlens.llm.packing import pack_documents
+from feedlens.llm.preferences import format_preferences
 from feedlens.llm.urls import Rule, judge_urls
 from feedlens.llm.warc import archive_round_trip
 
@@ -37,6 +39,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats", "shards")
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no language is learned from: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -52,6 +59,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n."""
+    conversations = table(spark, sf_dir, "conversations")
+    return format_preferences(conversations, F.expr("id div 2"), F.col("id") % 2 == 0).select(
+        "pair_id", "prompt_turns", "prompt", "chosen", "rejected",
+        F.aggregate("chosen_spans", F.lit(0), lambda s, x: s + x.length).cast("long").alias("chosen_trained"),
+        F.aggregate("rejected_spans", F.lit(0), lambda s, x: s + x.length).cast("long").alias("rejected_trained"),
+    )
+
+
 def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -77,7 +94,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
+    "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_preferences": op5_preferences,
     "op6_prefix_forest": op6_prefix_forest,
     "op7_html_text": op7_html_text,
     "op8_vector_dedup": op8_vector_dedup,
@@ -122,6 +141,24 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op5_preferences": """
+WITH t AS (
+  SELECT conv_id AS id, list(struct_pack(turn := turn, role := replace(coalesce(role, ''), '<|', '< |'), text := replace(coalesce(text, ''), '<|', '< |'))
+                             ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations GROUP BY conv_id),
+p AS (
+  SELECT c.id // 2 AS pair_id, c.turns AS c, r.turns AS r,
+         list_filter(range(1, least(len(c.turns), len(r.turns)) + 1),
+                     lambda i: c.turns[i].role <> r.turns[i].role OR c.turns[i].text <> r.turns[i].text) AS differ
+  FROM t c JOIN t r ON r.id = c.id + 1 WHERE c.id % 2 = 0),
+q AS (SELECT *, CASE WHEN len(differ) > 0 THEN differ[1] - 1 ELSE least(len(c), len(r)) END AS n FROM p)
+SELECT pair_id, n::INT AS prompt_turns,
+       coalesce(array_to_string(list_transform(c[1:n], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+       coalesce(array_to_string(list_transform(c[n + 1:], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+       coalesce(array_to_string(list_transform(r[n + 1:], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS rejected,
+       coalesce(list_sum(list_transform(list_filter(c[n + 1:], lambda t: t.role = 'assistant'), lambda t: length(t.text) + 8)), 0)::BIGINT AS chosen_trained,
+       coalesce(list_sum(list_transform(list_filter(r[n + 1:], lambda t: t.role = 'assistant'), lambda t: length(t.text) + 8)), 0)::BIGINT AS rejected_trained
+FROM q""",
     "op8_vector_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
