@@ -4,10 +4,37 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedlens.llm.common import stored
+from feedlens.llm.language import identify_languages
+from feedlens.llm.mixing import mix_documents
+from feedlens.llm.near_text import near_duplicates
 from feedlens.llm.packing import pack_documents
-from feedlens.llm.registry import TOKENIZER
+from feedlens.llm.registry import TOKENIZER, language_model
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; the predicted language replaces a missing one.
+
+    Texts that are null, have no letter or fit two languages equally well go. Learned from the
+    documents themselves, as the query of language identification does.
+    """
+    found = identify_languages(docs, language_model(docs), keep=[c for c in docs.columns if c != "doc_id"])
+    kept = found.where(~F.col("rejected"))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; repeated rows once."""
+    judged = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = docs.dropDuplicates(["doc_id"]).where(F.col("doc_id").isNotNull()).join(judged, "doc_id", "left_semi")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, shuffled within output shards."""
+    return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
 #: Compression and token packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -24,6 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; returns what the last one returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
