@@ -102,21 +102,25 @@ SIM_DIGITS = 9
 _CHUNK = 4096
 
 
-def similarity(a: Rows, b: Rows) -> np.ndarray:
-    """All dot products between two bounded row sets."""
+def similarity(a: Rows, b: Rows, digits: int | None = SIM_DIGITS) -> np.ndarray:
+    """All dot products between two bounded row sets, rounded unless ``digits`` is None."""
     if not a.n or not b.n:
         return np.zeros((a.n, b.n))
     if not a.sparse:
         if a.dense.shape[1] != b.dense.shape[1]:
             raise ValueError("vector dimension mismatch")
-        return np.round(a.dense @ b.dense.T, SIM_DIGITS)
+        return _rounded(a.dense @ b.dense.T, digits)
     shared = np.intersect1d(a.features(), b.features())
     out = np.zeros((a.n, b.n))
     for lo in range(0, len(shared), _CHUNK):
         lookup = FeatureMap(shared[lo : lo + _CHUNK])
         width = len(lookup.features)
         out += a.block(0, a.n, lookup, width) @ b.block(0, b.n, lookup, width).T
-    return np.round(out, SIM_DIGITS)
+    return _rounded(out, digits)
+
+
+def _rounded(values: np.ndarray, digits: int | None) -> np.ndarray:
+    return values if digits is None else np.round(values, digits)
 
 
 def row_dots(a: Rows, b: Rows) -> np.ndarray:

@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from feedlens.session import materialise
 
 
+def stack(parts: list[DataFrame], column: str = "pos") -> DataFrame:
+    """Union of numbered tables whose numbers stay unique: each part starts behind the part before it.
+
+    The parts must be written out already, so that their numbers can't change; one number per part reaches the driver.
+    """
+    out, start = None, 0
+    for part in parts:
+        moved = part.withColumn(column, F.col(column) + F.lit(start))
+        start += (part.agg(F.max(column)).first()[0] or 0) + 1
+        out = moved if out is None else out.unionByName(moved)
+    return out
+
+
 def number_rows(df: DataFrame, order: list[str] | None = None, into: str = "i") -> DataFrame:
     """Numbers 0..n-1 in the given order, or in the order of the scan.
 

@@ -87,10 +87,11 @@ def q_exact_dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_md5_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Order-free fingerprint of the tickets of each topic."""
+    """Order-free fingerprint of the tickets of each topic: the sum of both halves of their digests, so copies count."""
     digest = T.row_fingerprint(F.col("topic"), F.col("message"))
-    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
-    return tables.tickets(spark, sf).groupBy("topic").agg(F.count("*").alias("tickets"), F.bit_xor(number).alias("fingerprint"))
+    halves = [F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+    total = F.sum(halves[0].cast("decimal(28,0)") + halves[1])
+    return tables.tickets(spark, sf).groupBy("topic").agg(F.count("*").alias("tickets"), total.cast("string").alias("fingerprint"))
 
 
 def q_incremental_embed_anti(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,8 +163,7 @@ def q_trigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _semantic_members(spark, sf, strategy: str = "longest") -> DataFrame:
     fitted = tables.encoder(spark, sf)
-    rows = pipelines.encode_tickets(tables.tickets(spark, sf), fitted)
-    rows = dedup.corpus_components(rows, _text_edges(fitted))
+    rows = dedup.corpus_components(tables.tickets(spark, sf), _text_edges(fitted), encode=lambda t: pipelines.encode_tickets(t, fitted))
     return dedup.choose_representatives(rows, strategy)
 
 
@@ -195,10 +195,10 @@ def q_cluster_cohesion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_cluster_stats(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = tables.vectors(spark, sf).groupBy("label").agg(F.count("*").alias("size"))
-    return sizes.agg(
-        F.count("*").alias("total_clusters"), T.round_half_even(F.avg("size"), 2).alias("average_cluster_size"),
-        F.max("size").alias("largest"), F.min("size").alias("smallest"),
+    sizes = tables.vectors(spark, sf).groupBy(F.col("label").alias("cluster_id")).agg(F.count("*").alias("size"))
+    counts = F.map_values("cluster_distribution")
+    return cluster.cluster_stats(sizes, ()).select(
+        "total_clusters", "average_cluster_size", F.array_max(counts).alias("largest"), F.array_min(counts).alias("smallest")
     )
 
 
@@ -377,32 +377,38 @@ def q_negative_controls(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.negative_controls(queries, found.withColumnRenamed("proposal_id", "query_id"), tables.TEXT_GATE)
 
 
-def _judged_pairs(spark, sf) -> tuple[DataFrame, DataFrame]:
-    members = materialise(_semantic_members(spark, sf))
-    return evaluate.predict_duplicates(tables.annotated_pairs(spark, sf), members), members
+def _narrow_members(spark, sf) -> DataFrame:
+    """Labels of the deduplicated tickets, written once without their texts."""
+    members = _semantic_members(spark, sf)
+    return materialise(members.select("pos", "ticket_id", "component", "representative_ticket_id", "is_representative", "is_exact"))
+
+
+def _judged_pairs(spark, sf) -> DataFrame:
+    return evaluate.predict_duplicates(tables.annotated_pairs(spark, sf), _narrow_members(spark, sf))
 
 
 def q_dedup_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    judged, _ = _judged_pairs(spark, sf)
-    return evaluate.confusion(judged)
+    return evaluate.confusion(_judged_pairs(spark, sf))
 
 
 def q_dedup_pair_eval(spark: SparkSession, sf: str) -> DataFrame:
-    _, members = _judged_pairs(spark, sf)
+    members = _narrow_members(spark, sf)
     stars = dedup.duplicate_members(members).select(F.col("representative_ticket_id").alias("a"), F.col("duplicate_ticket_id").alias("b"))
     truth = tables.annotated_pairs(spark, sf).where("is_duplicate").select(F.col("ticket_a").alias("a"), F.col("ticket_b").alias("b"))
     return evaluate.detected_vs_truth(stars, truth)
 
 
 def _pairs_with_vectors(spark, sf, pairs_: DataFrame) -> DataFrame:
+    """Pairs with texts and vectors of both sides; only tickets that occur in a pair are encoded."""
     fitted = tables.encoder(spark, sf)
-    rows = pipelines.encode_tickets(tables.tickets(spark, sf), fitted)
-    return evaluate.annotate_pairs(pairs_, rows, ["topic", "message", "vec"])
+    named = pairs_.select(F.explode(F.array("ticket_a", "ticket_b")).alias("ticket_id")).distinct()
+    rows = tables.tickets(spark, sf).join(named, "ticket_id", "left_semi")
+    return evaluate.annotate_pairs(pairs_, pipelines.encode_tickets(rows, fitted), ["topic", "message", "vec"])
 
 
 def q_error_causes(spark: SparkSession, sf: str) -> DataFrame:
-    judged, _ = _judged_pairs(spark, sf)
-    wrong = _pairs_with_vectors(spark, sf, judged.where("is_duplicate <> predicted"))
+    wrong = materialise(_judged_pairs(spark, sf).where("is_duplicate <> predicted"))
+    wrong = _pairs_with_vectors(spark, sf, wrong)
     wrong = wrong.withColumn("similarity", V.pair_similarity("vec_a", "vec_b"))
     causes = evaluate.error_causes(wrong, 0.85)
     return causes.select("ticket_a", "ticket_b", "error_type", "classified_cause", F.round("similarity", 4).alias("similarity"))
@@ -425,11 +431,11 @@ def q_dedup_sweep(spark: SparkSession, sf: str) -> DataFrame:
     fitted = tables.encoder(spark, sf)
     keyed = dedup.exact_components(tables.tickets(spark, sf))
     exact = keyed.where("component <> pos").select(F.col("component").alias("a"), F.col("pos").alias("b"), F.lit(1.0).alias("similarity"))
-    rows = pipelines.encode_tickets(tables.tickets(spark, sf), fitted)
     # tickets with equal keys are linked already: among equal texts only the first needs a vector
     text = F.md5(T.embedding_text(F.col("topic"), F.col("message")))
     first = tables.tickets(spark, sf).groupBy(text).agg(F.min("pos").alias("pos"))
-    alike = _text_edges(fitted)(rows.select("pos", "vec").join(first.select("pos"), "pos", "left_semi"), min(DEDUP_SWEEP))
+    once = tables.tickets(spark, sf).join(first.select("pos"), "pos", "left_semi")
+    alike = _text_edges(fitted)(pipelines.encode_tickets(once, fitted).select("pos", "vec"), min(DEDUP_SWEEP))
     members = keyed.select("pos", "ticket_id", "key", "chars")
     return evaluate.dedup_sweep(tables.annotated_pairs(spark, sf), members, exact.unionByName(alike), DEDUP_SWEEP)
 

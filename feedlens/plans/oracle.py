@@ -32,8 +32,8 @@ def first_words(x: str) -> str:
     return f"array_to_string(list_slice(regexp_split_to_array({strip(x)}, '{K.WS}+'), 1, 4), ' ')"
 
 
-def hexnum(x: str, digits: int) -> str:
-    return f"CAST('0x' || substr(md5({x}), 1, {digits}) AS BIGINT)"
+def hexnum(x: str, digits: int, kind: str = "BIGINT", at: int = 1) -> str:
+    return f"CAST('0x' || substr(md5({x}), {at}, {digits}) AS {kind})"
 
 
 def dot(a: str, b: str) -> str:
@@ -321,9 +321,9 @@ MACRO = """count(*) AS queries_evaluated, round_even(avg(precision_at_k), 4) AS
 # --- calibration --------------------------------------------------------------------------
 
 RECORDS = """oc AS (SELECT doc_id AS record_id, CAST(quality AS DOUBLE) AS y, doc_id AS event_id FROM labels
-   UNION ALL SELECT doc_id, CAST(1 - toxic AS DOUBLE), doc_id * 7 % 1000 FROM labels),
+   UNION ALL SELECT doc_id, CAST(1 - toxic AS DOUBLE), doc_id * 5 + 3 FROM labels),
 lo AS (SELECT record_id, y AS actual_outcome FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts DESC, y DESC) AS rn
-   FROM oc JOIN events USING (event_id)) WHERE rn = 1),
+   FROM oc LEFT JOIN events USING (event_id)) WHERE rn = 1),
 re AS (SELECT doc_id AS record_id, n_chars % 101 AS score, (n_chars % 101) / 100.0 AS p, actual_outcome AS y,
    CASE WHEN n_chars % 101 < 40 THEN 'Low' WHEN n_chars % 101 < 70 THEN 'Moderate' ELSE 'High' END AS tier
    FROM documents LEFT JOIN lo ON record_id = doc_id)"""
@@ -377,7 +377,9 @@ ORACLE: dict[str, str] = {
     "q_exact_dedup_longest": f"WITH {KEYED}, {groups('c', 'length(message) DESC')} {GROUP_ROWS}",
     "q_exact_dedup_earliest": f"WITH {KEYED}, ct AS (SELECT c.*, ts FROM c LEFT JOIN events ON event_id = pos), {groups('ct', 'ts ASC NULLS LAST')} {GROUP_ROWS}",
     "q_exact_dedup_stats": f"WITH {KEYED}, {groups('c', 'length(message) DESC')} {stats('topic')}",
-    "q_md5_fingerprint": f"""SELECT lang AS topic, count(*) AS tickets, bit_xor({hexnum("coalesce(lang, '') || '||' || coalesce(text, '')", 15)}) AS fingerprint
+    "q_md5_fingerprint": f"""SELECT lang AS topic, count(*) AS tickets, 
+      CAST(sum({hexnum("coalesce(lang, '') || '||' || coalesce(text, '')", 16, 'HUGEINT')}
+               + {hexnum("coalesce(lang, '') || '||' || coalesce(text, '')", 16, 'HUGEINT', 17)}) AS VARCHAR) AS fingerprint
       FROM documents GROUP BY 1""",
     "q_incremental_embed_anti": f"""WITH {TICKETS}, h AS (SELECT pos, md5(etext) AS text_hash, etext FROM t)
       SELECT 'tf-idf' AS model, text_hash, length(min(etext)) AS chars FROM h

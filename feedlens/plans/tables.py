@@ -90,9 +90,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Two outcomes per labelled document, at the times of two events."""
+    """Two outcomes per labelled document, at the times of two events of its own; without one the time is unknown."""
     labels = table(spark, sf, "labels")
     events = table(spark, sf, "events").select("event_id", "ts")
     first = labels.select(F.col("doc_id").alias("record_id"), F.col("quality").cast("double").alias("actual_outcome"), F.col("doc_id").alias("event_id"))
-    second = labels.select(F.col("doc_id").alias("record_id"), (1 - F.col("toxic")).cast("double").alias("actual_outcome"), (F.col("doc_id") * 7 % 1000).alias("event_id"))
-    return first.unionByName(second).join(events, "event_id").select("record_id", "actual_outcome", "ts")
+    second = labels.select(F.col("doc_id").alias("record_id"), (1 - F.col("toxic")).cast("double").alias("actual_outcome"), (F.col("doc_id") * 5 + 3).alias("event_id"))
+    return first.unionByName(second).join(events, "event_id", "left").select("record_id", "actual_outcome", "ts")

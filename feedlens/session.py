@@ -17,6 +17,7 @@ def build_session(app: str = "feedlens", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for name, value in settings.items():
@@ -27,17 +28,26 @@ def build_session(app: str = "feedlens", master: str | None = None, **conf) -> S
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so that a lost executor costs one stage only.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is
-    set, as in tests, a temporary folder is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none is set, it lies
+    under the home folder of the cluster's default file system; only a session on one machine, as in
+    tests, takes a temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="feedlens-checkpoint-"))
+        context.setCheckpointDir(folder or _own_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix="feedlens-checkpoint-")
+    system = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+    return f"{system.getHomeDirectory().toString()}/feedlens-checkpoints"
+
+
 SMALL_INPUT = 512 * 1024 * 1024
 
 

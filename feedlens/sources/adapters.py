@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedlens.constants import DEFAULT_TOPIC
 from feedlens.functions.text import is_blank, strip
-from feedlens.operators.number import number_rows
+from feedlens.operators.number import number_rows, stack
 from feedlens.sources.files import column, read_csv, read_json_records, records_to_columns
 
 
@@ -23,17 +23,21 @@ def _pick(raw: DataFrame, *names: str, default: str | None = None) -> Column:
 
 
 def enforce_schema(df: DataFrame) -> DataFrame:
-    """Canonical columns with defaults, trimmed; rows without a message are dropped."""
+    """Canonical columns with defaults, trimmed; rows without a message are dropped.
+
+    Rows are numbered and written out once; missing ids count all rows, dropped ones included.
+    """
     rows = df.select(
         _pick(df, "ticket_id").alias("ticket_id"),
         F.coalesce(_pick(df, "created_at"), F.lit("")).alias("created_at"),
         strip(F.coalesce(_pick(df, "topic"), F.lit(DEFAULT_TOPIC))).alias("topic"),
         strip(F.coalesce(_pick(df, "message"), F.lit(""))).alias("message"),
     )
+    rows = number_rows(rows, into="pos")
     if "ticket_id" not in df.columns:
-        rows = number_rows(rows).withColumn("ticket_id", (F.col("i") + 1).cast("string")).drop("i")
+        rows = rows.withColumn("ticket_id", (F.col("pos") + 1).cast("string"))
     rows = rows.where(~is_blank(F.col("message")))
-    return rows.withColumn("ticket_id", F.coalesce("ticket_id", F.lit(""))).withColumn("pos", F.monotonically_increasing_id())
+    return rows.withColumn("ticket_id", F.coalesce("ticket_id", F.lit("")))
 
 
 def _adapt(raw: DataFrame, id: Column | None, created_at: Column, topic: Column, message: Column) -> DataFrame:
@@ -84,9 +88,10 @@ def register_adapter(name: str, adapter: Callable[[DataFrame], DataFrame]) -> No
 
 
 def list_datasets(config: str | dict) -> list[dict]:
+    """Entries of a registry, given as a mapping or as the path of a JSON file that Spark can read."""
     if isinstance(config, str):
-        with open(config, encoding="utf-8") as f:
-            config = json.load(f)
+        spark = SparkSession.builder.getOrCreate()
+        config = json.loads(spark.read.text(config, wholetext=True).first()["value"])
     return config.get("datasets", [])
 
 
@@ -110,9 +115,6 @@ def load_dataset(spark: SparkSession, name: str, config: str | dict) -> DataFram
 
 
 def load_datasets(spark: SparkSession, config: str | dict, names: list[str] | None = None) -> DataFrame:
-    """Several registered datasets, by default all of them, in one table."""
+    """Several registered datasets, by default all of them, in one table; ``pos`` is unique over all of them."""
     names = names if names is not None else [d["name"] for d in list_datasets(config)]
-    out = load_dataset(spark, names[0], config)
-    for name in names[1:]:
-        out = out.unionByName(load_dataset(spark, name, config))
-    return out
+    return stack([load_dataset(spark, name, config) for name in names])

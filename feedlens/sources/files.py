@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlens.constants import DATE_ALIASES, DEFAULT_TOPIC, ID_ALIASES, JSON_WRAPPER_KEYS, MESSAGE_ALIASES, TOPIC_ALIASES
 from feedlens.functions.text import first_words, is_blank, strip
-from feedlens.operators.number import number_rows
+from feedlens.operators.number import number_rows, stack
 
 FORMATS = {".csv": "csv", ".json": "json", ".txt": "txt"}
 NOT_BUILT = {".xlsx", ".xls", ".pdf"}
@@ -44,8 +44,9 @@ def resolve_aliases(columns: list[str]) -> dict[str, str]:
 def normalize(raw: DataFrame, order: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Canonical ``ticket_id, created_at, topic, message, pos`` (and the columns of ``keep``).
 
-    Headers are resolved at plan time; rows without a message are dropped. Only where ids or
-    topics are incomplete do rows get numbered, in ``order`` or in scan order.
+    Headers are resolved at plan time; rows without a message are dropped. Rows are numbered in
+    ``order`` or in scan order and written out once, so ``pos`` is the same in every use; whether ids
+    and topics are complete is read off that table.
     """
     keep = keep or []
     found = resolve_aliases([c for c in raw.columns if c not in keep])
@@ -65,6 +66,7 @@ def normalize(raw: DataFrame, order: list[str] | None = None, keep: list[str] |
         *[F.col(c).alias(o) for c, o in zip(order or [], ordering)],
     ).where(~is_blank(F.col("message")))
 
+    rows = number_rows(rows, ordering or None, "pos")
     filled = {"n": 0, "ticket_id": 0, "topic": 0}
     if "ticket_id" in found or "topic" in found:
         filled = rows.agg(F.count("*").alias("n"), F.count("ticket_id").alias("ticket_id"), F.count("topic").alias("topic")).first()
@@ -72,10 +74,7 @@ def normalize(raw: DataFrame, order: list[str] | None = None, keep: list[str] |
         rows = rows.withColumn("topic", strip(F.coalesce("topic", F.lit(DEFAULT_TOPIC))))
     else:
         rows = rows.withColumn("topic", first_words(F.col("message")))
-    if filled["n"] and filled["ticket_id"] == filled["n"]:
-        rows = rows.withColumn("pos", F.monotonically_increasing_id())
-    else:
-        rows = number_rows(rows, ordering or None, "pos")
+    if filled["ticket_id"] < filled["n"] or not filled["n"]:
         rows = rows.withColumn("ticket_id", F.coalesce("ticket_id", (F.col("pos") + 1).cast("string")))
     return rows.select(*keep, "ticket_id", "created_at", "topic", "message", "pos")
 
@@ -104,8 +103,9 @@ def read_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Header line -> files with that header."""
-    lines = with_source(spark.read.text(paths)).withColumn("at", F.monotonically_increasing_id())
+    """Header line -> files with that header: the first line of each file's first split."""
+    lines = with_source(spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
     firsts = lines.groupBy("source_file").agg(F.min_by("value", "at").alias("header")).collect()
     out: dict[str, list[str]] = {}
     for row in firsts:
@@ -170,14 +170,21 @@ def records_to_columns(records: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def read_text(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """One ticket per line that is neither blank nor a ``#`` comment, numbered from 1 within its file."""
-    lines = with_source(spark.read.text(paths)).select("source_file", strip(F.col("value")).alias("message"))
+    """One ticket per line that is neither blank nor a ``#`` comment, numbered from 1 within its file.
+
+    Splits of a file may be scanned in any order and apart from each other; within a split the lines
+    are in order, so a line's number is its place in its split behind the lines of the splits before.
+    """
+    block = F.col("_metadata.file_block_start").alias("block")
+    lines = with_source(spark.read.text(paths).select("value", "_metadata", block)).select("source_file", "block", strip(F.col("value")).alias("message"))
     lines = lines.where(~is_blank(F.col("message")) & ~F.col("message").startswith("#"))
     numbered = number_rows(lines)
-    start = numbered.groupBy("source_file").agg(F.min("i").alias("start"))
-    rows = numbered.join(start, "source_file")
+    splits = numbered.groupBy("source_file", "block").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("source_file", "block", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    rows = numbered.join(splits, ["source_file", "block"])
     return rows.select(
-        "source_file", (F.col("i") - F.col("start") + 1).cast("string").alias("ticket_id"),
+        "source_file", (F.col("before") + F.col("i") - F.col("first") + 1).cast("string").alias("ticket_id"),
         F.lit(None).cast("string").alias("created_at"), first_words(F.col("message")).alias("topic"),
         "message", F.col("i").alias("pos"),
     )
@@ -197,7 +204,8 @@ def detect_format(path: str) -> str:
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """All files of a path or glob, by extension, as canonical tickets with ``source_file``.
 
-    Files of one format and header share one scan. Empty and unknown files are errors.
+    Files of one format and header share one scan. Empty and unknown files are errors. ``pos`` is
+    unique over all files.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").collect()
     if not listed:
@@ -217,7 +225,4 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
         parts.append(normalize(records_to_columns(records, ["source_file"]), keep=["source_file"]))
     if "txt" in by_format:
         parts.append(read_text(spark, by_format["txt"]))
-    out = parts[0].select(columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(columns))
-    return require_rows(out, path)
+    return require_rows(stack([part.select(columns) for part in parts]), path)

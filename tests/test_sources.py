@@ -113,3 +113,39 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "t")).count() == 1
     sinks.write_texts(df, str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m")).first()["value"] == "text"
+
+
+def test_positions_are_unique_over_formats_and_headers(spark, tmp_path):
+    from feedlens.functions.text import embedding_text
+    from feedlens.operators import dedup, encode
+    from feedlens.plans import pipelines
+    from pyspark.sql import functions as F
+
+    (tmp_path / "a.csv").write_text("id,topic,message\n1,x,red apples fall\n2,x,green pears grow\n")
+    (tmp_path / "b.csv").write_text("topic,message\ny,blue plums rot\ny,white grapes dry\n")
+    (tmp_path / "c.json").write_text('[{"id": 7, "topic": "z", "message": "dogs bark"}, {"id": 8, "topic": "z", "message": "cats purr"}]')
+    (tmp_path / "d.txt").write_text("birds: sing early\nfish: swim deep\n")
+    tickets = files.read_feedback(spark, str(tmp_path))
+    assert sorted(r["pos"] for r in tickets.collect()) == sorted({r["pos"] for r in tickets.collect()}) and tickets.count() == 8
+    fitted = encode.fit_text_encoder(tickets, embedding_text(F.col("topic"), F.col("message")))
+    rows = pipelines.encode_tickets(tickets, fitted)
+    none = F.col("pos") < F.lit(0)  # no similar pairs: texts differ
+    edges = lambda v, t: v.where(none).select(F.col("pos").alias("a"), F.col("pos").alias("b"))
+    members = dedup.corpus_components(rows, edges).collect()
+    assert len(members) == 8 and len({r["component"] for r in members}) == 8
+
+
+def test_text_ids_count_per_file_over_small_splits(spark, tmp_path):
+    for name, n in (("p.txt", 40), ("q.txt", 57)):
+        (tmp_path / name).write_text("".join(f"# note {i}\n" if i % 10 == 9 else f"line {i} of {name}\n" for i in range(n)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        rows = files.read_text(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, n in (("p.txt", 40), ("q.txt", 57)):
+        got = sorted((int(r["ticket_id"]), r["message"]) for r in rows if r["source_file"].endswith(name))
+        assert got == [(i + 1, m) for i, m in enumerate(f"line {i} of {name}" for i in range(n) if i % 10 != 9)]
+    assert len({r["pos"] for r in rows}) == len(rows)

@@ -156,3 +156,17 @@ def test_linear_cohesion_and_medoid_equal_pairwise(spark):
     assert all(abs(got[g] - np.mean(inner[g])) < 1e-9 for g in got)
     central = {g: max(range(g, 30, 3), key=lambda i: (round(np.mean([sims[i, j] for j in range(g, 30, 3)]), 9), -i)) for g in range(3)}
     assert {r["g"]: r["representative_id"] for r in cluster.medoids(df, ["g"], vec="vec").collect()} == central
+
+
+@pytest.mark.parametrize("local_rows", [512, 1])
+def test_means_at_the_cut_and_ties_are_judged_alike_on_both_paths(spark, local_rows):
+    # similarities 0.9, 0.6500000006 and 0.65: the mean of the last two rounds to the cut and must not merge
+    a = np.array([1.0, 0.0, 0.0])
+    b = np.array([0.9, np.sqrt(1 - 0.81), 0.0])
+    c0, c1 = 0.6500000006, (0.65 - 0.9 * 0.6500000006) / np.sqrt(1 - 0.81)
+    c = np.array([c0, c1, np.sqrt(1 - c0**2 - c1**2)])
+    got = cluster.cluster_corpus(vector_frame(spark, np.stack([a, b, c])), 0.35, vec="vec", local_rows=local_rows).collect()
+    assert {(r["pos"], r["cluster"]) for r in got} == {(0, 0), (1, 0), (2, 2)}
+    square = np.array([[1.0, 0, 0], [0.8, 0.6, 0], [0.8, -0.6, 0], [0.28, 0.96, 0]])  # exact ties of neighbours
+    got = cluster.cluster_corpus(vector_frame(spark, square), 0.35, vec="vec", local_rows=local_rows).collect()
+    assert {(r["pos"], r["cluster"]) for r in got} == {(0, 0), (1, 0), (2, 2), (3, 3)}
