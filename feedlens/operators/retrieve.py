@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +19,15 @@ _ROWS = 1024
 
 
 class ProposalBlock:
-    """A bounded set of proposal vectors which scores ticket batches."""
+    """A bounded set of proposal vectors which scores ticket batches.
 
-    def __init__(self, ids: pa.Array, vectors):
+    ``within`` are the datasets of the proposals; a ticket of another dataset is out of reach.
+    """
+
+    def __init__(self, ids: pa.Array, vectors, within=None):
         self.ids = V.flat(ids)
+        self.names = None if within is None else pc.unique(V.flat(within))
+        self.codes = None if within is None else pc.index_in(V.flat(within), value_set=self.names).to_numpy(zero_copy_only=False)
         rows = V.Rows(vectors)
         self.n, self.lookup, self.width = rows.n, None, 0
         if rows.sparse:
@@ -35,12 +41,17 @@ class ProposalBlock:
             raise ValueError("vector dimension mismatch")
         return np.round(block @ self.matrix.T, V.SIM_DIGITS)
 
+    def reachable(self, within) -> np.ndarray:
+        """Tickets x proposals: whether both belong to the same dataset."""
+        codes = pc.index_in(V.flat(within), value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False)
+        return codes[:, None] == self.codes[None, :]
+
 
 class BestK:
     """Running top-k tickets of each proposal of a block, with their rows."""
 
-    def __init__(self, block: ProposalBlock, k: int, threshold: float, vec: str, order: str):
-        self.block, self.k, self.threshold, self.vec, self.order = block, k, threshold, vec, order
+    def __init__(self, block: ProposalBlock, k: int, threshold: float, vec: str, order: str, within: str | None = None):
+        self.block, self.k, self.threshold, self.vec, self.order, self.within = block, k, threshold, vec, order, within
         self.floor = np.full(block.n, threshold)
         self.q, self.s, self.o, self.at = [np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)]
         self.rows: pa.Table | None = None
@@ -52,11 +63,13 @@ class BestK:
         for start in range(0, rows.n, _ROWS):
             stop = min(start + _ROWS, rows.n)
             scores = self.block.scores(rows, start, stop)
+            if self.within:
+                scores[~self.block.reachable(table.column(self.within).slice(start, stop - start))] = -np.inf
             floor = self.floor
             if stop - start > self.k:
                 kth = np.partition(scores, stop - start - self.k, axis=0)[stop - start - self.k]
                 floor = np.maximum(floor, kth)
-            at, q = np.nonzero(scores >= floor)
+            at, q = np.nonzero((scores >= floor) & (scores > -np.inf))
             if len(at):
                 self._merge(table, q, scores[at, q], order[start + at], start + at)
 
@@ -107,6 +120,7 @@ def retrieve(
     query_vec: str = "query_vec",
     order: str = "pos",
     broadcast_proposals: int = BROADCAST_PROPOSALS,
+    within: str | None = None,
 ) -> DataFrame:
     """The ``k`` most similar tickets of every proposal with similarity >= ``threshold``.
 
@@ -114,19 +128,23 @@ def retrieve(
     ``bigint`` position. Among equal similarities the later ticket ranks first. Each task
     keeps ``k`` rows per proposal before the shuffle, so what is shuffled does not grow with
     the number of tickets per task. A proposal set above the broadcast limit is cut into
-    blocks which meet ticket blocks in a cogroup instead.
+    blocks which meet ticket blocks in a cogroup instead. With ``within``, a text column of both
+    sides, a proposal finds only tickets with the same value, so one job serves many datasets.
     """
     tickets = tickets.where(F.col(vec).isNotNull())
-    proposals = proposals.select("proposal_id", F.col(query_vec).alias("query_vec")).where("query_vec is not null")
+    proposals = proposals.select("proposal_id", F.col(query_vec).alias("query_vec"), *([F.col(within).alias("_within")] if within else []))
+    proposals = proposals.where("query_vec is not null")
+    if within:
+        proposals, tickets = proposals.where("_within is not null"), tickets.where(F.col(within).isNotNull())
     spark_schema, arrow_schema = _result_schema(proposals, tickets)
     if k <= 0:
         return tickets.sparkSession.createDataFrame([], spark_schema).withColumn("rank", F.lit(0))
 
     block = proposals.limit(broadcast_proposals + 1).toArrow()
     if block.num_rows <= broadcast_proposals and _entries(block) <= BROADCAST_ENTRIES:
-        found = _scan_with_block(block, tickets, k, threshold, vec, order, spark_schema, arrow_schema)
+        found = _scan_with_block(block, tickets, k, threshold, vec, order, within, spark_schema, arrow_schema)
     else:
-        found = _block_join(proposals, tickets, k, threshold, vec, order, spark_schema, arrow_schema, broadcast_proposals)
+        found = _block_join(proposals, tickets, k, threshold, vec, order, within, spark_schema, arrow_schema, broadcast_proposals)
     ranked = Window.partitionBy("proposal_id").orderBy(F.desc("similarity"), F.desc(order))
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
@@ -137,13 +155,18 @@ def _entries(table: pa.Table) -> int:
     return len(lists.values) if len(lists) else 0
 
 
-def _scan_with_block(block, tickets, k, threshold, vec, order, spark_schema, arrow_schema) -> DataFrame:
+def _best(queries: pa.Table, k, threshold, vec, order, within) -> BestK:
+    names = queries.column("_within") if within else None
+    return BestK(ProposalBlock(queries.column("proposal_id"), queries.column("query_vec"), names), k, threshold, vec, order, within)
+
+
+def _scan_with_block(block, tickets, k, threshold, vec, order, within, spark_schema, arrow_schema) -> DataFrame:
     shared = tickets.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches):
         table = shared.value
         if table.num_rows:
-            best = BestK(ProposalBlock(table.column("proposal_id"), table.column("query_vec")), k, threshold, vec, order)
+            best = _best(table, k, threshold, vec, order, within)
             for batch in batches:
                 if batch.num_rows:
                     best.add(pa.Table.from_batches([batch]))
@@ -152,7 +175,7 @@ def _scan_with_block(block, tickets, k, threshold, vec, order, spark_schema, arr
     return tickets.mapInArrow(scan, spark_schema)
 
 
-def _block_join(proposals, tickets, k, threshold, vec, order, spark_schema, arrow_schema, per_block) -> DataFrame:
+def _block_join(proposals, tickets, k, threshold, vec, order, within, spark_schema, arrow_schema, per_block) -> DataFrame:
     query_blocks = max(1, -(-proposals.count() // per_block))
     ticket_blocks = max(1, -(-tickets.count() // TICKETS_PER_BLOCK))
 
@@ -167,7 +190,7 @@ def _block_join(proposals, tickets, k, threshold, vec, order, spark_schema, arro
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return arrow_schema.empty_table()
-        best = BestK(ProposalBlock(queries.column("proposal_id"), queries.column("query_vec")), k, threshold, vec, order)
+        best = _best(queries, k, threshold, vec, order, within)
         best.add(rows.drop_columns(["_tb", "_qb"]))
         return best.result(arrow_schema)
 

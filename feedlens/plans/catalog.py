@@ -278,6 +278,33 @@ def q_decision_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return made.join(stats, "proposal_id")
 
 
+def q_scenario_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions of proposals that each search the tickets of one language only, in one job."""
+    proposals, tickets, _ = tables.encoded(spark, sf)
+    names = F.array(*[F.lit(c) for c in tables.SCENARIO_LANGUAGES])
+    proposals = proposals.withColumn("dataset", F.element_at(names, (F.col("proposal_id") % len(tables.SCENARIO_LANGUAGES) + 1).cast("int")))
+    tickets = tickets.withColumn("dataset", F.col("topic"))
+    run = pipelines.decision_pipeline(
+        proposals, tickets, evidence_threshold=tables.TEXT_GATE, dates=tables.dates(spark, sf), within="dataset"
+    )
+    made = run.decisions.select(
+        "proposal_id", "recommendation", F.col("priority_score").cast("bigint").alias("priority_score"), "decision_tier",
+        F.col("evidence_score").cast("bigint").alias("evidence_score"),
+    )
+    return made.join(run.dedup_stats.select("proposal_id", "total_input_count", "unique_count"), "proposal_id")
+
+
+def q_truth_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked tickets of each proposal marked by a truth table: relevant are tickets with a label of good quality."""
+    _, found = _text_evidence(spark, sf)
+    ranked = found.select(F.col("proposal_id").alias("query_id"), "rank", "ticket_id")
+    good = tables.table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("ticket_id"))
+    truth = ranked.select("query_id", "ticket_id").join(good, "ticket_id")
+    queries = evaluate.relevant_counts(tables.proposals(spark, sf).select(F.col("proposal_id").alias("query_id")), truth)
+    marked = evaluate.mark_hits(ranked, truth).join(queries, "query_id")
+    return marked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "ticket_id", "hit", "total_relevant")
+
+
 def q_decision_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return _decision_run(spark, sf).prompts
 
@@ -445,11 +472,7 @@ def q_cluster_sweep(spark: SparkSession, sf: str) -> DataFrame:
     proposals, tickets, _ = tables.encoded(spark, sf)
     found = retrieve.retrieve(proposals, tickets, 10, 0.2)
     cuts = cluster.cluster_groups(found, CLUSTER_SWEEP)
-    per_cluster = cuts.groupBy("cut", "proposal_id", "cluster_id").agg(F.count("*").alias("size"), F.first("cohesion").alias("cohesion"))
-    return per_cluster.groupBy(F.col("cut").alias("distance_threshold")).agg(
-        F.count("*").alias("total_clusters"), T.round_half_even(F.avg("size"), 2).alias("average_cluster_size"),
-        T.round_half_even(F.avg("cohesion"), 4).alias("intra_cluster_coherence"),
-    )
+    return pipelines.cluster_counts(cuts)
 
 
 def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:

@@ -428,6 +428,12 @@ ORACLE: dict[str, str] = {
     "q_decision_pipeline": f"""{DECISION_RUN} SELECT dc.pid AS proposal_id, recommendation, pri AS priority_score, decision_tier, ev AS evidence_score,
       {RISKS} AS risks, {MISSING} AS missing_information, total_input_count, unique_count, exact_duplicates_count, semantic_duplicates_count
       FROM dc JOIN ds ON ds.pid = dc.pid""".replace("(dup ", "(dc.dup "),
+    "q_scenario_decisions": f"""{DECISION_RUN} SELECT dc.pid AS proposal_id, recommendation, pri AS priority_score, decision_tier, ev AS evidence_score,
+      total_input_count, unique_count FROM dc JOIN ds ON ds.pid = dc.pid""".replace("(dup ", "(dc.dup ").replace(
+        "FROM qv JOIN dv USING (f) GROUP BY", "FROM qv JOIN dv USING (f) JOIN documents own ON own.doc_id = dv.pos AND own.lang = ['en', 'fr', 'de', 'es'][qv.pid % 4 + 1] GROUP BY"),
+    "q_truth_hits": f"""WITH {EVIDENCE}, g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+      h AS (SELECT pid, rank, pos, doc_id IS NOT NULL AS hit FROM ev LEFT JOIN g ON doc_id = pos)
+      SELECT pid AS query_id, rank, CAST(pos AS VARCHAR) AS ticket_id, hit, CAST(count(*) FILTER (hit) OVER (PARTITION BY pid) AS BIGINT) AS total_relevant FROM h""",
     "q_calib_latest_outcome": f"WITH {RECORDS} SELECT record_id, actual_outcome FROM lo",
     "q_calib_summary": f"WITH {CALIB} SELECT * FROM cs",
     "q_calib_report": f"""WITH {CALIB} SELECT status, 'Historical Calibration Report (N=' || evaluated_records || '):' || chr(10) || '- Brier Score: ' || {fixed('brier_score', 4)}

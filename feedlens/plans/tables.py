@@ -14,6 +14,7 @@ CRITERIA = ["Low", "Medium", "High", "Very High", "Critical"]
 # shift of the criterion cycle, so that the five criteria of a proposal differ
 OFFSETS = {"effort": 0, "impact": 1, "alignment": 2, "cost": 3, "risk": 4}
 TEXT_GATE = 0.30
+SCENARIO_LANGUAGES = ["en", "fr", "de", "es"]
 VECTOR_THRESHOLD = 0.35
 
 

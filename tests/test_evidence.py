@@ -202,3 +202,38 @@ def test_cluster_quality(spark):
     got = evaluate.cluster_quality(df).first()
     assert got["silhouette_score"] > 0.5 and got["intra_cluster_coherence"] > 0.9
     assert evaluate.cluster_quality(df.where("cluster_id = 0")).first()["silhouette_score"] is None
+
+
+def test_evaluation_job_on_labelled_rows(spark):
+    from pyspark.sql import functions as F
+
+    from feedlens.functions.text import embedding_text
+    from feedlens.operators import encode, pairs
+    from feedlens.plans import pipelines
+
+    texts = [
+        (0, "a", "login fails with password error"), (1, "a", "Login fails with password error!"), (2, "a", "login fails with a password error today"),
+        (3, "a", "dark theme hurts my eyes"), (4, "b", "battery drains over night"), (5, "b", "battery drains quickly over night"), (6, "b", "dark theme wanted"),
+    ]
+    tickets = spark.createDataFrame([(p, f"t{p}", d, m, d) for p, d, m in texts], "pos long, ticket_id string, topic string, message string, dataset string")
+    queries = spark.createDataFrame([("q1", ["login", "password"], "a"), ("q2", ["battery"], "b"), ("q3", ["battery"], "a")], "query_id string, keywords array<string>, dataset string")
+    truth = spark.createDataFrame([("q1", "t0"), ("q1", "t1"), ("q1", "t2"), ("q2", "t4"), ("q2", "t5")], "query_id string, ticket_id string")
+    labelled = spark.createDataFrame([("t0", "t1", True), ("t4", "t5", True), ("t3", "t6", False)], "ticket_a string, ticket_b string, is_duplicate boolean")
+    encoder = encode.fit_text_encoder(tickets, embedding_text(F.col("topic"), F.col("message")))
+    run = pipelines.evaluation_job(
+        queries, truth, tickets, labelled, encoder, lambda v, t: pairs.sparse_pairs(v, encoder, t, forest=True), within="dataset", k=3,
+        gates=[0.0, 0.9], dedup_thresholds=[0.5, 0.99], dedup_threshold=0.99, cuts=[0.0, 2.0],
+    )
+    per_query = {r["query_id"]: r for r in run.per_query.collect()}
+    assert set(per_query) == {"q1", "q2"} and per_query["q1"]["recall_at_k"] == 1.0 and per_query["q2"]["reciprocal_rank"] == 1.0
+    assert [r["query_id"] for r in run.negative_controls.collect()] == ["q3"]
+    assert run.negative_controls.first()["top_similarity_score"] == 0.0  # the other dataset is out of reach
+    c = run.confusion.first()
+    assert (c["true_positives"], c["false_positives"], c["false_negatives"], c["true_negatives"]) == (1, 0, 1, 1)
+    assert [(r["ticket_a"], r["ticket_b"]) for r in run.error_causes.collect()] == [("t4", "t5")]
+    swept = {r["threshold"]: r["true_positives"] for r in run.dedup_sweep.collect()}
+    # at 0.5 the longest of the three login tickets stands for them, so t0 and t1 are no star pair
+    assert swept == {0.5: 1, 0.99: 1}
+    assert run.gate_sweep.count() == 2 and run.candidate_filters.count() > 0
+    counts = {r["distance_threshold"]: r["total_clusters"] for r in run.cluster_sweep.collect()}
+    assert counts[0.0] > counts[2.0] >= 2
