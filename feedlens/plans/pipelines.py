@@ -16,8 +16,6 @@ from feedlens.operators import calibrate, cluster, components, decide, dedup, ev
 from feedlens.operators.encode import TextEncoder
 from feedlens.session import materialise
 
-GROUP_LIMIT = 2000  # largest ticket group per proposal that one task deduplicates and clusters
-
 
 @dataclass
 class EvidenceRun:
@@ -82,9 +80,6 @@ def find_evidence(
 
 def _given(validated: DataFrame) -> DataFrame:
     """Tickets handed in as already validated: ranked by position, similarity unknown."""
-    largest = validated.groupBy("proposal_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > GROUP_LIMIT:
-        raise ValueError(f"a proposal has {largest} validated tickets, the limit per proposal is {GROUP_LIMIT}")
     by_position = Window.partitionBy("proposal_id").orderBy("pos")
     return materialise(validated.withColumn("rank", F.row_number().over(by_position)))
 

@@ -1,5 +1,6 @@
 """Deduplication, clustering, scoring, decision, prompt and calibration cases worked out by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,47 @@ def test_evaluation_job_on_labelled_rows(spark):
     assert run.gate_sweep.count() == 2 and run.candidate_filters.count() > 0
     counts = {r["distance_threshold"]: r["total_clusters"] for r in run.cluster_sweep.collect()}
     assert counts[0.0] > counts[2.0] >= 2
+
+
+@pytest.mark.parametrize("rows, block", [(2048, 1024), (3, 4)])
+def test_groups_of_any_size_give_the_same_duplicates_and_clusters(spark, monkeypatch, rows, block):
+    """The block and round path, forced by small limits, against plain loops."""
+    from feedlens.operators import cluster, dedup, large_groups
+
+    monkeypatch.setattr(large_groups, "GROUP_ROWS", rows)
+    monkeypatch.setattr(large_groups, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((8, 12))
+    data, sparse = [], []
+    for g, n in ((1, 30), (2, 2), (3, 19)):
+        x = base[rng.integers(0, 8, n)] + rng.standard_normal((n, 12)) * 0.25
+        x[n // 2] = x[0]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for i in range(n):
+            data.append((g, i + 1, f"t{i}", "topic", f"message {g} {i if i != 1 else 0}", [float(v) for v in x[i]]))
+            sparse.append((g, i + 1, f"t{i}", "topic", f"message {g} {i if i != 1 else 0}", (list(range(12)), [float(v) for v in x[i]])))
+    head = "proposal_id long, rank long, ticket_id string, topic string, message string, vec "
+    dense = spark.createDataFrame(data, head + "array<double>")
+    thin = spark.createDataFrame(sparse, head + "struct<idx:array<int>,w:array<double>>")
+    for df in (dense, thin):
+        got = {(r["proposal_id"], r["rank"]): r["component"] for r in dedup.group_components(df, 0.9).collect()}
+        cuts = cluster.cluster_groups(df, [0.1, 0.4]).collect()
+        for g in (1, 2, 3):
+            mine = [d for d in data if d[0] == g]
+            x = np.array([d[5] for d in mine])
+            sim = x @ x.T
+            linked = (np.round(sim, 9) >= 0.9) | np.equal.outer([d[4] for d in mine], [d[4] for d in mine])
+            low = np.arange(1, len(mine) + 1)
+            while (new := np.where(linked, low[None, :], 10**6).min(axis=1)).tolist() != low.tolist():
+                low = new
+            assert [got[(g, d[1])] for d in mine] == low.tolist()
+            for cut in (0.1, 0.4):
+                label = cluster.average_link(sim, cut)
+                rows_ = sorted((r["rank"], r["cluster_id"], r["centrality"], r["cohesion"]) for r in cuts if r["proposal_id"] == g and r["cut"] == cut)
+                assert [r[1] for r in rows_] == label.tolist()
+                for k, r in enumerate(rows_):
+                    own = label == label[k]
+                    m = own.sum()
+                    inner = sim[np.ix_(own, own)]
+                    assert r[2] == pytest.approx(sim[k][own].mean() if m > 1 else 1.0, abs=1e-8)
+                    assert r[3] == pytest.approx((inner.sum() - np.trace(inner)) / (m * (m - 1)) if m > 1 else 1.0, abs=1e-8)
