@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlens.constants import CLUSTER_SWEEP, DEDUP_SWEEP
@@ -11,7 +11,7 @@ from feedlens.functions import vectors as V
 from feedlens.operators import calibrate, cluster, components, decide, dedup, encode, evaluate, pairs, prompt, retrieve, score
 from feedlens.plans import pipelines, tables
 from feedlens.session import materialise
-from feedlens.sources import adapters, files
+from feedlens.sources import adapters, exports, files
 
 GATES = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
 
@@ -59,6 +59,83 @@ def q_event_properties(spark: SparkSession, sf: str) -> DataFrame:
     return entries.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
 
 
+def _as_record(df: DataFrame, **fields) -> DataFrame:
+    """Rows as parsed JSON records, as an export's page holds them."""
+    return df.withColumn("record", F.parse_json(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))))
+
+
+def q_adapt_issues(spark: SparkSession, sf: str) -> DataFrame:
+    raw = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("number"), F.col("source").alias("title"), F.col("text").alias("body"))
+    return adapters.issues(raw).select("ticket_id", "created_at", "topic", F.md5("message").alias("message_md5"))
+
+
+def q_adapt_product_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    raw = tables.table(spark, sf, "documents").select(
+        F.col("source").alias("reviewerID"), F.col("doc_id").cast("string").alias("asin"), F.col("lang").alias("summary"), F.col("text").alias("reviewText")
+    )
+    return adapters.product_reviews(raw).select("ticket_id", "created_at", "topic", F.md5("message").alias("message_md5"))
+
+
+def q_export_support_desk(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.table(spark, sf, "documents")
+    records = _as_record(docs, id=F.col("doc_id"), created_at=F.lit("2024-05-01T00:00:00Z"), subject=F.col("lang"), description=F.col("text"))
+    found = exports.support_desk(records.select("record"))
+    return found.select("ticket_id", "created_at", "topic", F.md5("message").alias("message_md5"))
+
+
+def q_export_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other turn has no subject of its own and takes the title."""
+    turns = tables.table(spark, sf, "conversations")
+    subject = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("about "), "role")).otherwise(F.lit(""))
+    id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    records = _as_record(turns, id=id, title=F.col("role"), source=F.struct(subject.alias("subject"), F.col("text").alias("body")))
+    found = exports.conversations(records.select("record"))
+    return found.select("ticket_id", "topic", F.md5("message").alias("message_md5"))
+
+
+def q_export_page_properties(spark: SparkSession, sf: str) -> DataFrame:
+    def tagged(kind: str, value) -> Column:
+        return F.struct(F.lit(kind).alias("type"), value.alias(kind))
+
+    def text(value) -> Column:
+        return F.array(F.struct(value.alias("plain_text")))
+
+    size = F.length("html")
+    tags = F.array(F.struct(F.lit("page").alias("name")), F.struct((F.col("page_id") % 3).cast("string").alias("name")))
+    properties = F.struct(
+        tagged("title", text(F.col("url"))).alias("Name"), tagged("number", size).alias("Size"), tagged("multi_select", tags).alias("Tags"),
+        tagged("checkbox", F.col("page_id") % 2 == 0).alias("Done"), tagged("select", F.struct(F.lit("web").alias("name"))).alias("Kind"),
+        tagged("rich_text", text(F.col("html"))).alias("Body"),
+    )
+    records = _as_record(tables.table(spark, sf, "pages"), id=F.col("page_id").cast("string"), properties=properties)
+    found = exports.page_properties(records.select("record"))
+    return found.select(F.col("_page_id").alias("page_id"), "Name", "Size", "Tags", "Done", "Kind", F.md5("Body").alias("body_md5"))
+
+
+def q_wrapped_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records in a wrapper object, in a list and alone, one JSON document per conversation."""
+    turns = tables.table(spark, sf, "conversations")
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.md5("text").alias("text"))))
+    whole = turns.groupBy("conv_id").agg(listed.alias("tickets"))
+    kind = F.col("conv_id") % 3
+    wrapped = F.to_json(F.struct("tickets"))
+    document = F.when(kind == 0, wrapped).when(kind == 1, F.to_json("tickets")).otherwise(F.to_json(F.element_at("tickets", 1)))
+    records = whole.select("conv_id", F.posexplode(files.extract_records(F.parse_json(document))).alias("at", "record"))
+    return files.record_entries(records, ["conv_id", "at"]).withColumn("at", F.col("at").cast("bigint"))
+
+
+def q_parse_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Event times written in six text forms and read back; one form is no date."""
+    ts, form = F.date_trunc("second", "ts"), F.col("event_id") % 6
+    written = (
+        F.when(form == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(form == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(form == 2, F.date_format(ts, " yyyy-MM-dd ")).when(form == 3, F.unix_timestamp(ts).cast("string"))
+        .when(form == 4, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss+02:00")).otherwise(F.concat(F.lit("on "), ts.cast("string")))
+    )
+    events = tables.table(spark, sf, "events").select("event_id", form.alias("form"), T.parse_time(written).alias("parsed"))
+    return events.select("event_id", F.unix_timestamp("parsed").alias("seconds"))
+
+
 # --- exact duplicates ------------------------------------------------------------------
 
 

@@ -371,6 +371,21 @@ ORACLE: dict[str, str] = {
       md5({strip('text')}) AS message_md5 FROM documents WHERE {strip("coalesce(text, '')")} <> ''""",
     "q_adapt_app_reviews": f"""SELECT CAST(doc_id AS VARCHAR) AS ticket_id, '' AS created_at, 'App Review (Rating ' || (quality * 4 + 1) || '/5)' AS topic,
       md5({strip('text')}) AS message_md5 FROM labels JOIN documents USING (doc_id) WHERE {strip("coalesce(text, '')")} <> ''""",
+    "q_adapt_issues": f"""SELECT 'GH-' || doc_id AS ticket_id, '' AS created_at, {strip("coalesce(source, 'General Feedback')")} AS topic,
+      md5({strip('text')}) AS message_md5 FROM documents WHERE {strip("coalesce(text, '')")} <> ''""",
+    "q_adapt_product_reviews": f"""SELECT concat_ws('_', source, CAST(doc_id AS VARCHAR)) AS ticket_id, '' AS created_at,
+      {strip("coalesce(lang, 'General Feedback')")} AS topic, md5({strip('text')}) AS message_md5 FROM documents WHERE {strip("coalesce(text, '')")} <> ''""",
+    "q_export_support_desk": """SELECT CAST(doc_id AS VARCHAR) AS ticket_id, '2024-05-01T00:00:00Z' AS created_at, coalesce(lang, '') AS topic,
+      md5(coalesce(text, '')) AS message_md5 FROM documents""",
+    "q_export_conversations": """SELECT conv_id || '-' || turn AS ticket_id, CASE WHEN turn % 2 = 0 THEN 'about ' || role ELSE role END AS topic,
+      md5(coalesce(text, '')) AS message_md5 FROM conversations""",
+    "q_export_page_properties": """SELECT CAST(page_id AS VARCHAR) AS page_id, url AS "Name", CAST(length(html) AS VARCHAR) AS "Size",
+      'page, ' || page_id % 3 AS "Tags", CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END AS "Done", 'web' AS "Kind", md5(html) AS body_md5 FROM pages""",
+    "q_wrapped_records": """WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS "at", turn, role, md5(text) AS text FROM conversations),
+      k AS (SELECT * FROM r WHERE conv_id % 3 < 2 OR "at" = 0)
+      SELECT conv_id, "at", 'turn' AS key, CAST(turn AS VARCHAR) AS value FROM k UNION ALL SELECT conv_id, "at", 'role', role FROM k UNION ALL SELECT conv_id, "at", 'text', text FROM k""",
+    "q_parse_time": """SELECT event_id, CAST(CASE event_id % 6 WHEN 2 THEN epoch(date_trunc('day', ts)) WHEN 4 THEN epoch(date_trunc('second', ts)) - 7200
+      WHEN 5 THEN NULL ELSE epoch(date_trunc('second', ts)) END AS BIGINT) AS seconds FROM events""",
     "q_event_properties": """SELECT key, count(*) AS n, count(DISTINCT value) AS distinct_values FROM (
       SELECT k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT props, unnest(json_keys(props)) AS k FROM events)) GROUP BY 1""",
     "q_exact_key_groups": f"WITH {KEYED} SELECT component, count(*) AS group_size, max(pos) AS last_pos FROM c GROUP BY 1 HAVING count(*) > 1",
