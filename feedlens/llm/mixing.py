@@ -21,6 +21,8 @@ MOST_BLOCKS = 1 << 18
 WORDS_PER_DOCUMENT = 16
 #: Output shards; a power of two.
 SHARDS = 16
+#: Parts into which a shard is cut for its local shuffle.
+CUTS = 256
 #: Rows of the table of sources up to which it is broadcast.
 BROADCAST_SOURCES = 100_000
 #: Positions of a permuted order are counted in this many coarse ranges first, then within each.
@@ -232,7 +234,7 @@ def mix_plan(
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` as often as they are taken, shuffled within their shard.
+    """The mix itself: the rows of ``docs`` as often as they are taken, shuffled within parts of their shard.
 
     Rows are told apart by id, source and size, so a row with a null id, or rows that repeat all three, are
     taken as often as the plan says for them. Columns stay as they are.
@@ -240,11 +242,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     plan = mix_plan(docs, id_col, **options)
     source = options.get("source_col", "source")
     text = options.get("text_col", "text")
-    shards = options.get("shards", SHARDS)
     taken = plan.where(F.size("shards") > 0).groupBy(id_col, source, "size").agg(F.first("shards").alias("_shards"))
     taken = taken.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate((id_col, source, "size"))], "_shards")
     sized = docs.withColumn("_size", word_count(text))
     match = sized[id_col].eqNullSafe(taken["_0"]) & sized[source].eqNullSafe(taken["_1"]) & (sized["_size"] == taken["_2"])
-    rows = sized.join(taken, match).withColumn("_shard", F.explode("_shards"))
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(options.get("seed", SEED)), "_shard", id_col, F.monotonically_increasing_id()))
-    return rows.repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_key").select(*docs.columns)
+    rows = sized.join(taken, match).select(*docs.columns, F.posexplode("_shards").alias("_time", "_shard"))
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(options.get("seed", SEED)), "_shard", "_time", F.col(id_col).cast("string"), source))
+    # a shard may be far larger than a task: it is cut by its shuffle key
+    rows = rows.repartition("_shard", F.pmod("_key", F.lit(CUTS))).sortWithinPartitions("_shard", "_key")
+    return rows.select(*docs.columns)
