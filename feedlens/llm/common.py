@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from feedlens.session import materialise
 
-__all__ = ["materialise", "shared_folder", "stored", "words_of"]
+__all__ = ["forest", "materialise", "shared_folder", "stored", "words_of"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +44,36 @@ def words_of(text: str | None) -> list[bytes]:
     characters, so both follow the rule without a pattern.
     """
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of ``(a, b)`` that join two trees so far; ``parent`` is updated."""
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    done = np.zeros(len(a), dtype=bool)
+    while True:
+        flat = parent
+        while True:  # point every node at its root
+            up = flat[flat]
+            if (up == flat).all():
+                break
+            flat = up
+        parent[:] = flat
+        done |= flat[a] == flat[b]
+        rest = np.flatnonzero(~done)
+        if not len(rest):
+            return kept
+        # one edge per tree on the left side a round, so the loop is short even for many pairs
+        _, first = np.unique(flat[a[rest]], return_index=True)
+        for k in rest[first]:
+            x, y = root(int(a[k])), root(int(b[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append((int(a[k]), int(b[k])))
+            done[k] = True

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import stored, words_of
+from feedlens.llm.common import forest, stored, words_of
 from feedlens.operators.components import connected_components
 
 #: Values kept of each set: the k smallest under one hash function.
-SKETCH = 64
-#: A linked pair shares at least this many of the values that its two documents post.
-SHARED = 8
-#: Values posted by more documents than this come last in the order of posting.
+SKETCH = 48
+#: A linked pair shares at least this many of the keys that its two documents post (fewer if its sets are small).
+SHARED = 4
+#: Values that a document and its pivot share at least among those they post.
+COMPANY = 8
+#: Keys held by more documents than this come last in the order of posting.
 HOT = 32
 #: Values that a document posts to be met by the first document of each list.
 PIVOT_VALUES = 24
@@ -26,8 +28,10 @@ PIVOT_VALUES = 24
 MEMBERS = 256
 #: Ids up to which the filter of documents to read again is broadcast (16 MB); beyond that it is a shuffle join.
 BROADCAST_IDS = 2_000_000
+#: Rows of the two sides of a block comparison.
+LEFT_ROWS, RIGHT_ROWS = 256, 512
 #: Chance at most that a pair exactly at the threshold shares fewer sketch values than is assumed.
-MISS = 1e-9
+MISS = 1e-6
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -127,49 +131,158 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def block_links(candidates: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between documents that met the same pivot, where at least one isn't linked to it.
+
+    ``candidates`` are pairs of pivot and document and ``linked`` those that reach the threshold.
+    Documents around a pivot are compared in blocks on their full sets, and a block pair passes on a
+    spanning forest of its links only, so near copies that fail the threshold against their
+    pivot don't become pairs in a table.
+    """
+    kind = dict(candidates.dtypes)["a"]
+    marked = candidates.join(linked.withColumn("is", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("is", F.lit(False)).alias("known"))
+    counts = marked.groupBy("a").agg(F.count("*").alias("all"), F.count_if(~F.col("known")).alias("open")).where("open > 0")
+    counts = counts.select("a", F.ceil(F.col("open") / LEFT_ROWS).alias("nl"), F.ceil(F.col("all") / RIGHT_ROWS).alias("nr"))
+    around = marked.join(counts, "a")
+    own, other = "pmod(xxhash64(b), {})", "explode(sequence(0L, {} - 1))"
+    left = around.where(~F.col("known")).select("a", F.expr(own.format("nl")).alias("i"), F.expr(other.format("nr")).alias("j"), F.lit(1).alias("side"), "b", "known")
+    right = around.select("a", F.expr(other.format("nl")).alias("i"), F.expr(own.format("nr")).alias("j"), F.lit(0).alias("side"), "b", "known")
+    rows = left.unionByName(right).join(sets.withColumnRenamed("id", "b"), "b").select("a", "i", "j", "side", "b", "known", "set")
+    rows = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b")
+
+    def compare(cell: list[tuple]) -> list[tuple]:
+        side = np.array([r[0] for r in cell])
+        sets_ = [np.frombuffer(r[3], dtype=np.int64) for r in cell]
+        size = np.array([len(x) for x in sets_])
+        right_at = np.flatnonzero(side == 0)
+        parent = np.arange(len(cell))
+        known = np.flatnonzero(np.array([r[2] for r in cell]))
+        parent[known] = known[0] if len(known) else 0
+        values = np.concatenate([sets_[k] for k in right_at])
+        owner = np.repeat(right_at, size[right_at])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        links: list[tuple[int, int]] = []
+        for at in np.flatnonzero(side == 1):
+            low, high = np.searchsorted(values, sets_[at]), np.searchsorted(values, sets_[at], side="right")
+            many = high - low
+            picks = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            both = np.bincount(owner[picks], minlength=len(cell))
+            near = (100 * both >= percent * (size + size[at] - both)) & (side == 0) & (both > 0)
+            hits = np.flatnonzero(near)
+            links += forest(parent, np.full(len(hits), at), hits)
+        return [(cell[x][1], cell[y][1]) for x, y in links if cell[x][1] != cell[y][1]]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: list[tuple] = []
+        now, type_ = None, None
+        for batch in batches:
+            found: list[tuple] = []
+            type_ = batch.schema.field(0).type
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for n, key in enumerate(zip(*columns[:3], strict=True)):
+                if key != now:
+                    found += compare(cell) if cell else []
+                    cell, now = [], key
+                cell.append((columns[3][n], columns[4][n], columns[5][n], batch.column(6)[n].as_py()))
+            yield pairs_batch(found, type_)
+        if cell:
+            yield pairs_batch(compare(cell), type_)
+
+    def pairs_batch(found: list[tuple], type_: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], type_), pa.array([y for _, y in found], type_)], names=["a", "b"])
+
+    return rows.mapInArrow(stream, f"a {kind}, b {kind}")
+
+
 def pivot_candidates(sets: DataFrame) -> DataFrame:
-    """Pairs of a document and the first document of the lists it posts to, if they meet in several.
+    """Pairs of a document and the pivots of the lists it posts to, if they meet in several.
+
+    The pivot of a list is its document with the most company: the highest sum of the lengths of its
+    lists, so in a group of near copies the one with the fewest changes of its own. Linear in
+    the postings. It links most members of large groups of near copies, so that no later
+    step has to pair them with each other.
+    """
+    posted = sets.select("id", F.explode(F.slice("sketch", 1, PIVOT_VALUES)).alias("v"))
+    shared = posted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    posted = stored(posted.join(shared, "v"))
+    scores = posted.groupBy("id").agg(F.sum("c").alias("score"))
+    heads = posted.join(scores, "id").groupBy("v").agg(F.min(F.struct(-F.col("score"), F.col("id"))).getField("id").alias("a"))
+    met = posted.join(heads, "v").where("id <> a").groupBy("a", "id").agg(F.count("*").alias("c"))
+    met = met.join(sets.select("id", "n"), "id").where(F.col("c") >= F.least(F.lit(COMPANY), F.ceil(F.col("n") / 2)))
+    return met.select("a", F.col("id").alias("b"))
+
+
+def keys_of(sketch: Column) -> Column:
+    """Retained values in twos: one key for each value with the next one.
 
-    Linear in the postings. It links most members of large groups of near copies, so that no
-    later step has to pair them with each other.
+    Where neighbours in the order of the union are common to two documents, both have their key; by chance two
+    documents share one only if they hold both values and nothing in between.
     """
-    posted = sets.select("id", "n", F.explode(F.slice("sketch", 1, PIVOT_VALUES)).alias("v"))
-    firsts = posted.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a")
-    met = posted.join(firsts, "v").where("id <> a").groupBy("a", F.col("id").alias("b"), "n").agg(F.count("*").alias("c"))
-    return met.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") / 2))).select("a", "b")
+    return F.zip_with(F.slice(sketch, F.lit(1), F.size(sketch) - 1), F.slice(sketch, F.lit(2), F.size(sketch) - 1), lambda x, y: F.xxhash64(x, y))
 
 
-def list_candidates(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that share enough posted values and pass the estimate from their union sketch.
+def least_keys(k: int, percent: int) -> int:
+    """Common neighbours in a union's bottom-k that a pair at the threshold falls short of with chance ``MISS`` at most.
 
-    ``sets`` has ``(id, n, sketch)`` and ``groups`` the components ``(id, component)`` that are
-    known already. A value helps only if documents of two groups hold it; a document with fewer
-    such values than any partner must share is out. Of the others' values, common ones last, all
-    but the last ``least - SHARED`` are posted: two documents that share ``least`` values share
-    ``SHARED`` posted ones. Within a list, the group with the most rows isn't paired with itself.
+    Each of the k values is common with the threshold's chance; the counts of common neighbours follow
+    value by value.
     """
-    least = least_shared(SKETCH, percent)
-    grouped = sets.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
-    # a set that can meet only complete sketches has an exact bound
-    exact = F.col("n") * 100 <= percent * SKETCH
-    grouped = grouped.withColumn("need", F.when(exact, F.ceil(F.col("n") * percent / 100)).otherwise(least).cast("int"))
-    held = grouped.select("id", "n", "g", "need", F.explode("sketch").alias("v"))
-    shared = held.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    shared = shared.select("v", (F.col("c") > HOT).alias("hot"))
-    useful = held.join(shared, "v").groupBy("id", "n", "g", "need").agg(F.array_sort(F.collect_list(F.struct("hot", "v"))).alias("vs"))
-    useful = useful.where(F.size("vs") >= F.col("need")).withColumn("ask", F.least("need", F.lit(SHARED)))
-    posted = useful.select("id", "n", "g", "ask", F.expr("explode(slice(vs.v, 1, size(vs) - need + ask))").alias("v"))
+    p = percent / 100
+    chance = {(0, False): 1.0}  # by neighbours so far and whether the last value is common
+    for _ in range(k):
+        after: dict[tuple[int, bool], float] = {}
+        for (count, last), q in chance.items():
+            after[count + last, True] = after.get((count + last, True), 0.0) + q * p
+            after[count, False] = after.get((count, False), 0.0) + q * (1 - p)
+        chance = after
+    tail = 0.0
+    for count in range(k):
+        tail += chance.get((count, True), 0.0) + chance.get((count, False), 0.0)
+        if tail > MISS:
+            return count
+    return k - 1
+
+
+def needed_keys(percent: int) -> Column:
+    """Keys that two linked documents share at least, from the set size of one.
+
+    A set that can only meet sets that are kept whole has an exact bound: of u values at most (1 - t) u
+    aren't common and each of them parts two pairs of neighbours.
+    """
+    exact = F.greatest(F.lit(1), F.ceil(F.col("n") * (2 * percent - 100) / 100) - 1)
+    return F.when(F.col("n") * 100 <= percent * SKETCH, exact).otherwise(least_keys(SKETCH, percent)).cast("int")
+
+
+def list_candidates(sets: DataFrame, groups: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups that share enough posted keys and pass the estimate from their union sketch.
+
+    ``sets`` has ``(id, n, sketch)``, ``groups`` the components ``(id, component)`` that are
+    known already and ``pivots`` the pivots ``(id, near)`` around which documents have been compared. A key helps
+    only if another document holds it; a document with fewer such keys than any partner must share is
+    out. Of the others' keys, common ones last, all but the last ``need - SHARED`` are posted: two
+    documents that share ``need`` keys share ``SHARED`` posted ones. Within a list, the group with the
+    most rows isn't paired with itself.
+    """
+    documents = sets.select("id", "n", needed_keys(percent).alias("need")).join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
+    held = sets.select("id", F.explode(keys_of(F.col("sketch"))).alias("v"))
+    several = held.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v", (F.col("c") > HOT).alias("hot"))
+    useful = held.join(several, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("hot", "v"))).alias("vs"))
+    useful = useful.join(documents, "id").where(F.size("vs") >= F.col("need")).withColumn("ask", F.least("need", F.lit(SHARED))).join(pivots, "id", "left")
+    posted = useful.select("id", "n", "g", "near", "ask", F.expr("explode(slice(vs.v, 1, size(vs) - need + ask))").alias("v"))
     posted = stored(posted)
-    sizes = posted.groupBy("v", "g").agg(F.count("*").alias("c")).groupBy("v")
-    lists = sizes.agg(F.max(F.struct("c", "g")).getField("g").alias("most"), F.count("*").alias("gs")).where("gs > 1").select("v", "most")
-    right = posted.join(lists, "v").select("v", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "g", "ask")], "most")
-    left = right.where("g2 <> most").select("v", *[F.col(f"{c}2").alias(f"{c}1") for c in ("id", "n", "g", "ask")])
+    lists = posted.groupBy("v", "g").agg(F.count("*").alias("c")).groupBy("v")
+    lists = lists.agg(F.max(F.struct("c", "g")).getField("g").alias("most"), F.count("*").alias("gs")).where("gs > 1").select("v", "most")
+    told = ("id", "n", "g", "near", "ask")
+    right = posted.join(lists, "v").select("v", *[F.col(c).alias(f"{c}2") for c in told], "most")
+    left = right.where("g2 <> most").select("v", *[F.col(f"{c}2").alias(f"{c}1") for c in told])
     near = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("g1") != F.col("g2"))
+    compared = F.coalesce(F.arrays_overlap("near1", "near2"), F.lit(False))
     once = (F.col("g2") == F.col("most")) | (F.col("id1") < F.col("id2"))
-    met = left.join(right, "v").where(near & once)
+    met = left.join(right, "v").where(near & once & ~compared)
     met = met.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("ask1", "ask2")).alias("ask"))
     met = stored(met.where("c >= ask").select("a", "b"))
-    return estimated(met, sets, percent, least)
+    return estimated(met, sets, percent, least_shared(SKETCH, percent))
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
@@ -197,22 +310,32 @@ def near_duplicates(
     with a null id links with nothing, has a null component and is kept. Rows that repeat an id
     are judged each by its own text. Other columns are ignored; an empty table gives no rows.
 
-    A pair at the threshold is missed with a chance of at most ``MISS``, and never if its sets
-    have no more than ``SKETCH`` shingles.
+    A pair at the threshold is missed with a chance of about ``MISS``, and never if its sets
+    have no more than ``SKETCH`` shingles. ``percent`` must be 70 or more: below that, neighbours of small
+    sets prove nothing.
     """
+    if not 70 <= percent <= 100:
+        raise ValueError(f"a threshold lies in 70..100 percent, got {percent}")
     scanned = stored(sketches(docs, id_col, text_col, width))
     filled = F.col("id").isNotNull() & (F.col("n") > 0)
     first = scanned.where(filled).groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("r"))
     sets = stored(first.select("digest", "r.id", "r.n", "r.sketch").repartition("id"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return stored(linked_pairs(pairs, stored(full_sets(docs, stored(ids), id_col, text_col, width)), percent))
-
-    by_pivot = verified(stored(pivot_candidates(sets)))
-    groups = connected_components(by_pivot).withColumnRenamed("node", "id")
-    by_list = verified(list_candidates(sets.drop("digest"), stored(groups), percent))
-    found = connected_components(by_pivot.unionByName(by_list)).withColumnRenamed("node", "id")
+        return stored(full_sets(docs, stored(ids), id_col, text_col, width))
+
+    candidates = stored(pivot_candidates(sets))
+    candidate_sets = sets_of(candidates)
+    by_pivot = stored(linked_pairs(candidates, candidate_sets, percent))
+    by_block = stored(block_links(candidates, by_pivot, candidate_sets, percent))
+    near = candidates.select(F.col("b").alias("id"), "a").unionByName(candidates.select(F.col("a").alias("id"), "a"))
+    near = near.groupBy("id").agg(F.collect_set("a").alias("near"))  # a few: each takes several posted values
+    first_links = by_pivot.unionByName(by_block)
+    groups = stored(connected_components(first_links).withColumnRenamed("node", "id"))
+    by_list = stored(list_candidates(sets.drop("digest"), groups, near, percent))
+    by_list = stored(linked_pairs(by_list, sets_of(by_list), percent))
+    found = connected_components(first_links.unionByName(by_list)).withColumnRenamed("node", "id")
     named = sets.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     joined = scanned.where(filled).join(named, "digest").select("id", "n", "component_id")
     alone = scanned.where(~filled).select("id", "n", F.col("id").alias("component_id"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import stored
+from feedlens.llm.common import forest, stored
 from feedlens.llm.vectors import matrix, rotation, runs, usable_vectors
 from feedlens.operators.components import connected_components
 
@@ -186,7 +186,7 @@ def _links(tables: list[np.ndarray], turn: np.ndarray, dim: int, bits: int, thre
                 a, b = a[new], b[new]
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
-            edges += _forest(parent, a, b)
+            edges += forest(parent, a, b)
         ids = part.column("id").to_pylist()
         some = np.flatnonzero(links)
         first = [ids[k] for k in some] + [ids[a] for a, _ in edges]
@@ -215,36 +215,3 @@ def _links(tables: list[np.ndarray], turn: np.ndarray, dim: int, bits: int, thre
             yield from flush(pa.Table.from_batches(held, schema))
 
     return stream
-
-
-def _forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of ``(a, b)`` that join two trees so far; ``parent`` is updated."""
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    done = np.zeros(len(a), dtype=bool)
-    while True:
-        flat = parent
-        while True:  # point every node at its root
-            up = flat[flat]
-            if (up == flat).all():
-                break
-            flat = up
-        parent[:] = flat
-        done |= flat[a] == flat[b]
-        rest = np.flatnonzero(~done)
-        if not len(rest):
-            return kept
-        # one edge per tree on the left side a round, so the loop is short even for many pairs
-        _, first = np.unique(flat[a[rest]], return_index=True)
-        for k in rest[first]:
-            x, y = root(int(a[k])), root(int(b[k]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                kept.append((int(a[k]), int(b[k])))
-            done[k] = True
