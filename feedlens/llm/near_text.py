@@ -19,7 +19,7 @@ SKETCH = 48
 #: A linked pair shares at least this many of the keys that its two documents post (fewer if its sets are small).
 SHARED = 4
 #: Values that a document and its pivot share at least among those they post.
-COMPANY = 8
+COMPANY = 6
 #: Keys held by more documents than this come last in the order of posting.
 HOT = 32
 #: Values that a document posts to be met by the first document of each list.
