@@ -25,6 +25,7 @@ BLOCK = 2048
 #: Relative lead over the second-best language below which the answer is marked as rejected.
 MIN_MARGIN = 0.002
 
+_RANGE = 1 << 40
 _SPACES = re.compile(r"[\W\d_]+")
 
 
@@ -48,12 +49,18 @@ def fit_languages(
 
     Rows without text or language are ignored. Every sampled text lends the same number of characters, so
     long ones don't crowd out others: at most ``4 * size`` characters of a language reach the
-    driver. The limit of the window applies before its shuffle.
+    driver.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = usable.groupBy("lang").count().collect()  # one row per language
+    if not counts:
+        return LanguageModel((), ())
+    # about four times the wanted rows of each language pass, so what is shuffled doesn't grow with the table
+    bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(_RANGE, 4 * rows * _RANGE // r["count"] + 1))])
+    usable = usable.withColumn("h", F.xxhash64("text")).where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(_RANGE)) < bound[F.col("lang")])
     share = max(64, 4 * size // rows)
-    # whole words from the sampled texts' beginning: a bounded sample of labelled rows, used in the fit alone
+    # the same number of characters of every sampled text: a bounded sample of labelled rows, used in the fit alone
     sampled = usable.select("lang", "h", F.substring("text", 1, share).alias("text"))
     ranked = sampled.withColumn("r", F.expr("row_number() over (partition by lang order by h, text)"))
     found = ranked.where(F.col("r") <= rows).select("lang", "r", "text").collect()
