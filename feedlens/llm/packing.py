@@ -15,7 +15,7 @@ from feedlens.llm.common import stored
 
 WINDOW = 2048
 #: Leftover pieces packed together; each such group ends with at most a few open windows.
-GROUP_PIECES = 16384
+GROUP_PIECES = 2048
 #: Entries of a worker's memory of encoded words; it starts anew when full. Longer words aren't kept.
 MEMORY_WORDS = 700_000
 MEMORY_BYTES_OF_WORD = 48
