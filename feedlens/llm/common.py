@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from feedlens.session import materialise
 
-__all__ = ["forest", "materialise", "shared_folder", "stored", "words_of"]
+__all__ = ["forest", "materialise", "parts_of", "shared_folder", "stored", "words_of"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +39,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in small batches, so that a worker turns few texts into Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as bytes, with A-Z in lower case.
 

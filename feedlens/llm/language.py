@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.common import parts_of
+
 UNKNOWN = "und"
 #: Labelled rows per language that a fit may read, and characters taken of all of them together.
 FIT_ROWS = 400
@@ -123,16 +125,18 @@ def identify_languages(
     """
     kinds = dict(docs.dtypes)
     kept = [id_col, *(keep or [])]
+    text_at = kept.index(text_col) if text_col in kept else len(kept)
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x DICTIONARY_BYTES
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(held.value)
-        for batch in batches:
-            found = [classifier.classify(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in parts_of(batches):
+            found = [classifier.classify(t) for t in batch.column(text_at).to_pylist()]
             lang, score, margin = zip(*found, strict=True) if found else ((), (), ())
             rejected = [m < min_margin for m in margin]
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*kept, "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, "lang_pred", "score", "margin", "rejected"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", lang_pred string, score double, margin double, rejected boolean"
-    return docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("_text")).mapInArrow(classify, schema)
+    whole = [] if text_col in kept else [F.col(text_col).cast("string").alias("_text")]
+    return docs.select(*[F.col(c) for c in kept], *whole).mapInArrow(classify, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import forest, stored, words_of
+from feedlens.llm.common import forest, parts_of, stored, words_of
 from feedlens.operators.components import connected_components
 
 #: Values kept of each set: the k smallest under one hash function.
@@ -66,13 +66,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     kind = dict(docs.dtypes)[id_col]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             sizes, digests, kept = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, width)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                kept.append(found[:SKETCH])
+                kept.append(found[:SKETCH].copy())  # a view would keep the whole set
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "sketch"])
 
@@ -86,7 +86,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width
     few = ids.count() <= BROADCAST_IDS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
