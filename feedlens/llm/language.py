@@ -51,7 +51,7 @@ def fit_languages(
 
     Rows without text or language are ignored. Every sampled text lends the same number of characters, so
     long ones don't crowd out others: at most ``4 * size`` characters of a language reach the
-    driver.
+    driver. All dictionaries are as long as the longest; a shorter language's text is repeated.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -72,8 +72,14 @@ def fit_languages(
     joined = {lang: " ".join(t for _, t in sorted(parts) if t).encode()[:size] for lang, parts in texts.items()}
     joined = {lang: text for lang, text in joined.items() if text}
     languages = tuple(sorted(joined))
-    least = min((len(t) for t in joined.values()), default=0)  # a longer dictionary alone would win
-    return LanguageModel(languages, tuple(joined[lang][:least] for lang in languages))
+    # a longer dictionary alone would win, and a language with little text takes nothing from the others
+    longest = max((len(t) for t in joined.values()), default=0)
+    return LanguageModel(languages, tuple(repeated(joined[lang], longest) for lang in languages))
+
+
+def repeated(text: bytes, size: int) -> bytes:
+    """``text`` again and again, a space between, up to ``size`` bytes."""
+    return ((text + b" ") * (size // (len(text) + 1) + 1))[:size]
 
 
 class Classifier:

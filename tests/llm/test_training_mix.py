@@ -59,6 +59,18 @@ def test_texts_without_letters_and_ties(spark, model):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+@pytest.mark.parametrize("rare", ["kurz", "qua vadis nunc domine"])
+def test_a_language_of_one_short_row_leaves_the_others_whole(spark, model, rare):
+    rng = random.Random(1)
+    rows = [(sentences(lang, 60, rng), lang) for lang in WORDS for _ in range(60)] + [(rare, "zz")]
+    found = language.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert found.languages == (*model.languages, "zz") and found.dictionaries[:3] == model.dictionaries
+    assert len({len(d) for d in found.dictionaries}) == 1
+    df = spark.createDataFrame([(lang, sentences(lang, 40, rng)) for lang in WORDS for _ in range(30)], "doc_id string, text string")
+    out = language.identify_languages(df, found).collect()
+    assert sum(r["doc_id"] == r["lang_pred"] and not r["rejected"] for r in out) >= 0.98 * len(out)
+
+
 # ---- mixing ----
 
 
