@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from feedlens.llm.common import parts_of
 
 UNKNOWN = "und"
-#: Labelled rows per language that a fit may read, and characters taken of all of them together.
+#: Different labelled texts per language that a fit may read, and characters taken of all of them together.
 FIT_ROWS = 400
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 6
@@ -47,24 +47,24 @@ class LanguageModel:
 def fit_languages(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, size: int = DICTIONARY_BYTES
 ) -> LanguageModel:
-    """Dictionaries from at most ``rows`` labelled texts of each language, those with the lowest hash of their text.
+    """Dictionaries from at most ``rows`` different texts of each language, those with the lowest hash of their beginning.
 
-    Rows without text or language are ignored. Every sampled text lends the same number of characters, so
-    long ones don't crowd out others: at most ``4 * size`` characters of a language reach the
-    driver. All dictionaries are as long as the longest; a shorter language's text is repeated.
+    Rows without text or language are ignored, and texts whose first ``4 * size / rows`` characters
+    are equal count once. Every sampled text lends that number of characters, so long ones don't
+    crowd out others: at most ``4 * size`` characters of a language reach the driver. All dictionaries are as long as the longest; a shorter language's text is repeated.
     """
+    share = max(64, 4 * size // rows)
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = usable.groupBy("lang").count().collect()  # one row per language
+    # the same number of characters of every sampled text: a bounded sample of labelled rows, used in the fit alone
+    usable = usable.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, share).alias("text")).withColumn("h", F.xxhash64("text"))
+    # copies count once: equal rows of a task are one before anything is shuffled
+    counts = usable.select("lang", "h").distinct().groupBy("lang").count().collect()  # one row per language
     if not counts:
         return LanguageModel((), ())
-    # about four times the wanted rows of each language pass, so what is shuffled doesn't grow with the table
+    # about four times the wanted texts of each language pass, so the texts that are shuffled don't grow with the table
     bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(_RANGE, 4 * rows * _RANGE // r["count"] + 1))])
-    usable = usable.withColumn("h", F.xxhash64("text")).where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(_RANGE)) < bound[F.col("lang")])
-    share = max(64, 4 * size // rows)
-    # the same number of characters of every sampled text: a bounded sample of labelled rows, used in the fit alone
-    sampled = usable.select("lang", "h", F.substring("text", 1, share).alias("text"))
-    ranked = sampled.withColumn("r", F.expr("row_number() over (partition by lang order by h, text)"))
+    some = usable.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(_RANGE)) < bound[F.col("lang")]).distinct()
+    ranked = some.withColumn("r", F.expr("row_number() over (partition by lang order by h, text)"))
     found = ranked.where(F.col("r") <= rows).select("lang", "r", "text").collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in found:

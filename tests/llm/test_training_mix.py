@@ -71,6 +71,17 @@ def test_a_language_of_one_short_row_leaves_the_others_whole(spark, model, rare)
     assert sum(r["doc_id"] == r["lang_pred"] and not r["rejected"] for r in out) >= 0.98 * len(out)
 
 
+@pytest.mark.parametrize("copied", range(4))
+def test_copies_take_no_place_of_other_texts(spark, copied):
+    rng = random.Random(4)
+    rows = [(sentences(lang, 60, rng), lang) for lang in WORDS for _ in range(60)]
+    once = language.fit_languages(spark.createDataFrame(rows, "text string, lang string"), rows=40)
+    # half of all rows of a language are one text, or nearly all are; the others have the places of the sample that they had
+    copies = [rows[copied]] * (60 if copied % 2 else 6000)
+    assert language.fit_languages(spark.createDataFrame(rows + copies, "text string, lang string"), rows=40) == once
+    assert len(set(once.dictionaries[0].split())) > 20
+
+
 # ---- mixing ----
 
 
