@@ -27,13 +27,22 @@ RAW = frozenset("script style template textarea noscript iframe svg math object
 #: Elements that are not part of an article wherever they stand.
 ASIDE = frozenset("nav aside footer form menu dialog select button fieldset head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark an element which isn't part of an article.
+#: Words in class, role or id that mark an element which isn't part of an article.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie "
     "cookies copyright dialog disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall popup popular "
     "promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription teaser toolbar topbar widget complementary alert".split()
 )
+#: Words that may stand beside one of them in a name; with any other word a name tells nothing (``has-sidebar``, ``related-work``).
+HINT_PARTS = frozenset(
+    "active area articles bar block body bottom box btn button buttons col column container content desktop dfp entry fixed global google group "
+    "header holder icon icons id inline inner item items js label left link links list lists main message mobile module notices outer page panel "
+    "placeholder post posts primary region right row secondary section site slot sticky stories text thread title top unit wp wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A word under a hinting id weighs this on pages without an article element: the region ends there unless more follows.
+DOUBTFUL = -0.1
 
 _TOKEN = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+>|</?[a-zA-Z][^>]*(?:>|\Z)"
@@ -54,6 +63,18 @@ class Run:
     breaks: bool  # a block begins or ends here
     element: int  # number of the article element around it, or -1
     aside: bool
+    hint: int = -1  # number of the innermost hinting element around it, or -1
+    doubtful: bool = False  # an id around it hints
+
+
+@dataclass
+class Hint:
+    """An element whose class, role or id hints that it isn't part of an article."""
+
+    parent: int  # the hinting element around it, or -1
+    element: int  # the article element around it, or -1
+    sure: bool  # by class or role; an id may be made from a title and only lowers scores
+    words: int = 0
 
 
 @dataclass
@@ -66,33 +87,47 @@ class Page:
         return "none" if self.article < 0 else "in" if run.element == self.article else "out"
 
 
-def hinted(tag: str, name: str) -> bool:
-    """Whether class, id or role name something that isn't part of an article."""
-    if name in ("html", "body", "article", "main"):
-        return False
-    for match in _HINT_ATTRIBUTE.finditer(tag):
-        value = next(v for v in match.groups()[1:] if v is not None)
-        if any(w.lower() in HINTS for w in _HINT_WORD.findall(value)):
+def hinting(value: str) -> bool:
+    """Whether one of the names in a class, role or id is made of hints and the words that go with them."""
+    for token in value.split():
+        words = [w.lower() for w in _HINT_WORD.findall(token)]
+        if any(w in HINTS for w in words) and all(w in HINTS or w in HINT_PARTS or len(w) == 1 for w in words):
             return True
     return False
 
 
+def hinted(tag: str, name: str, within: bool) -> str:
+    """``sure`` where class or role name something that isn't part of an article, ``id`` where the id alone does, or empty.
+
+    ``within`` an article or main element, sections and paragraphs have ids made from their titles: there only
+    those of a ``div`` that isn't marked as a section count.
+    """
+    if name in ("html", "body", "main") or name in HEADINGS:
+        return ""
+    values: dict[str, str] = {}
+    for match in _HINT_ATTRIBUTE.finditer(tag):
+        values.setdefault(match.group(1).lower(), next(v for v in match.groups()[1:] if v is not None))
+    if hinting(values.get("class", "")) or hinting(values.get("role", "")):
+        return "sure"
+    if within and (name != "div" or "section" in values.get("class", "").lower().split()):
+        return ""
+    return "id" if hinting(values.get("id", "")) else ""
+
+
 def parse(source: str) -> Page:
     """Tags and texts of a page with their surroundings, in one pass that tolerates unclosed elements."""
     page, pos = Page(), 0
-    # open elements that matter: (name, aside from here on, article number from here on, in a link)
-    stack: list[tuple[str, bool, int, bool]] = [("", False, -1, False)]
-    articles: list[str] = []
-    words_in: Counter[int] = Counter()
+    # open elements that matter: (name, aside from here on, article number from here on, in a link, hint from here on)
+    stack: list[tuple[str, bool, int, bool, int]] = [("", False, -1, False, -1)]
+    articles: list[tuple[str, int, int]] = []  # name, number of the main element around it or -1, hint
+    hints: list[Hint] = []
     runs = page.runs
 
     def add_text(raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         count = len(text.split())
-        _, aside, number, link = stack[-1]
-        runs.append(Run(("word", "aside" if aside else "link" if link else "plain"), count, text, False, number, aside))
-        if not aside and number >= 0:
-            words_in[number] += count
+        _, aside, number, link, hint = stack[-1]
+        runs.append(Run(("word", "link" if link else "plain"), count, text, False, number, aside, hint))
 
     while pos < len(source):
         match = _TOKEN.search(source, pos)
@@ -121,21 +156,24 @@ def parse(source: str) -> Page:
                 _close(stack, ("p",), BLOCKS - {"p"})
             if name == "li":
                 _close(stack, ("li", "p"), frozenset(("ul", "ol", "menu")))
-        _, aside, number, link = stack[-1]
+        _, aside, number, link, hint = stack[-1]
         if not closing and name not in VOID and not tag.endswith("/>"):
-            outer = number
+            outer, around = number, hint
+            kind = hinted(tag, name, outer >= 0)
+            if kind:
+                hints.append(Hint(hint, outer, kind == "sure"))
+                hint = len(hints) - 1
             if name in ("article", "main") and not aside:
-                articles.append(name)
-                number = len(articles) - 1 if name == "article" or outer < 0 else outer
-                if name == "article" and outer >= 0 and articles[outer] == "article":
-                    number = outer  # an article within an article is a part of it
+                own = outer >= 0 and (name == "main" or articles[outer][0] == "article")  # an article within an article is a part of it
+                articles.append((name, outer if outer >= 0 and not own else -1, hint))
+                number = outer if own else len(articles) - 1
             page_header = name == "header" and number < 0
-            aside = aside or name in ASIDE or page_header or hinted(tag, name)
-            if block or name == "a" or aside != stack[-1][1]:
-                stack.append((name, aside, number, link or name == "a"))
+            aside = aside or name in ASIDE or page_header
+            if block or name == "a" or aside != stack[-1][1] or hint != around:
+                stack.append((name, aside, number, link or name == "a", hint))
         known = name if block or name in INLINE else "other"
-        runs.append(Run(("tag", known), 0, "", block, number, aside))
-    _choose_article(page, articles, words_in)
+        runs.append(Run(("tag", known), 0, "", block, number, aside, hint))
+    _settle(page, articles, hints)
     return page
 
 
@@ -149,13 +187,63 @@ def _close(stack: list, names: tuple[str, ...], barrier: frozenset[str]) -> None
             return
 
 
-def _choose_article(page: Page, kinds: list[str], words_in: Counter[int]) -> None:
-    """The article element with the most words, else the main element with the most."""
-    for kind in ("article", "main"):
-        some = [n for n, k in enumerate(kinds) if k == kind and words_in[n]]
-        if some:
-            page.article = max(some, key=lambda n: (words_in[n], -n))
-            return
+def _settle(page: Page, articles: list[tuple[str, int, int]], hints: list[Hint]) -> None:
+    """Choose the main article element, decide which hints hold and mark the runs accordingly.
+
+    A hint holds if its element has less than half of the page's words and the main article isn't in it.
+    """
+    total = 0
+    for run in page.runs:
+        if run.words and not run.aside:
+            total += run.words
+            if run.hint >= 0:
+                hints[run.hint].words += run.words
+    for hint in reversed(hints):  # an element comes after those around it
+        if hint.parent >= 0:
+            hints[hint.parent].words += hint.words
+    holds = [2 * h.words < total or not h.words for h in hints]
+
+    def under(sure: bool) -> list[bool]:
+        found: list[bool] = []
+        for h, hold in zip(hints, holds, strict=True):
+            found.append((hold and h.sure == sure) or (h.parent >= 0 and found[h.parent]))
+        return [*found, False]  # the last for -1
+
+    left = under(True)
+    left_within: list[bool] = []  # by a hint within the same article element
+    for h, hold in zip(hints, holds, strict=True):
+        up = h.parent >= 0 and hints[h.parent].element == h.element and left_within[h.parent]
+        left_within.append((hold and h.sure) or up)
+    words_in: Counter[int] = Counter()
+    plain = 0
+    for run in page.runs:
+        if run.words and not run.aside:
+            plain += 0 if left[run.hint] else run.words
+            if run.hint < 0 or hints[run.hint].element != run.element or not left_within[run.hint]:
+                words_in[run.element] += run.words
+    page.article = _choose_article(articles, words_in, left, plain)
+    chosen = page.article
+    if chosen >= 0:
+        at = articles[chosen][2]
+        while at >= 0:
+            holds[at], at = False, hints[at].parent
+    sure, doubtful = under(True), under(False)
+    for run in page.runs:
+        run.aside = run.aside or sure[run.hint]
+        run.doubtful = doubtful[run.hint] and not run.aside
+        if run.element >= 0 and chosen >= 0 and articles[run.element][1] == chosen:
+            run.element = chosen  # articles within the main element are parts of it
+        if run.aside and run.feature[0] == "word":
+            run.feature = ("word", "aside")
+
+
+def _choose_article(articles: list[tuple[str, int, int]], words_in: Counter[int], left: list[bool], plain: int) -> int:
+    """The article or main element with the most words of its own, an article among equals; -1 without one.
+
+    An element that is left out by a hint counts if it has more words than all that isn't left out.
+    """
+    some = [n for n, (_, _, hint) in enumerate(articles) if words_in[n] and (not left[hint] or words_in[n] > plain)]
+    return max(some, key=lambda n: (words_in[n], articles[n][0] == "article", -n), default=-1)
 
 
 # ---- weights ----
@@ -178,6 +266,8 @@ def label_counts(page: Page) -> Counter[tuple[str, str, str, bool]]:
         return counts
     for run in page.runs:
         main = run.element == page.article and not run.aside
+        if run.doubtful:
+            continue
         for place in (page.place(run), "none"):
             counts[(place, *run.feature, main)] += run.words or run.feature[0] == "tag"
     return counts
@@ -214,9 +304,12 @@ def main_text(source: str, weights: Weights) -> str:
     for run in page.runs:
         place = page.place(run)
         word = run.feature[0] == "word"
-        weight = weights.get((place, *run.feature), UNSEEN[place][0 if word else 1])
+        unseen = min(0.0, UNSEEN[place][0]) if run.feature == ("word", "aside") else UNSEEN[place][0 if word else 1]
+        weight = weights.get((place, *run.feature), unseen)
         if run.aside and place != "out" and run.element >= 0:
             weight = 0.0 if word else TAG_COST[1]  # left out of the text anyhow: no reason to end the region here
+        elif run.doubtful and place != "out":
+            weight = (0.0 if place == "in" else DOUBTFUL) if word else TAG_COST[1]  # kept where more of the text follows
         scores.append(weight * run.words if word else weight)
     begin, end = best_region(scores)
     blocks, parts = [], []

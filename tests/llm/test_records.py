@@ -90,6 +90,25 @@ def test_main_text_of_pages(weights, inner):
     assert main_text(page(inner), weights) == TEXT
 
 
+SOCIAL = "<h2 id='related-work'>Related work</h2><section id='search'><h3 id=search>Search</h3><p class='social-impact'>How we searched.</p></section>"
+
+
+@pytest.mark.parametrize("inner, more", [
+    (f"<div class='layout has-sidebar'><article>{ARTICLE}</article></div>", ""),
+    (f"<div class='page-with-comments'><article>{ARTICLE}</article></div>", ""),
+    (f"<div class='sidebar'><article>{ARTICLE * 3}</article></div>", ("\n" + TEXT) * 2),
+    (f"<div id='search'><article>{ARTICLE}</article></div>", ""),
+    (f"<article>{ARTICLE}{SOCIAL}</article>", "\nRelated work\nSearch\nHow we searched."),
+    (f"<main>{ARTICLE}{SOCIAL}</main>", "\nRelated work\nSearch\nHow we searched."),
+    (f"<main>{ARTICLE * 4}</main><article class='comment'>{'<p>I think so too.</p>' * 3}</article>", ("\n" + TEXT) * 3),
+    (f"<main>{ARTICLE * 4}<article class='comment'>{'<p>I think so too.</p>' * 3}</article></main>", ("\n" + TEXT) * 3),
+    (f"<main>{ARTICLE * 4}</main><article><p>Another short one</p></article>", ("\n" + TEXT) * 3),
+    (f"<article>{ARTICLE * 4}<article class='comment'><p>I think so too.</p></article></article>", ("\n" + TEXT) * 3),
+])
+def test_hints_take_no_text_from_the_article(weights, inner, more):
+    assert main_text(page(inner), weights) == TEXT + more
+
+
 def test_odd_pages(spark, weights):
     long = "<article>" + "<p>word &lt; word</p>" * 20_000 + "</article>"
     cases = ["", None, "just words", "<p", "<<<>>>", "<script>x", "<!-- open", "a < b and c > d", "&nbsp;&#32;", long, "<div>" * 3000 + "deep words" + "</div>" * 10]
