@@ -53,12 +53,26 @@ def worth_exact(estimated: np.ndarray, factor: np.ndarray, bits: int, threshold:
 
 
 def _tables(rows: int, bits: int, threshold: float) -> list[np.ndarray]:
-    """Bit positions of each table's key: enough tables that a pair at the threshold shares a key in one."""
+    """Positions of each table's key bits behind the ``bits`` of a code: enough tables that a pair at the threshold shares a key in one.
+
+    No two tables share a bit and every bit has its own random direction, so the tables are independent.
+    """
     width = max(1, min(20, ceil(log2(max(2, rows / CELL_ROWS)))))
     same = (1 - acos(threshold) / pi) ** width
     count = ceil(log(MISS) / log(1 - same))
-    rng = np.random.default_rng(SEED + 1)
-    return [rng.choice(bits, size=width, replace=False) for _ in range(count)]
+    begin = ceil(bits / 8) * 8
+    return [begin + np.arange(t * width, (t + 1) * width) for t in range(count)]
+
+
+def key_bits(unit: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Packed signs of the unit vectors along the directions of all tables' keys."""
+    parts = [np.packbits(unit[at : at + BLOCK_ROWS] @ directions.T > 0, axis=1) for at in range(0, len(unit), BLOCK_ROWS)]
+    return np.concatenate(parts) if parts else np.zeros((0, ceil(len(directions) / 8)), np.uint8)
+
+
+def key_directions(tables: list[np.ndarray], dim: int) -> np.ndarray:
+    """An independent Gaussian direction for every key bit: each tells a pair apart with chance angle / pi, whatever the others do."""
+    return np.random.default_rng(SEED + 1).standard_normal((sum(map(len, tables)), dim))
 
 
 def near_duplicate_vectors(
@@ -66,8 +80,8 @@ def near_duplicate_vectors(
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row, linking vectors with cosine of at least ``threshold``.
 
-    Equal vectors are one node that stands for all its rows. Every node is coded once; in each
-    table it lies in the cell of its key bits. Within a cell the codes and their factors estimate
+    Equal vectors are one node that stands for all its rows. Every node is coded once, with key
+    bits of its own for each table, where it lies in the cell of those bits. Within a cell the codes and their factors estimate
     all cosines, and the pairs whose confidence bound reaches the threshold are computed in double
     precision from the stored vectors. A pair counts in the first table where it meets, so links
     are counted without listing pairs; each cell passes on the counts and a spanning forest of
@@ -82,19 +96,22 @@ def near_duplicate_vectors(
     keyed = usable.withColumn("digest", F.xxhash64("vec", F.lit(1))).withColumn("digest2", F.xxhash64(F.lit(2), "vec"))
     nodes = keyed.groupBy("digest", "digest2").agg(F.min(F.struct("id", "vec")).alias("r"), F.count("*").alias("w"))
     turn = rotation(bits, dim, SEED) if dim else np.zeros((bits, 1))
+    tables = _tables(keyed.select("digest", "digest2").distinct().count(), bits, threshold)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = key_directions(tables, dim)
         for batch in batches:
             vectors = matrix(batch.column(1), dim)
-            packed, factor = encode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), turn)
-            coded = pa.array([p.tobytes() for p in packed], pa.binary())
+            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            packed, factor = encode(unit, turn)
+            # stored once: a sign near zero might come out otherwise when computed again among other rows
+            coded = pa.array([p.tobytes() for p in np.concatenate((packed, key_bits(unit, directions)), axis=1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, coded, pa.array(factor.astype(np.float32))], names=["id", "vec", "w", "digest", "digest2", "code", "factor"])
 
     coded = nodes.select("r.id", "r.vec", "w", "digest", "digest2").mapInArrow(
         code, f"id {kind}, vec array<double>, w bigint, digest bigint, digest2 bigint, code binary, factor float"
     )
     coded = stored(coded)
-    tables = _tables(coded.count(), bits, threshold)
     counts, edges = _compare(coded, tables, turn, dim, bits, threshold, kind)
     found = connected_components(edges).withColumnRenamed("node", "id")
     named = coded.select("id", "w", "digest", "digest2").join(counts, "id", "left").join(found, "id", "left")
@@ -125,7 +142,7 @@ _PLACED = "t int, key bigint, id {}, w bigint, code binary, factor float, vec ar
 
 
 def _keys(bits_of: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Key of each row in each table, from unpacked code bits."""
+    """Key of each row in each table, from unpacked bits."""
     return np.stack([bits_of[:, t].astype(np.int64) @ (1 << np.arange(len(t), dtype=np.int64)) for t in tables], axis=1)
 
 
@@ -159,7 +176,7 @@ def _links(tables: list[np.ndarray], turn: np.ndarray, dim: int, bits: int, thre
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         on = _unpacked(part.column("code").combine_chunks())
         factor = part.column("factor").to_numpy().astype(np.float64)
-        signs = (2 * on.astype(np.int8) - 1)
+        signs = (2 * on[:, :bits].astype(np.int8) - 1)
         left = np.arange(len(block)) if same_block else np.flatnonzero(block == block[0])
         right = left if same_block else np.flatnonzero(block != block[0])
         if not len(right):

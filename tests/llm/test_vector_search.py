@@ -65,6 +65,22 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert abs(np.mean(found) - x @ y) < 0.01
 
 
+def test_pairs_at_the_threshold_share_a_cell_in_large_tables():
+    tables = near_vectors._tables(100_000_000, 256, 0.95)
+    assert len(np.unique(np.concatenate(tables))) == sum(map(len, tables)) and min(map(min, tables)) >= 256
+    rng = np.random.default_rng(5)
+    directions = near_vectors.key_directions(tables, 64)
+    missed = 0
+    for _ in range(20):  # 20,000 pairs
+        x, other = rng.standard_normal((2, 1000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        other -= (other * x).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + np.sqrt(1 - 0.95**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+        a, b = (near_vectors._keys(np.unpackbits(np.concatenate((np.zeros((1000, 32), np.uint8), near_vectors.key_bits(v, directions)), axis=1), axis=1), tables) for v in (x, y))
+        missed += int((a != b).all(axis=1).sum())
+    assert missed <= 3  # 0.2 are expected, 28 where tables share the bits of the code
+
+
 def test_empty_and_unusable_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_vectors.near_duplicate_vectors(empty).collect() == []
