@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedlens.llm.html_text import extract_main_text, fit_weights
 from feedlens.llm.language import LanguageModel, fit_languages, identify_languages
+from feedlens.llm.licenses import license_digest, scan_licenses
 from feedlens.llm.mixing import mix_plan
 from feedlens.llm.near_text import near_duplicates
 from feedlens.llm.near_vectors import near_duplicate_vectors
@@ -91,6 +92,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_license_scan": op11_license_scan,
 }
 
 ORACLE = {
