@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -15,30 +19,59 @@ from feedlens.llm.common import stored
 
 #: Texts tokenised at a time, and their bytes at most unless a single text is longer.
 BATCH_ROWS, BATCH_BYTES = 64, 1 << 20
-#: Pairs of a group that are written out before equal ones are added up.
-GROUP_PAIRS = 1 << 16
+#: Pairs of a group that are listed before equal ones are added up, and pairs of a text held at a time.
+GROUP_PAIRS, HELD_PAIRS = 1 << 16, 1 << 20
+#: Bytes of pairs that a writing task holds before it writes them.
+ROW_GROUP = 16 << 20
 #: Id pairs sent to all tasks; the rarer ones are joined through a shuffle.
 FREQUENT_PAIRS = 1 << 18
 
 
+#: Characters on whose kind (letter, digit, space, other) all pattern engines agree: Latin letters, common punctuation, no separators that only some count as spaces.
+PLAIN = re.compile("[\x00-\x1b\x20-\u024f\u2010-\u2027\u20ac]*")
+#: How byte-level BPE cuts a text into words before it merges bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteTokenizer:
-    """A byte-level BPE of the tokenizers library: ids of a text, and the bytes of each id. Special tokens inside texts are plain text."""
+    """A byte-level BPE of the tokenizers library: ids of a text, and the bytes of each id. Special tokens inside texts are plain text.
+
+    If merges are ranked by the ids they make, texts of plain characters go through a quicker
+    encoder built from the same file; all others go through the library itself.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
         # printable Latin-1 characters stand for themselves, the other bytes in order for 256 and up
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.pieces = [bytes(byte_of[c] for c in n) if all(c in byte_of for c in n) else n.encode() for n in names]
+        named = whole["model"]["vocab"] | {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.pieces = [b""] * (max(named.values()) + 1)
+        for name, i in named.items():
+            self.pieces[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
+        made = [named.get("".join(m if isinstance(m, list) else m.split(" "))) for m in whole["model"]["merges"]]
+        ranked = None not in made and made == sorted(made) and set(made) | set(range(256)) == set(range(256 + len(made)))
+        ranks = {self.pieces[i]: i for i in range(256 + len(made))} if ranked else {}
+        self.quick = tiktoken.Encoding("plain", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(made) else None
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        if self.quick and PLAIN.fullmatch(text):
+            return self.quick.encode_ordinary(" " + text)
+        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
 
 class PieceTokenizer:
@@ -48,16 +81,15 @@ class PieceTokenizer:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(self.model.get_piece_size())
-        names = self.model.id_to_piece(list(ids))
-        self.pieces = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in zip(ids, names, strict=True)]
+        names = self.model.id_to_piece(list(range(self.model.get_piece_size())))
+        self.pieces = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
 
 
 def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Where groups end: the numbers of A and of B tokens up to and with each group.
+    """Places of the A and of the B tokens that end inside a group; every other token ends one.
 
     ``a`` and ``b`` are the byte offsets at which the tokens of either side end, rising and with
     the same last one. While the ends agree at the current shift between the two indices, slices
@@ -66,77 +98,98 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     together, which makes one irregular group and sets the new shift.
     """
     i, shift, n = 0, 0, len(a)
-    ends_a: list[int] = []
-    ends_b: list[int] = []
-    while i < n:
-        begin, step = i, 1
-        while i < n and a[i : i + step] == b[i + shift : i + shift + step]:
+    inner_a: list[int] = []
+    inner_b: list[int] = []
+    while True:
+        step = 1
+        while a[i : i + step] == b[i + shift : i + shift + step]:
             i += step
+            if i >= n:
+                return inner_a, inner_b
             step *= 2
         while step > 1:
             step //= 2
-            if i < n and a[i : i + step] == b[i + shift : i + shift + step]:
+            if a[i : i + step] == b[i + shift : i + shift + step]:
                 i += step
-        if i > begin:
-            i = min(i, n)
-            ends_a.extend(range(begin + 1, i + 1))
-            ends_b.extend(range(begin + shift + 1, i + shift + 1))
-            if i == n:
-                break
         j = i + shift
         end_a, end_b = a[i], b[j]
         while end_a != end_b:
             if end_a < end_b:
+                inner_a.append(i)
                 i += 1
                 end_a = a[i]
             else:
+                inner_b.append(j)
                 j += 1
                 end_b = b[j]
         i += 1
         shift = j + 1 - i
-        ends_a.append(i)
-        ends_b.append(j + 1)
-    return ends_a, ends_b
-
-
-def linked_pairs(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if i == n:
+            return inner_a, inner_b
+
+
+def group_ends(n: int, inner: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens up to and with each group, and of each group."""
+    last = np.ones(n, dtype=bool)
+    last[inner] = False
+    ends = np.flatnonzero(last) + 1
+    sizes = ends.copy()
+    sizes[1:] -= ends[:-1]
+    return ends, sizes
+
+
+class PairLinks:
+    """Distinct id pairs with their numbers of links; equal ones are added up before many are held."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.links: list[np.ndarray | None] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, links: np.ndarray | None = None) -> None:
+        """Pairs with one link each, or with ``links``."""
+        if self.held + len(keys) > HELD_PAIRS and self.held:
+            distinct, total = self.total()
+            self.keys, self.links, self.held = [distinct], [total], len(distinct)
+        self.keys.append(keys)
+        self.links.append(links)
+        self.held += len(keys)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate(self.keys)
+        if all(n is None for n in self.links):
+            return np.unique(keys, return_counts=True)
+        distinct, at = np.unique(keys, return_inverse=True)
+        links = np.concatenate([np.ones(len(k), dtype=np.int64) if n is None else n for k, n in zip(self.keys, self.links, strict=True)])
+        return distinct, np.bincount(at, links, len(distinct)).astype(np.int64)
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, size_a: np.ndarray, ends_b: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct id pairs ``a << 32 | b`` of a document that share a group, ascending, and the links of each.
 
     A group of m and n tokens has m * n links; equal ids of a large group are added up before they
     meet those of the other side, so a long group costs its distinct pairs only.
     """
-    size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-    single = (size_a == 1) & (size_b == 1)
-    keys = [(a[ends_a[single] - 1] << 32) | b[ends_b[single] - 1]]
-    links = [np.ones(len(keys[0]), dtype=np.int64)]
     product = size_a * size_b
-    small = ~single & (product <= GROUP_PAIRS)
-    # pairs of all small groups at once: the k-th pair of a group takes its A token k // n and its B token k % n
-    total = product[small]
-    if len(total):
-        for part in np.split(np.arange(len(total)), np.flatnonzero(np.diff(np.cumsum(total) // (16 * GROUP_PAIRS))) + 1):
-            count = total[part]
-            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            width = np.repeat(size_b[small][part], count)
-            first_a = np.repeat((ends_a - size_a)[small][part], count)
-            first_b = np.repeat((ends_b - size_b)[small][part], count)
-            keys.append((a[first_a + k // width] << 32) | b[first_b + k % width])
-            links.append(np.ones(len(k), dtype=np.int64))
+    single = product == 1
+    found = PairLinks()
+    found.add((a[ends_a[single] - 1] << 32) | b[ends_b[single] - 1])
+    product[single] = 0
+    small = np.flatnonzero((product > 0) & (product <= GROUP_PAIRS))
+    # pairs of many groups at once: the k-th pair of a group takes its A token k // n and its B token k % n
+    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(product[small]) // HELD_PAIRS)) + 1):
+        count = product[part]
+        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        width = np.repeat(size_b[part], count)
+        at_a = np.repeat((ends_a - size_a)[part], count) + k // width
+        at_b = np.repeat((ends_b - size_b)[part], count) + k % width
+        found.add((a[at_a] << 32) | b[at_b])
     for g in np.flatnonzero(product > GROUP_PAIRS):
         ids_a, count_a = np.unique(a[ends_a[g] - size_a[g] : ends_a[g]], return_counts=True)
         ids_b, count_b = np.unique(b[ends_b[g] - size_b[g] : ends_b[g]], return_counts=True)
         for x, times in zip(ids_a.tolist(), count_a.tolist(), strict=True):
-            keys.append((x << 32) | ids_b)
-            links.append(times * count_b)
-            if sum(map(len, keys[-64:])) > 16 * GROUP_PAIRS:
-                keys, links = _added_up(keys, links)
-    keys, links = _added_up(keys, links)
-    return keys[0], links[0]
-
-
-def _added_up(keys: list[np.ndarray], links: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return [distinct], [np.bincount(at, np.concatenate(links), len(distinct)).astype(np.int64)]
+            found.add((x << 32) | ids_b, times * count_b)
+    return found.total()
 
 
 class Aligner:
@@ -145,48 +198,38 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteTokenizer(path_a), PieceTokenizer(path_b)
         self.bytes_a, self.bytes_b = (np.array([len(p) for p in t.pieces], dtype=np.int64) for t in (self.a, self.b))
-        # an id as it stands in the text of the groups: inside a side, at the end of A's and of B's side
-        ids = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.inner, self.last_a, self.last_b = ([i + sign for i in ids] for sign in (b",", b"|", b";"))
+        # an id as it stands in the written groups, first inside a side and then at its end
+        self.written_a, self.written_b = (
+            np.array([f"{i}{sign}".encode() for sign in ("," + last) for i in range(len(t.pieces))], dtype=object) for t, last in ((self.a, "|"), (self.b, ";"))
+        )
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple]:
         """``(n_a, n_b, n_groups, n_links, sha256, keys, links)`` of each text."""
-        usable = [t for t in texts if t]
-        pairs = zip(self.a.encode(usable), self.b.encode(usable), strict=True) if usable else iter(())
-        for text in texts:
-            if not text:
-                yield NO_TOKENS
-                continue
-            a, b = next(pairs)
-            yield self._row(b" " + text.encode("utf-8", "surrogatepass"), a, b)
-
-    def _row(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
-        pieces_a, pieces_b = self.a.pieces, self.b.pieces
-        if b"".join([pieces_a[i] for i in a]) != raw or b"".join([pieces_b[i] for i in b]) != raw:
+        return (self._row(text) if text else NO_TOKENS for text in texts)
+
+    def _row(self, text: str) -> tuple:
+        ids_a, ids_b = self.a.encode(text), self.b.encode(text)
+        raw = b" " + text.encode()
+        if any(b"".join([pieces[i] for i in ids]) != raw for pieces, ids in ((self.a.pieces, ids_a), (self.b.pieces, ids_b))):
             return NO_TOKENS
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        ends_a, ends_b = align(np.cumsum(self.bytes_a[ids_a]).tolist(), np.cumsum(self.bytes_b[ids_b]).tolist())
-        keys, links = linked_pairs(ids_a, ids_b, np.array(ends_a), np.array(ends_b))
-        return len(a), len(b), len(ends_a), int(links.sum()), self._digest(a, b, ends_a, ends_b), keys, links
+        a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
+        inner_a, inner_b = align(np.cumsum(self.bytes_a[a]).tolist(), np.cumsum(self.bytes_b[b]).tolist())
+        groups = *group_ends(len(a), inner_a), *group_ends(len(b), inner_b)
+        keys, links = linked_pairs(a, b, *groups)
+        return len(a), len(b), len(groups[0]), int(links.sum()), self._digest(a, b, *groups), keys, links
 
-    def _digest(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
+    def _digest(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, size_a: np.ndarray, ends_b: np.ndarray, size_b: np.ndarray) -> str:
         """SHA-256 of ``a1,a2|b1;a3|b2,b3``: the groups with their ids in order."""
-        inner, last_a, last_b = self.inner, self.last_a, self.last_b
-        parts: list[bytes] = []
-        put = parts.append
-        i = j = 0
-        for to_a, to_b in zip(ends_a, ends_b, strict=True):
-            while i < to_a - 1:
-                put(inner[a[i]])
-                i += 1
-            put(last_a[a[i]])
-            i += 1
-            while j < to_b - 1:
-                put(inner[b[j]])
-                j += 1
-            put(last_b[b[j]])
-            j += 1
-        return hashlib.sha256(b"".join(parts)[:-1]).hexdigest()
+        last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        last_a[ends_a - 1] = len(self.bytes_a)
+        last_b[ends_b - 1] = len(self.bytes_b)
+        # an A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its own group too
+        at_a = np.arange(len(a)) + np.repeat(ends_b - size_b, size_a)
+        at_b = np.arange(len(b)) + np.repeat(ends_a, size_b)
+        written = np.empty(len(a) + len(b), dtype=object)
+        written[at_a] = self.written_a[a + last_a]
+        written[at_b] = self.written_b[b + last_b]
+        return hashlib.sha256(b"".join(written.tolist())[:-1]).hexdigest()
 
 
 NO_TOKENS = (0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
@@ -270,7 +313,8 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     stays null, repeated rows count as documents of their own, other columns are ignored and an
     empty table gives no rows. Memory is that of one text with its distinct pairs.
     """
-    aligned = stored(aligned_documents(docs, path_a, path_b, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    aligned = aligned_documents(docs, path_a, path_b, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    aligned = stored(aligned, **{"parquet.block.size": ROW_GROUP})
     counts = stored(pair_counts(aligned))
     least = frequent_from(counts)
     held = aligned.select("row", F.posexplode("pair_a").alias("at", "a"), "pair_b", "pair_links")

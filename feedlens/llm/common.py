@@ -24,15 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options) -> DataFrame:
     """Cut lineage by writing a Parquet table into the shared folder and reading it back.
 
     Unlike a checkpoint it is compressed and later readers load only the columns they need. The
-    table is removed when the session's file systems close.
+    table is removed when the session's file systems close. ``options`` go to the writer.
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.options(**options).parquet(place)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

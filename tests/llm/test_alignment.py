@@ -134,6 +134,18 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert alignment.align_tokenizers(df.limit(0), *PATHS).collect() == []
 
 
+def test_plain_texts_get_the_ids_of_the_library():
+    """Every plain character beside letters, digits, spaces and signs, and odd texts."""
+    a_model, b_model, _ = models()
+    side = alignment.ByteTokenizer(PATHS[0])
+    assert side.quick
+    plain = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if alignment.PLAIN.fullmatch(chr(c))]
+    rng = random.Random(9)
+    texts = ["".join(f"{c}{rng.choice(['a', ' ', '1', '!', chr(39) + 's', chr(10)])}{c}{c} {c}" for c in plain[i : i + 8]) for i in range(0, len(plain), 8)]
+    texts += ["".join(rng.choice([*plain, " ", " ", "the", "\n", "'ll", "  ", "12"]) for _ in range(60)) for _ in range(600)] + [t for t in ODD if t]
+    assert [side.encode(t) for t in texts] == [a_model.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_runs_and_irregular_groups_equal_common_ends():
     rng = random.Random(6)
     for _ in range(400):
@@ -143,7 +155,7 @@ def test_runs_and_irregular_groups_equal_common_ends():
         base = sorted(rng.sample(range(1, last), n))
         a = [x for x in base if rng.random() < keep] + [last]
         b = [x for x in base if rng.random() < keep] + [last]
-        ends_a, ends_b = alignment.align(a, b)
+        ends_a, ends_b = (alignment.group_ends(len(x), inner)[0] for x, inner in zip((a, b), alignment.align(a, b), strict=True))
         common = sorted(set(a) & set(b))
         assert [a[i - 1] for i in ends_a] == common and [b[j - 1] for j in ends_b] == common
 
@@ -151,18 +163,20 @@ def test_runs_and_irregular_groups_equal_common_ends():
 @pytest.mark.parametrize("limit", [1 << 16, 6, 0])
 def test_pairs_of_groups_equal_all_occurrence_pairs(monkeypatch, limit):
     monkeypatch.setattr(alignment, "GROUP_PAIRS", limit if limit else 1)
+    monkeypatch.setattr(alignment, "HELD_PAIRS", 4 * limit if limit else 3)
     rng = random.Random(7)
     for _ in range(100):
         sizes = [(rng.randrange(1, 6), rng.randrange(1, 6)) if rng.random() < 0.4 else (1, 1) for _ in range(rng.randrange(1, 60))]
         groups = [([rng.randrange(4) for _ in range(m)], [rng.randrange(4) for _ in range(n)]) for m, n in sizes]
         a, b = (np.array([x for g in groups for x in g[s]]) for s in (0, 1))
-        ends_a, ends_b = (np.cumsum([len(g[s]) for g in groups]) for s in (0, 1))
-        keys, links = alignment.linked_pairs(a, b, ends_a, ends_b)
+        size_a, size_b = (np.array([len(g[s]) for g in groups]) for s in (0, 1))
+        keys, links = alignment.linked_pairs(a, b, np.cumsum(size_a), size_a, np.cumsum(size_b), size_b)
         want = Counter((x << 32) | y for left, right in groups for x in left for y in right)
         assert dict(zip(keys.tolist(), links.tolist(), strict=True)) == want and (np.diff(keys) > 0).all()
 
 
 def test_a_long_irregular_group_costs_its_distinct_pairs():
     a, b = np.arange(50_000) % 3, np.arange(40_000) % 2
-    keys, links = alignment.linked_pairs(a, b, np.array([50_000]), np.array([40_000]))
+    whole_a, whole_b = np.array([50_000]), np.array([40_000])
+    keys, links = alignment.linked_pairs(a, b, whole_a, whole_a, whole_b, whole_b)
     assert len(keys) == 6 and links.sum() == 50_000 * 40_000
