@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.constants import CANDIDATE_FILTERS, EVIDENCE_THRESHOLD, GENERIC_WORDS, WS
-from feedlens.functions.text import ngram_jaccard, round_half_even, same_topic, strip, token_jaccard
+from feedlens.functions.text import embedding_text, ngram_jaccard, query_text, round_half_even, same_topic, strip, token_jaccard
 from feedlens.functions.vectors import pair_similarity
 from feedlens.operators.cluster import cohesion
 from feedlens.operators.components import connected_components
 from feedlens.operators.dedup import choose_representatives
 from feedlens.operators.number import number_rows
+from feedlens.operators.retrieve import retrieve
 
 # --- retrieval ---------------------------------------------------------------
 
@@ -67,6 +68,26 @@ def ir_macro(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def compare_encoders(
+    queries: DataFrame, truth: DataFrame, proposals: DataFrame, tickets: DataFrame, encoders: dict, k: int = 5, threshold: float = 0.0,
+) -> DataFrame:
+    """``ir_macro`` per encoder: all of them answer the same queries over whole ticket texts.
+
+    ``queries`` is ``(query_id, total_relevant)``, ``truth`` ``(query_id, ticket_id)``, ``proposals``
+    ``(proposal_id, keywords)`` and ``tickets`` ``(pos, ticket_id, topic, message)``; an encoder adds a unit vector of a text column.
+    """
+    parts = []
+    for name, encoder in encoders.items():
+        asked = encoder.encode(proposals.select("proposal_id", query_text(F.col("keywords")).alias("_text")), "_text", "query_vec")
+        rows = encoder.encode(tickets, embedding_text(F.col("topic"), F.col("message"))).select("pos", "ticket_id", "vec")
+        found = retrieve(asked, rows, k, threshold).withColumnRenamed("proposal_id", "query_id")
+        parts.append(ir_metrics(queries, mark_hits(found, truth), k).withColumn("encoder", F.lit(name)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return ir_macro(every, ("encoder",))
+
+
 def negative_controls(queries: DataFrame, ranked: DataFrame, threshold: float = EVIDENCE_THRESHOLD, query: str = "query_id") -> DataFrame:
     """Top score and count at or above the gate for queries that should find nothing."""
     totals = ranked.groupBy(query).agg(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from feedlens.constants import CLUSTER_SWEEP, DEDUP_SWEEP
 from feedlens.functions import text as T
+from feedlens.functions.text import embedding_text
 from feedlens.functions import vectors as V
-from feedlens.operators import calibrate, cluster, components, decide, dedup, encode, evaluate, pairs, prompt, retrieve, score
+from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, pairs, prompt, retrieve, score
 from feedlens.plans import pipelines, tables
 from feedlens.session import materialise
 from feedlens.sources import adapters, exports, files
@@ -421,15 +422,6 @@ def q_calib_tiers(spark: SparkSession, sf: str) -> DataFrame:
 # --- evaluation ------------------------------------------------------------------------------------
 
 
-def _vector_queries(spark, sf, dims: int | None = None) -> DataFrame:
-    """All vectors, or their first dimensions scaled back to unit length as a second encoder."""
-    rows = tables.vectors(spark, sf)
-    if dims is None:
-        return rows
-    head = F.slice("vec", 1, dims)
-    return rows.withColumn("vec", F.transform(head, lambda x: x.cast("double") / V.norm(head)))
-
-
 def _ranked_vectors(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Every vector as a query against all others; relevant are those with the same label."""
     queries = rows.select(F.col("pos").alias("proposal_id"), F.col("vec").alias("query_vec"))
@@ -451,21 +443,23 @@ _RATES = ("precision_at_k", "recall_at_k", "reciprocal_rank", "average_precision
 
 
 def q_ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    queries, hits = _ranked_vectors(_vector_queries(spark, sf), 5)
+    queries, hits = _ranked_vectors(tables.vectors(spark, sf), 5)
     return _rounded(evaluate.ir_metrics(queries, hits), *_RATES)
 
 
 def q_ir_macro(spark: SparkSession, sf: str) -> DataFrame:
-    queries, hits = _ranked_vectors(_vector_queries(spark, sf), 5)
+    queries, hits = _ranked_vectors(tables.vectors(spark, sf), 5)
     return evaluate.ir_macro(evaluate.ir_metrics(queries, hits))
 
 
 def q_encoder_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    parts = []
-    for name, dims in (("full", None), ("half", 32)):
-        queries, hits = _ranked_vectors(_vector_queries(spark, sf, dims), 5)
-        parts.append(evaluate.ir_metrics(queries, hits).withColumn("encoder", F.lit(name)))
-    return evaluate.ir_macro(parts[0].unionByName(parts[1]), ("encoder",))
+    """Two encoders of whole texts, hashed TF-IDF and its truncated SVD, on the same queries and truth."""
+    tickets, asked = tables.tickets(spark, sf), tables.proposals(spark, sf)
+    text = embedding_text(F.col("topic"), F.col("message"))
+    encoders = {"tfidf": encode.fit_text_encoder(tickets, text), "svd": dense_encoder.fit_dense_encoder(tickets, text)}
+    truth = materialise(tables.passage_truth(spark, sf))
+    queries = evaluate.relevant_counts(asked.select(F.col("proposal_id").alias("query_id")), truth)
+    return evaluate.compare_encoders(queries, truth, asked, tickets, encoders)
 
 
 def q_negative_controls(spark: SparkSession, sf: str) -> DataFrame:

@@ -313,8 +313,6 @@ ir{suffix} AS (SELECT vec_id AS query_id, count(rank) AS retrieved_count, count(
 
 
 VE = "ve AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
-VEH = """veh AS (SELECT vec_id, label, list_transform(h, lambda z: z / sqrt(list_dot_product(h, h))) AS embedding
-  FROM (SELECT vec_id, label, CAST(list_slice(embedding, 1, 32) AS DOUBLE[]) AS h FROM embeddings))"""
 MACRO = """count(*) AS queries_evaluated, round_even(avg(precision_at_k), 4) AS precision_at_k, round_even(avg(recall_at_k), 4) AS recall_at_k,
   round_even(avg(reciprocal_rank), 4) AS mrr, round_even(avg(average_precision), 4) AS map"""
 
@@ -465,8 +463,6 @@ ORACLE: dict[str, str] = {
     "q_ir_metrics": f"""WITH {SIZES}, {VE}, {ranked(5)} SELECT query_id, retrieved_count, relevant_in_top_k, total_relevant, round(precision_at_k, 6) AS precision_at_k,
       round(recall_at_k, 6) AS recall_at_k, round(reciprocal_rank, 6) AS reciprocal_rank, round(average_precision, 6) AS average_precision FROM ir""",
     "q_ir_macro": f"WITH {SIZES}, {VE}, {ranked(5)} SELECT {MACRO} FROM ir",
-    "q_encoder_comparison": f"""WITH {SIZES}, {VE}, {VEH}, {ranked(5)}, {ranked(5, suffix='h')} SELECT 'full' AS encoder, {MACRO} FROM ir
-      UNION ALL SELECT 'half', {MACRO} FROM irh""",
     "q_negative_controls": f"""WITH {TFIDF}, tu AS (SELECT conv_id || '-' || turn AS pid, text FROM conversations), {queries_cte('tu')},
       bf AS (SELECT item_id AS pos, {hexnum('w', 8)} % 262144 AS f, count(*) AS c FROM (SELECT item_id, unnest({words('text')}) AS w FROM benchmark) GROUP BY 1, 2),
       bw AS (SELECT pos, f, c * (1 + ln((1.0 + n) / (1.0 + coalesce(d, 0)))) AS w FROM bf LEFT JOIN df USING (f) CROSS JOIN nd),

@@ -79,6 +79,19 @@ def annotated_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("a").cast("string").alias("ticket_a"), F.col("b").cast("string").alias("ticket_b"), "is_duplicate")
 
 
+def passage_truth(spark: SparkSession, sf: str, width: int = 8) -> DataFrame:
+    """``(query_id, ticket_id)``: a document is relevant to a benchmark item if they share ``width`` words in a row."""
+
+    def runs(name: str, id: str, into: str) -> DataFrame:
+        words = F.split(match_key(F.col("text")), " ")
+        long = spread(table(spark, sf, name)).select(F.col(id).alias(into), words.alias("w")).where(F.size("w") >= width)
+        starts = F.sequence(F.lit(1), F.size("w") - (width - 1))
+        return long.select(into, F.explode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))).alias("run"))
+
+    shared = runs("documents", "doc_id", "ticket_id").join(runs("benchmark", "item_id", "query_id").distinct(), "run")
+    return shared.select("query_id", F.col("ticket_id").cast("string").alias("ticket_id")).distinct()
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """One prediction per document; its score comes from the length of the text."""
     from feedlens.operators.score import confidence_tier
