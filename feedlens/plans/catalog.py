@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlens.constants import CLUSTER_SWEEP, DEDUP_SWEEP
+from feedlens.constants import CLUSTER_DISTANCE, CLUSTER_SWEEP, DEDUP_SWEEP
 from feedlens.functions import text as T
 from feedlens.functions.text import embedding_text
 from feedlens.functions import vectors as V
-from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, pairs, prompt, retrieve, score
+from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, merge_forest, pairs, prompt, retrieve, score
 from feedlens.plans import pipelines, tables
 from feedlens.session import materialise
 from feedlens.sources import adapters, exports, files
@@ -546,6 +546,31 @@ def q_cluster_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.cluster_counts(cuts)
 
 
+def _ticket_forest(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Encoded tickets and the merge forest of their whole table."""
+    tickets = tables.tickets(spark, sf)
+    fitted = tables.encoder(spark, sf)
+    rows = materialise(pipelines.encode_tickets(tickets, fitted).where("vec is not null").select("pos", "vec"))
+    return rows, merge_forest.merge_forest(rows, _text_edges(fitted), max(CLUSTER_SWEEP))
+
+
+def q_corpus_cluster_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Average-link clusters of all tickets at each cut of one merge forest, with cohesion and silhouette."""
+    rows, forest = _ticket_forest(spark, sf)
+    return merge_forest.sweep_table(rows, forest, CLUSTER_SWEEP)
+
+
+def q_corpus_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Average-link clusters of all tickets at the default cut: size, medoid, theme and cohesion."""
+    rows, forest = _ticket_forest(spark, sf)
+    members = merge_forest.cut_forest(forest, rows, [CLUSTER_DISTANCE]).join(rows, "pos")
+    found = merge_forest.cluster_summary(members, ["cluster"])
+    texts = tables.tickets(spark, sf).select(F.col("pos").alias("representative_id"), "topic", "message")
+    named = found.join(texts, "representative_id")
+    theme = cluster.theme_label(F.col("topic"), F.col("message"), F.lit(2))
+    return named.select("cluster", "size", "representative_id", theme.alias("theme_label"), T.round_half_even(F.col("cohesion"), 3).alias("intra_cluster_similarity"))
+
+
 def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.table(spark, sf, "benchmark").select("item_id", (F.length("text") / 100.0).alias("value"))
     return evaluate.bootstrap_ci(rows, "value", ["item_id"])
