@@ -546,6 +546,26 @@ def q_cluster_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.cluster_counts(cuts)
 
 
+def q_evaluation_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole evaluation of the tickets in one job, its summary tables as one row per metric.
+
+    Queries are the benchmark items, relevant the documents that share a passage with them; duplicate
+    pairs are labelled by the exact key.
+    """
+    tickets, fitted = tables.tickets(spark, sf), tables.encoder(spark, sf)
+    queries = tables.proposals(spark, sf).select(F.col("proposal_id").alias("query_id"), "keywords")
+    run = pipelines.evaluation_job(queries, materialise(tables.passage_truth(spark, sf)), tickets, tables.annotated_pairs(spark, sf), fitted, _text_edges(fitted))
+    parts = []
+    for name, df, keys in (("retrieval", run.retrieval, []), ("gate", run.gate_sweep, ["threshold"]), ("dedup", run.dedup_sweep, ["threshold"]), ("clusters", run.corpus_cluster_sweep, ["distance_threshold"])):
+        at = F.col(keys[0]) if keys else F.lit(None).cast("double")
+        values = F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns if c not in keys]), F.array(*[F.col(c).cast("double") for c in df.columns if c not in keys]))
+        parts.append(df.select(F.lit(name).alias("part"), at.alias("threshold"), F.explode(values).alias("metric", "value")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
 def _ticket_forest(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Encoded tickets and the merge forest of their whole table."""
     tickets = tables.tickets(spark, sf)

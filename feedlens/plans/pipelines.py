@@ -12,10 +12,13 @@ from feedlens.constants import (
 )
 from feedlens.functions import vectors as V
 from feedlens.functions.text import embedding_text, query_text, round_half_even
-from feedlens.operators import calibrate, cluster, components, decide, dedup, evaluate, prompt, retrieve, score
+from feedlens.operators import calibrate, cluster, components, decide, dedup, evaluate, merge_forest, prompt, retrieve, score
 from feedlens.operators.encode import TextEncoder
 from feedlens.session import materialise
 
+#: Tickets retrieved per query for the sweep over gates.
+SWEEP_TOP_K = 10
+
 
 @dataclass
 class EvidenceRun:
@@ -52,6 +55,7 @@ class EvaluationRun:
     gate_sweep: DataFrame
     dedup_sweep: DataFrame
     cluster_sweep: DataFrame
+    corpus_cluster_sweep: DataFrame
 
 
 def encode_tickets(tickets: DataFrame, encoder: TextEncoder) -> DataFrame:
@@ -160,6 +164,7 @@ def evaluation_job(
     queries: DataFrame, truth: DataFrame, tickets: DataFrame, pairs: DataFrame, encoder: TextEncoder, edges_of,
     within: str | None = None, k: int = 5, gates: list[float] | None = None, gate: float = EVIDENCE_THRESHOLD,
     dedup_thresholds: list[float] | None = None, dedup_threshold: float = DEDUP_THRESHOLD, cuts: list[float] | None = None,
+    corpus_cuts: list[float] | None = None,
 ) -> EvaluationRun:
     """All metric tables of labelled data, from one encode, one retrieval and one similarity join.
 
@@ -167,12 +172,16 @@ def evaluation_job(
     ticket_id``, ``tickets`` is ``pos, ticket_id, topic, message`` (and ``within``), ``pairs`` the labelled
     ``ticket_a, ticket_b, is_duplicate``; ``edges_of(vectors, threshold)`` gives similarity edges
     ``a, b, similarity``. Queries without relevant tickets are the negative controls.
+
+    Tickets are retrieved at the default threshold, ``SWEEP_TOP_K`` of them for the gates; the metrics per
+    query look at the first ``k``. ``cluster_sweep`` cuts the evidence of each query,
+    ``corpus_cluster_sweep`` one merge forest of all tickets.
     """
     dedup_thresholds, cuts = dedup_thresholds or list(DEDUP_SWEEP), cuts or list(CLUSTER_SWEEP)
     gates = gates or [0.40, 0.50, 0.60, 0.65, 0.70, 0.75, 0.80]
     encoded = materialise(encode_tickets(tickets, encoder))
     asked = encode_proposals(queries.withColumnRenamed("query_id", "proposal_id"), encoder)
-    found = materialise(retrieve.retrieve(asked, encoded, max(k, TOP_K), 0.0, within=within))
+    found = materialise(retrieve.retrieve(asked, encoded, max(k, SWEEP_TOP_K), RETRIEVAL_THRESHOLD, within=within))
     ranked = found.withColumnRenamed("proposal_id", "query_id").select("query_id", "rank", "similarity", "ticket_id")
     hits = evaluate.mark_hits(ranked, truth)
     totals = materialise(evaluate.relevant_counts(queries.select("query_id"), truth))
@@ -190,13 +199,17 @@ def evaluation_job(
     members = materialise(dedup.choose_representatives(members))
     judged = materialise(evaluate.predict_duplicates(pairs, members))
     compared = evaluate.annotate_pairs(judged, encoded, ["topic", "message", "vec"])
+    vectors = encoded.where("vec is not null").select("pos", "vec")
+    corpus_cuts = corpus_cuts or list(CLUSTER_SWEEP)
+    forest = merge_forest.merge_forest(vectors, edges_of, max(corpus_cuts))
     wrong = compared.where("is_duplicate <> predicted").withColumn("similarity", V.pair_similarity("vec_a", "vec_b"))
     return EvaluationRun(
         per_query=per_query, retrieval=evaluate.ir_macro(per_query),
-        negative_controls=evaluate.negative_controls(totals.where("total_relevant = 0"), ranked, gate),
+        negative_controls=evaluate.negative_controls(totals.where("total_relevant = 0"), ranked.where(F.col("rank") <= k), gate),
         confusion=evaluate.confusion(judged), error_causes=evaluate.error_causes(wrong, dedup_threshold),
         candidate_filters=evaluate.candidate_filters(evaluate.pair_features(compared)),
         gate_sweep=evaluate.gate_sweep(evaluate.gate_sweep_queries(totals, hits, gates)),
         dedup_sweep=evaluate.dedup_sweep(pairs, keyed.drop("component"), edges, dedup_thresholds),
         cluster_sweep=cluster_counts(cluster.cluster_groups(found, cuts)),
+        corpus_cluster_sweep=merge_forest.sweep_table(vectors, forest, corpus_cuts),
     )
