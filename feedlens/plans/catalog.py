@@ -9,7 +9,7 @@ from feedlens.constants import CLUSTER_DISTANCE, CLUSTER_SWEEP, DEDUP_SWEEP
 from feedlens.functions import text as T
 from feedlens.functions.text import embedding_text
 from feedlens.functions import vectors as V
-from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, merge_forest, pairs, prompt, retrieve, score
+from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, fingerprint, merge_forest, pairs, prompt, retrieve, score
 from feedlens.plans import pipelines, tables
 from feedlens.session import materialise
 from feedlens.sources import adapters, exports, files
@@ -172,6 +172,11 @@ def q_md5_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return tables.tickets(spark, sf).groupBy("topic").agg(F.count("*").alias("tickets"), total.cast("string").alias("fingerprint"))
 
 
+def q_ordered_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    """Order-sensitive fingerprint of all tickets by position."""
+    return fingerprint.ordered_fingerprint(tables.tickets(spark, sf), embedding_text(F.col("topic"), F.col("message")), ["pos"])
+
+
 def q_incremental_embed_anti(spark: SparkSession, sf: str) -> DataFrame:
     """Texts still to be embedded when the labelled documents are already in the store."""
     rows = tables.tickets(spark, sf)

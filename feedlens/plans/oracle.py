@@ -394,6 +394,11 @@ ORACLE: dict[str, str] = {
       CAST(sum({hexnum("coalesce(lang, '') || '||' || coalesce(text, '')", 16, 'HUGEINT')}
                + {hexnum("coalesce(lang, '') || '||' || coalesce(text, '')", 16, 'HUGEINT', 17)}) AS VARCHAR) AS fingerprint
       FROM documents GROUP BY 1""",
+    # a tree of fan-out 1024: one level up to 1024 rows, two up to a million
+    "q_ordered_fingerprint": f"""WITH {TICKETS}, l0 AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS i, md5(etext) AS h FROM t),
+      l1 AS (SELECT i // 1024 AS i, md5(string_agg(h, '' ORDER BY i)) AS h FROM l0 GROUP BY i // 1024),
+      l2 AS (SELECT md5(string_agg(h, '' ORDER BY i)) AS h, count(*) AS c FROM l1)
+      SELECT (SELECT count(*) FROM l0) AS n, CASE WHEN c = 1 THEN (SELECT max(h) FROM l1) ELSE h END AS fingerprint FROM l2""",
     "q_incremental_embed_anti": f"""WITH {TICKETS}, h AS (SELECT pos, md5(etext) AS text_hash, etext FROM t)
       SELECT 'tf-idf' AS model, text_hash, length(min(etext)) AS chars FROM h
       WHERE text_hash NOT IN (SELECT text_hash FROM h JOIN labels ON doc_id = pos) GROUP BY 2""",
