@@ -171,6 +171,16 @@ def _with_position(blocks: DataFrame) -> DataFrame:
     return placed.select("source_no", "block", "words", (F.col("n0") + F.col("n1")).alias("position"), (F.col("w0") + F.col("w1")).alias("before"))
 
 
+#: Two hashes of id, source and text, together 128 bits and never null: equal only in rows that agree in all three.
+KEYS = ("key_0", "key_1")
+
+
+def row_keys(id_col: str, source_col: str, text_col: str) -> list[Column]:
+    """The two hashes; whether a column is null counts too."""
+    parts = [x for c in (id_col, source_col, text_col) for x in (F.col(c).cast("string"), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(n), *parts).alias(name) for n, name in enumerate(KEYS)]
+
+
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = SHARDS, seed: int = SEED,
@@ -192,8 +202,8 @@ def mix_plan(
     spark = docs.sparkSession
     seeded = F.lit(seed)
     order = F.xxhash64(seeded, F.col(id_col).cast("string"), source_col, "size", F.lit("document"))
-    sized = docs.select(F.col(id_col), F.col(source_col), word_count(text_col).alias("size"))
-    sized = stored(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size", order.alias("order")))
+    sized = docs.select(F.col(id_col), F.col(source_col), word_count(text_col).alias("size"), *row_keys(id_col, source_col, text_col))
+    sized = stored(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size", order.alias("order"), *KEYS))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     shares = targets(totals, weights, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     weight = F.col("source_size") + WORDS_PER_DOCUMENT * F.col("docs")
@@ -204,7 +214,7 @@ def mix_plan(
     small = shares.count() <= BROADCAST_SOURCES
     told = F.broadcast(shares) if small else shares
     of_source = sized["source"].eqNullSafe(told["source"])
-    placed = sized.join(told, of_source).select("id", sized["source"], "size", "order", "source_no", "source_size", "target", F.pmod("order", F.col("blocks")).alias("block"))
+    placed = sized.join(told, of_source).select("id", sized["source"], "size", "order", *KEYS, "source_no", "source_size", "target", F.pmod("order", F.col("blocks")).alias("block"))
     blocks = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"))
     blocks = blocks.withColumn("order", F.xxhash64(seeded, "source_no", "block", F.lit("block")))
     plan = _with_position(blocks).join(told.select("source_no", "passes", "rest", "blocks"), "source_no")
@@ -221,33 +231,43 @@ def mix_plan(
     seats = F.transform("ranks", lambda r: F.size(F.filter("upto", lambda u: u <= r)))
     plan = plan.select("source_no", "block", "passes", "wanted", seats.alias("seats"))
     # documents of a block in permuted order: taken once more while that brings the sum nearer
-    turn = Window.partitionBy("source_no", "block").orderBy("order", "id", "size")
+    turn = Window.partitionBy("source_no", "block").orderBy("order", "id", "size", *KEYS)
     ahead = F.coalesce(F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = placed.join(plan, ["source_no", "block"]).withColumn("ahead", ahead)
     extra = (F.col("ahead") + F.col("size") / 2 <= F.col("wanted")) & (F.col("wanted") > 0)
     repeats = (F.col("passes") + extra.cast("long")).cast("int")
     out = joined.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("source_size").cast("long"), "target",
-        repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), F.slice("seats", F.lit(1), repeats).alias("shards"), "order",
+        repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), F.slice("seats", F.lit(1), repeats).alias("shards"), "order", *KEYS,
     )
     return out
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options
+) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as they are taken, shuffled within parts of their shard.
 
-    Rows are told apart by id, source and size, so a row with a null id, or rows that repeat all three, are
-    taken as often as the plan says for them. Columns stay as they are.
+    Rows are told apart by id, source and text. Rows that agree in all three, null ids included, may be
+    taken differently often: they are numbered in the order of all their columns, and those of the
+    plan likewise, so the mix has exactly the rows of the plan. Columns stay as they are, whatever
+    their names; an empty table gives no rows.
     """
-    plan = mix_plan(docs, id_col, **options)
-    source = options.get("source_col", "source")
-    text = options.get("text_col", "text")
-    taken = plan.where(F.size("shards") > 0).groupBy(id_col, source, "size").agg(F.first("shards").alias("_shards"))
-    taken = taken.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate((id_col, source, "size"))], "_shards")
-    sized = docs.withColumn("_size", word_count(text))
-    match = sized[id_col].eqNullSafe(taken["_0"]) & sized[source].eqNullSafe(taken["_1"]) & (sized["_size"] == taken["_2"])
-    rows = sized.join(taken, match).select(*docs.columns, F.posexplode("_shards").alias("_time", "_shard"))
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(options.get("seed", SEED)), "_shard", "_time", F.col(id_col).cast("string"), source))
+    # names of our own, so that no column of the caller can clash with one of the plan
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    id_col, text_col, source_col = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    plan = stored(mix_plan(plain, id_col, text_col, source_col, seed=seed, **options).select(*KEYS, "shards"))
+    repeated = plan.groupBy(*KEYS).count().where("count > 1").select(*KEYS)
+    keyed = plain.withColumns(dict(zip(KEYS, row_keys(id_col, source_col, text_col), strict=True)))
+    single = keyed.join(plan.where(F.size("shards") > 0).join(repeated, list(KEYS), "left_anti"), list(KEYS))
+    turn = Window.partitionBy(*KEYS)
+    hashed = F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = keyed.join(repeated, list(KEYS), "left_semi").withColumn("turn", F.row_number().over(turn.orderBy(hashed)))
+    given = plan.join(repeated, list(KEYS), "left_semi").withColumn("turn", F.row_number().over(turn.orderBy(F.desc(F.size("shards")), "shards")))
+    again = rows.join(given.where(F.size("shards") > 0), [*KEYS, "turn"])
+    both = single.select(*plain.columns, "shards").unionByName(again.select(*plain.columns, "shards"))
+    rows = both.select(*plain.columns, F.posexplode("shards").alias("time", "shard"))
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed), "shard", "time", F.col(id_col).cast("string"), source_col))
     # a shard may be far larger than a task: it is cut by its shuffle key
-    rows = rows.repartition("_shard", F.pmod("_key", F.lit(CUTS))).sortWithinPartitions("_shard", "_key")
-    return rows.select(*docs.columns)
+    rows = rows.repartition("shard", F.pmod("at", F.lit(CUTS))).sortWithinPartitions("shard", "at")
+    return rows.select(*plain.columns).toDF(*docs.columns)
