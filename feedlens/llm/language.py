@@ -47,23 +47,26 @@ class LanguageModel:
 def fit_languages(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, size: int = DICTIONARY_BYTES
 ) -> LanguageModel:
-    """Dictionaries from at most ``rows`` different texts of each language, those with the lowest hash of their beginning.
+    """Dictionaries from at most ``rows`` different texts of each language, those with the lowest hash.
 
-    Rows without text or language are ignored, and texts whose first ``4 * size / rows`` characters
-    are equal count once. Every sampled text lends that number of characters, so long ones don't
-    crowd out others: at most ``4 * size`` characters of a language reach the driver. All dictionaries are as long as the longest; a shorter language's text is repeated.
+    Rows without text or language are ignored and equal texts count once. Every sampled text lends
+    ``4 * size / rows`` characters in a row, from a place that its hash draws over the whole text, so long
+    ones don't crowd out others: at most ``4 * size`` characters of a language reach the driver. All dictionaries are as long as the longest; a shorter language's text is repeated.
     """
     share = max(64, 4 * size // rows)
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("whole")).withColumn("h", F.xxhash64("whole"))
     # the same number of characters of every sampled text: a bounded sample of labelled rows, used in the fit alone
-    usable = usable.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, share).alias("text")).withColumn("h", F.xxhash64("text"))
+    places = F.greatest(F.length("whole") - share, F.lit(0)) + 1
+    part = F.substring("whole", (F.pmod("h", places) + 1).cast("int"), F.lit(share))
     # copies count once: equal rows of a task are one before anything is shuffled
     counts = usable.select("lang", "h").distinct().groupBy("lang").count().collect()  # one row per language
     if not counts:
         return LanguageModel((), ())
     # about four times the wanted texts of each language pass, so the texts that are shuffled don't grow with the table
     bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(_RANGE, 4 * rows * _RANGE // r["count"] + 1))])
-    some = usable.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(_RANGE)) < bound[F.col("lang")]).distinct()
+    some = usable.where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(_RANGE)) < bound[F.col("lang")])
+    some = some.select("lang", "h", part.alias("text")).distinct()
     ranked = some.withColumn("r", F.expr("row_number() over (partition by lang order by h, text)"))
     found = ranked.where(F.col("r") <= rows).select("lang", "r", "text").collect()
     texts: dict[str, list[tuple[int, str]]] = {}
@@ -126,11 +129,13 @@ def identify_languages(
     A text that is null or has no letter is ``und`` with score 0 and rejected. Otherwise the
     language whose dictionary codes the text in the fewest bytes is given, the first by name
     among equals, and ``rejected`` tells that its lead is below ``min_margin``. A null id stays null,
-    repeated rows get equal answers, very long texts are coded in blocks and columns that
-    aren't named in ``keep`` are left out.
+    repeated rows get equal answers, very long texts are coded in blocks, an empty table gives no rows
+    and columns that aren't named in ``keep`` are left out. A kept column named like an answer is an error.
     """
     kinds = dict(docs.dtypes)
     kept = [id_col, *(keep or [])]
+    if clash := {c.lower() for c in kept} & {"lang_pred", "score", "margin", "rejected"}:
+        raise ValueError(f"kept columns are named like answers: {sorted(clash)}")
     text_at = kept.index(text_col) if text_col in kept else len(kept)
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x DICTIONARY_BYTES
 
