@@ -4,36 +4,67 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import stored
+from feedlens.llm.common import small_batches, stored
 
 WINDOW = 2048
 #: Leftover pieces packed together; each such group ends with at most a few open windows.
 GROUP_PIECES = 2048
-#: Entries of a worker's memory of encoded words; it starts anew when full. Longer words aren't kept.
-MEMORY_WORDS = 700_000
+#: Bytes of each of the two generations of a worker's memory of encoded words, objects and tables included. Longer words aren't kept.
+MEMORY_BYTES = 32 * 1024 * 1024
 MEMORY_BYTES_OF_WORD = 48
+#: What an entry takes beside the bytes of its word and ids: two objects and its place in a table.
+ENTRY_BYTES = 170
 #: Texts encoded at a time.
 BATCH_ROWS = 128
 
 
+class WordMemory(dict):
+    """Ids of words as bytes, encoded when first asked for, in two generations of bounded bytes.
+
+    When the young generation is full it becomes the old one, whose words come back as they are
+    asked for again, so frequent words stay and rare ones go.
+    """
+
+    def __init__(self, encode, limit: int = MEMORY_BYTES):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= MEMORY_BYTES_OF_WORD:
+            self[word] = ids
+            self.held += len(word) + len(ids) + ENTRY_BYTES
+            if self.held > self.limit:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts, equal to the tokenizer's own, for a tokenizer that lower-cases and
     cuts words at white space and where letters meet other characters.
 
-    Each word is encoded once and remembered; a text is then the concatenation of its words.
-    Texts with the start of a special token go through the tokenizer as a whole, and with
+    A word is encoded when it is met first and remembered; a text is then the concatenation of
+    its words. Texts with the start of a special token go through the tokenizer as a whole, and with
     ``whole_texts``, for tokenizers of any other kind, all do.
     """
 
-    #: A stop or comma between a letter or digit and white space is a word of its own.
-    STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0d]|$)")
+    #: A stop or comma between a letter or digit and white space is a word of its own. The sign comes first, so that
+    #: the search goes from sign to sign.
+    STOP = re.compile(rb"[.,](?=[\x20\x09-\x0d]|$)(?<=[a-z0-9][.,])")
 
     def __init__(self, path: str, end_id: int, whole_texts: bool = False):
         from tokenizers import Tokenizer
@@ -42,40 +73,33 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.whole_texts = whole_texts
-        self.known: dict[bytes, bytes] = {}
+        self.known = WordMemory(self._encode_word)
         # the printable characters that stand for the bytes of a word inside the model
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         latin = (chr(c) for c in range(0x250))
         self.signs = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in latin if c.isalpha()}
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _encode_text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encode_words(self, words: list[bytes]) -> Iterator[bytes]:
-        tokenize = self.tokenizer.model.tokenize
-        for raw in words:
-            word = raw.decode()
+    def _encode_word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if raw.isalpha():  # a-z alone stand for themselves
+            signs = word
+        else:
             low = word.lower()
-            if low.isalpha() and max(low) < "\u0250":  # such letters compose with nothing: straight to the model
-                yield np.array([t.id for t in tokenize(low.translate(self.signs))], dtype="<u4").tobytes()
-            else:
-                yield self._encode_text(word)
+            if not low.isalpha() or max(low) >= "\u0250":
+                return self._encode_text(word)
+            signs = low.translate(self.signs)  # such letters compose with nothing: straight to the model
+        return array("I", [t.id for t in self.tokenize(signs)]).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text with the end id behind them."""
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        split = [[] if self.whole_texts or "<|" in text else self.STOP.sub(rb" \1", text.encode().lower()).split() for text in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if new:
-            self.known.update(zip(new, self._encode_words(new), strict=True))
         get = self.known.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            ids = b"".join(map(get, words)) if words or not text else self._encode_text(text)
-            yield ids + self.end
-        for word in new:
-            if len(word) > MEMORY_BYTES_OF_WORD:
-                del self.known[word]
+        for text in texts:
+            words = () if self.whole_texts or "<|" in text else self.STOP.sub(rb" \g<0>", text.encode().lower()).split()
+            yield (b"".join(map(get, words)) if words or not text else self._encode_text(text)) + self.end
 
 
 _ENCODERS: dict[tuple[str, int, bool], WordEncoder] = {}
@@ -205,12 +229,13 @@ def pack_documents(
     a repeated or lost task packs the same way.
 
     A null or empty text is a document of the end id alone. A null id is kept. Repeated rows are
-    separate documents. Other columns are ignored and an empty table gives no rows. Tokens are
+    separate documents. Pieces of equal length are placed in the order of their numbers. Other columns are ignored and an empty table gives no rows. Tokens are
     computed once and written to the shared folder; with ids those are written too.
     """
     pieces = tokenised_pieces(docs, tokenizer_path, end_id, id_col, text_col, window, with_ids, whole_texts)
     # a full window is a sequence by itself, so its number can be any that no group uses: negative ones
-    pieces = stored(pieces.withColumn("_n", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        pieces = stored(pieces.withColumn("_n", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == window).select(*pieces.columns, (-F.col("_n") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < window)
     groups = max(1, -(-rest.count() // GROUP_PIECES))

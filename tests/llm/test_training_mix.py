@@ -82,6 +82,18 @@ def test_copies_take_no_place_of_other_texts(spark, copied):
     assert len(set(once.dictionaries[0].split())) > 20
 
 
+def test_places_of_the_sample_cover_whole_texts(spark):
+    # all texts of a language begin alike, so their beginnings teach nothing
+    rng = random.Random(6)
+    rows = [("same words first " * 60 + sentences(lang, 400, rng), lang) for lang in WORDS for _ in range(60)]
+    found = language.fit_languages(spark.createDataFrame(rows, "text string, lang string"), rows=60, size=6000)
+    df = spark.createDataFrame([(lang, sentences(lang, 40, rng)) for lang in WORDS for _ in range(20)], "doc_id string, text string")
+    out = language.identify_languages(df, found).collect()
+    assert sum(r["doc_id"] == r["lang_pred"] for r in out) >= 0.98 * len(out)
+    with pytest.raises(ValueError):
+        language.identify_languages(df.withColumnRenamed("doc_id", "Score"), found, id_col="Score")
+
+
 # ---- mixing ----
 
 
@@ -145,6 +157,23 @@ def test_mix_repeats_rows_and_keeps_columns(plan):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +want
 
 
+def test_rows_equal_in_id_source_and_text_are_mixed_as_planned(spark):
+    rng = random.Random(8)
+    rows = [(None, "one two three", "hot", 1) for _ in range(250)] + [(None, f"a b c{i % 9}", "hot", 2) for i in range(150)]
+    rows += [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice("xyz"), 3) for i in range(300)] + [(7, "again", "x", 4)] * 40
+    names = "doc_id long, text string, source string, _size int, shards int, turn int, key_0 int, _shards int"
+    df = spark.createDataFrame([(*r, 1, 1, 1, 1) for r in rows], names).repartition(5)
+    plan = mixing.mix_plan(df).collect()
+    want = Counter()
+    for r in plan:
+        want[(r["doc_id"], r["source"], r["size"])] += r["repeats"]
+    got = mixing.mix_documents(df).collect()
+    assert len(got) == sum(want.values()) and got[0].__fields__ == df.columns
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in got) == +want
+    other = mixing.mix_documents(df.repartition(2)).collect()
+    assert Counter(map(repr, got)) == Counter(map(repr, other))
+
+
 def test_quotas_are_exact_and_shards_even(spark):
     draws = {1: 1000, 2: 0, 3: 1, 4: 333, 5: 77}
     q = mixing.shard_quotas(spark.createDataFrame(list(draws.items()), "source_no int, n long"), 8, 3).collect()
@@ -218,6 +247,23 @@ def test_every_id_lies_in_one_piece_and_sequences_have_no_gaps(spark, monkeypatc
     assert group == 20 or len(by_sequence) <= tokens / 2048 * 1.03 + 2
 
 
+def test_word_memory_is_bounded_and_changes_nothing():
+    asked = []
+
+    def encode(word):
+        asked.append(word)
+        return word[::-1]
+
+    memory = packing.WordMemory(encode, limit=20 * (packing.ENTRY_BYTES + 12))
+    rng = random.Random(2)
+    for _ in range(5000):
+        word = b"often" if rng.random() < 0.5 else b"%06d" % rng.randrange(500)
+        assert memory[word] == word[::-1] and len(memory) <= 20 and len(memory.old) <= 21
+    assert asked.count(b"often") == 1 and len(asked) > 500
+    long = b"x" * (packing.MEMORY_BYTES_OF_WORD + 1)
+    assert memory[long] == long and long not in memory
+
+
 def test_tightest_window_equals_a_plain_search():
     rng = random.Random(5)
     lengths = sorted((rng.randrange(1, 64) for _ in range(400)), reverse=True)
@@ -265,3 +311,20 @@ def test_stages_take_effect_one_after_the_other(spark):
     assert Counter(r["doc_id"] for r in four if r["start"] == 0) == Counter(r["doc_id"] for r in three.collect())
     for stage in by_name.values():
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(9)
+    extra = ["score", "rejected", "margin", "lang_pred", "_size", "_0", "_1", "_2", "_shard", "_time", "_key", "_shards", "_c0", "n", "length", "sequence_id"]
+    rows = [(i, sentences(lang, 120, rng), lang, f"s{i % 4}", 1, *range(len(extra))) for i, lang in enumerate(list(WORDS) * 20)]
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, plain + "".join(f", {c} int" for c in extra)).repartition(3)
+    bare = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in pipeline.STAGES[:-1]:
+        found, alone = stage(spark, docs, ""), stage(spark, bare, "")
+        assert found.columns == docs.columns, name
+        rows = found.collect()
+        assert len(rows) and all(list(r[5:]) == list(range(len(extra))) for r in rows)
+        assert sorted(tuple(r[:5]) for r in rows) == sorted(map(tuple, alone.collect()))
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() == pipeline.STAGES[-1][1](spark, bare, "").count()
