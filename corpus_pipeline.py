@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import stored
+from feedlens.llm.common import small_batches, stored
 from feedlens.llm.language import identify_languages
 from feedlens.llm.mixing import mix_documents
 from feedlens.llm.near_text import near_duplicates
@@ -18,11 +18,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; the predicted language replaces a missing one.
 
     Texts that are null, have no letter or fit two languages equally well go. Learned from the
-    documents themselves, as the query of language identification does.
+    documents themselves, as the query of language identification does. Repeated rows and null ids are
+    judged like any other; other columns stay, whatever their names; an empty table gives no rows.
     """
-    found = identify_languages(docs, language_model(docs), keep=[c for c in docs.columns if c != "doc_id"])
-    kept = found.where(~F.col("rejected"))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    # names of our own, so that no column of the documents can clash with an answer
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    name = dict(zip(docs.columns, plain.columns, strict=True))
+    others = [c for c in plain.columns if c != name["doc_id"]]
+    found = identify_languages(plain, language_model(docs), id_col=name["doc_id"], text_col=name["text"], keep=others)
+    clear = found.where(~F.col("rejected")).withColumn(name["lang"], F.coalesce(name["lang"], "lang_pred"))
+    return clear.select(*[F.col(c).alias(given) for given, c in name.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; returns what the last one returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with small_batches(spark):
+            docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
