@@ -9,7 +9,7 @@ from feedlens.constants import CLUSTER_DISTANCE, CLUSTER_SWEEP, DEDUP_SWEEP
 from feedlens.functions import text as T
 from feedlens.functions.text import embedding_text
 from feedlens.functions import vectors as V
-from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, fingerprint, merge_forest, pairs, prompt, retrieve, score
+from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, fingerprint, impact_index, merge_forest, pairs, prompt, retrieve, score
 from feedlens.plans import pipelines, tables
 from feedlens.session import materialise
 from feedlens.sources import adapters, exports, files
@@ -214,6 +214,26 @@ def q_tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("proposal_id", F.col("rank").cast("bigint").alias("rank"), "ticket_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _indexed(spark, sf) -> tuple[DataFrame, DataFrame, impact_index.IndexedTopK]:
+    proposals, tickets, _ = tables.encoded(spark, sf)
+    return proposals, tickets, impact_index.indexed_top_k(proposals, impact_index.build_index(tickets))
+
+
+def q_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The tickets of ``q_tfidf_topk``, found through the index."""
+    _, tickets, found = _indexed(spark, sf)
+    rows = found.rows.join(tickets.select("pos", "ticket_id"), "pos")
+    return rows.select("proposal_id", F.col("rank").cast("bigint").alias("rank"), "ticket_id", F.round("similarity", 6).alias("similarity"))
+
+
+def q_index_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks and tickets that the index looked at per proposal, beside all tickets."""
+    proposals, tickets, found = _indexed(spark, sf)
+    total = tickets.where("vec is not null").agg(F.count("*").alias("tickets"))
+    rows = proposals.select("proposal_id").join(found.work, "proposal_id", "left").crossJoin(F.broadcast(total))  # one row
+    return rows.select("proposal_id", F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("scored", F.lit(0)).alias("scored"), "tickets")
+
+
 def q_gate_counts(spark: SparkSession, sf: str) -> DataFrame:
     proposals, found = _text_evidence(spark, sf)
     return retrieve.gate_counts(proposals, found, tables.TEXT_GATE)

@@ -408,6 +408,7 @@ ORACLE: dict[str, str] = {
       r AS ({topk(f"SELECT pid, vec_id AS pos, round({dot('c', 'embedding')}, 9) AS s FROM ce2 CROSS JOIN embeddings", 5)})
       SELECT CAST(pid AS BIGINT) AS proposal_id, rank, CAST(pos AS VARCHAR) AS ticket_id, round(s, 6) AS similarity FROM r""",
     "q_tfidf_topk": f"WITH {EVIDENCE} SELECT pid AS proposal_id, rank, CAST(pos AS VARCHAR) AS ticket_id, round(s, 6) AS similarity FROM ev",
+    "q_indexed_topk": f"WITH {EVIDENCE} SELECT pid AS proposal_id, rank, CAST(pos AS VARCHAR) AS ticket_id, round(s, 6) AS similarity FROM ev",
     "q_gate_counts": f"WITH {EVIDENCE} SELECT pid AS proposal_id, retrieved, validated, retrieved - validated AS rejected FROM gc",
     "q_similar_pairs_vectors": f"WITH {VECTOR_PAIRS} SELECT a, b, round(s, 6) AS similarity FROM vp WHERE s >= 0.35",
     "q_jaccard_pairs": f"WITH {PAIR_TEXTS} SELECT ticket_a, ticket_b, round(jaccard, 6) AS jaccard FROM {JACCARD}",
