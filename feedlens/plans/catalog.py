@@ -9,7 +9,7 @@ from feedlens.constants import CLUSTER_DISTANCE, CLUSTER_SWEEP, DEDUP_SWEEP
 from feedlens.functions import text as T
 from feedlens.functions.text import embedding_text
 from feedlens.functions import vectors as V
-from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, fingerprint, impact_index, merge_forest, pairs, prompt, retrieve, score
+from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, fingerprint, impact_index, merge_forest, pairs, prompt, resample, retrieve, score
 from feedlens.plans import pipelines, tables
 from feedlens.session import materialise
 from feedlens.sources import adapters, exports, files
@@ -621,5 +621,11 @@ def q_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.bootstrap_ci(rows, "value", ["item_id"])
 
 
+def q_bootstrap_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval of the mean order price over 1,000 resamples of all line items."""
+    rows = tables.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value"))
+    return resample.tree_bootstrap_ci(rows, "value", ["l_orderkey", "l_linenumber"])
+
+
 FLAGSHIP = "q_decision_pipeline"
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_") and callable(f)}
