@@ -14,6 +14,8 @@ from feedlens.operators.number import number_rows
 
 #: Rows of a leaf; a task holds about three numbers per replicate and row of one leaf.
 LEAF_ROWS = 256
+#: Draws of a task. The work per row grows with the replicates, so partitions that are right by size are too few.
+TASK_DRAWS = 32_000_000
 SUMS = "replicate int, total double, draws bigint"
 
 
@@ -69,7 +71,8 @@ class DrawTree:
 def resample_sums(numbered: DataFrame, n: int, replicates: int, seed: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``(replicate, total, draws)`` of all resamples of rows ``(i, value)`` numbered 0..n-1.
 
-    Each task adds up its part of all replicates, so ``replicates`` rows per task are shuffled.
+    Each task adds up its part of all replicates, so ``replicates`` rows per task are shuffled. Rows themselves
+    are moved once, by position, where the draws need more than one task.
     """
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +91,11 @@ def resample_sums(numbered: DataFrame, n: int, replicates: int, seed: int, leaf_
                 [pa.array(np.arange(replicates, dtype=np.int32)), pa.array(totals), pa.array(draws)], ["replicate", "total", "draws"]
             )
 
-    parts = numbered.select(F.col("i").cast("bigint"), F.col("value").cast("double")).mapInArrow(add_up, SUMS)
+    rows = numbered.select(F.col("i").cast("bigint"), F.col("value").cast("double"))
+    tasks = -(-n * replicates // TASK_DRAWS)
+    if tasks > 1:
+        rows = rows.repartitionByRange(tasks, "i")  # neighbouring rows share leaves and paths
+    parts = rows.mapInArrow(add_up, SUMS)
     return parts.groupBy("replicate").agg(F.sum("total").alias("total"), F.sum("draws").alias("draws"))
 
 
