@@ -76,7 +76,8 @@ def calibration_records(predictions: DataFrame, outcomes: DataFrame) -> DataFram
     if "outcome_metadata" not in joined.columns or "metadata" not in joined.columns:
         return joined
     old = F.map_filter("metadata", lambda k, v: ~F.array_contains(F.map_keys("outcome_metadata"), k))
-    merged = F.when(F.col("outcome_metadata").isNull(), F.col("metadata")).otherwise(F.map_concat(old, "outcome_metadata"))
+    merged = F.when(F.col("outcome_metadata").isNull(), F.col("metadata")).when(F.col("metadata").isNull(), F.col("outcome_metadata"))
+    merged = merged.otherwise(F.map_concat(old, "outcome_metadata"))
     return joined.withColumn("metadata", merged).drop("outcome_metadata")
 
 

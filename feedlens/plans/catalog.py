@@ -10,8 +10,10 @@ from feedlens.functions import text as T
 from feedlens.functions.text import embedding_text
 from feedlens.functions import vectors as V
 from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, fingerprint, impact_index, merge_forest, pairs, prompt, resample, retrieve, score
+from feedlens.operators.prediction_log import PredictionLog
+from feedlens.operators.vector_store import VectorStore
 from feedlens.plans import pipelines, tables
-from feedlens.session import materialise
+from feedlens.session import materialise, work_folder
 from feedlens.sources import adapters, exports, files
 
 GATES = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
@@ -186,6 +188,22 @@ def q_incremental_embed_anti(spark: SparkSession, sf: str) -> DataFrame:
     return encode.missing_from_store(rows, store, "tf-idf", text).select("model", "text_hash", F.length("text").cast("bigint").alias("chars"))
 
 
+def q_store_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of benchmark, conversations and documents put into one store in turn: what each batch adds, and vectors found."""
+    encoder = tables.encoder(spark, sf)
+    path = work_folder(spark, "vector-store")
+    store = VectorStore(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, "vec " + encoder.encode(spark.createDataFrame([("a",)], "text string"), F.col("text"), "vec").schema["vec"].dataType.simpleString())
+    out, before = None, 0
+    for number, name in enumerate(["benchmark", "conversations", "documents"], 1):
+        rows = tables.table(spark, sf, name).select("text")
+        store.extend(rows, lambda fresh: encoder.encode(fresh, F.col("text"), "vec"), F.col("text"))
+        after = store.table().count()
+        found = store.attach(rows, F.col("text")).agg(F.count("*").alias("rows"), F.count("vec").alias("with_vector"))
+        step = found.select(F.lit(number).cast("bigint").alias("batch"), F.lit(after - before).cast("bigint").alias("embedded"), F.lit(after).cast("bigint").alias("stored"), "rows", "with_vector")
+        out, before = step if out is None else out.unionByName(step), after
+    return out
+
+
 # --- retrieval -------------------------------------------------------------------------
 
 
@@ -444,6 +462,26 @@ def q_calib_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return calibrate.tier_metrics(_records(spark, sf))
 
 
+def q_prediction_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of all documents saved, those of labelled ones saved again, outcomes and their metadata recorded twice."""
+    log = PredictionLog(spark, work_folder(spark, "prediction-log"))
+    docs, labels = tables.table(spark, sf, "documents"), tables.table(spark, sf, "labels")
+    stamps = tables.table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    found = tables.predictions(spark, sf).join(docs.select(F.col("doc_id").alias("record_id"), "source", "lang"), "record_id")
+    found = found.withColumn("metadata", F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"))
+    log.save(found.join(stamps.withColumnRenamed("doc_id", "record_id"), "record_id", "left"))
+    again = labels.select(F.col("doc_id").alias("record_id"), (F.col("quality") * 60.0 + 20.0).alias("predicted_score"), F.create_map(F.lit("from"), F.lit("label")).alias("metadata"))
+    log.save(again)
+    kind = F.create_map(F.lit("clean"), (F.col("toxic") == 0).cast("string"))
+    first = labels.join(stamps, "doc_id", "left").select(F.col("doc_id").alias("record_id"), F.col("quality").cast("double").alias("actual_outcome"), "ts", kind.alias("metadata"))
+    log.record_outcomes(first)
+    noted = F.create_map(F.lit("from"), F.lit("outcome"), F.lit("quality"), F.col("quality").cast("string"))
+    second = labels.where("toxic = 1").select(F.col("doc_id").alias("record_id"), F.lit(0.25).alias("actual_outcome"), F.lit(None).cast("timestamp").alias("ts"), noted.alias("metadata"))
+    log.record_outcomes(second)
+    entries = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return log.all().select("record_id", "proposal", "predicted_score", "predicted_confidence", "actual_outcome", F.array_join(entries, ";").alias("metadata"))
+
+
 # --- evaluation ------------------------------------------------------------------------------------
 
 

@@ -466,6 +466,19 @@ ORACLE: dict[str, str] = {
     "q_calib_tiers": f"""WITH {RECORDS} SELECT z.tier, count(y) AS count, coalesce(round_even(avg(score), 1), 0.0) AS avg_score,
       coalesce(round_even(avg(y), 3), 0.0) AS empirical_success_rate, coalesce(round_even(avg(CAST((p >= 0.5) = (y >= 0.5) AS INT)), 3), 0.0) AS accuracy
       FROM (VALUES ('Low'), ('Moderate'), ('High')) z(tier) LEFT JOIN re ON re.tier = z.tier AND y IS NOT NULL GROUP BY 1""",
+    "q_prediction_log": """WITH b AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled, toxic, quality, n_chars % 101 AS score, source, lang FROM documents d LEFT JOIN labels l USING (doc_id)),
+      e AS (SELECT doc_id, unnest(CASE WHEN NOT labelled THEN ['lang=' || lang, 'source=' || source]
+        WHEN toxic = 1 THEN ['clean=false', 'from=outcome', 'quality=' || quality] ELSE ['clean=' || (toxic = 0), 'from=label'] END) AS x FROM b),
+      m AS (SELECT doc_id, coalesce(string_agg(x, ';' ORDER BY x), '') AS metadata FROM e GROUP BY 1)
+      SELECT CAST(doc_id AS VARCHAR) AS record_id, CASE WHEN NOT labelled THEN 'document ' || doc_id END AS proposal,
+        CASE WHEN labelled THEN quality * 60.0::DOUBLE + 20.0 ELSE CAST(score AS DOUBLE) END AS predicted_score,
+        CASE WHEN labelled THEN NULL WHEN score < 40 THEN 'Low' WHEN score < 70 THEN 'Moderate' ELSE 'High' END AS predicted_confidence,
+        CASE WHEN toxic = 1 THEN 0.25::DOUBLE ELSE CAST(quality AS DOUBLE) END AS actual_outcome, metadata FROM b JOIN m USING (doc_id)""",
+    "q_store_growth": """WITH t AS (SELECT 1 AS batch, text FROM benchmark UNION ALL SELECT 2, text FROM conversations UNION ALL SELECT 3, text FROM documents),
+      f AS (SELECT batch, count(*) AS embedded FROM (SELECT text, min(batch) AS batch FROM t WHERE text IS NOT NULL GROUP BY 1) GROUP BY 1),
+      r AS (SELECT batch, count(*) AS rows, count(text) AS with_vector FROM t GROUP BY 1)
+      SELECT CAST(batch AS BIGINT) AS batch, coalesce(embedded, 0) AS embedded, CAST(sum(coalesce(embedded, 0)) OVER (ORDER BY batch) AS BIGINT) AS stored, rows, with_vector
+      FROM r LEFT JOIN f USING (batch)""",
     "q_ir_metrics": f"""WITH {SIZES}, {VE}, {ranked(5)} SELECT query_id, retrieved_count, relevant_in_top_k, total_relevant, round(precision_at_k, 6) AS precision_at_k,
       round(recall_at_k, 6) AS recall_at_k, round(reciprocal_rank, 6) AS reciprocal_rank, round(average_precision, 6) AS average_precision FROM ir""",
     "q_ir_macro": f"WITH {SIZES}, {VE}, {ranked(5)} SELECT {MACRO} FROM ir",
