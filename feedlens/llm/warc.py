@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,11 +23,15 @@ MIN_REVISIT_BYTES = 100
 #: A task starts a new file after this many written bytes; a file is one reading task.
 FILE_BYTES = 64 * 1024 * 1024
 CHUNK = 1 << 18
+#: Of longer blocks the end is looked at before they are read.
+LONG_BLOCK = 16 * 1024 * 1024
 
 # fixed values of the format
 VERSION = b"WARC/1.1"
 VERSION_START = b"WARC/1."
 GZIP_START = b"\x1f\x8b\x08"
+HEAD_END = b"\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -48,14 +53,14 @@ def record_bytes(page: str | None, url: str | None, payload: bytes, digest: str,
     name = page if page is not None else uuid.uuid5(uuid.NAMESPACE_URL, f"{url}|{digest}").hex
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{name}>"),
+        ("WARC-Record-ID", f"<urn:page:{clean_value(name)}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", None if url is None else clean_value(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
-        ("WARC-Refers-To", f"<urn:page:{refers_to}>" if revisit else None),
+        ("WARC-Refers-To", f"<urn:page:{clean_value(refers_to)}>" if revisit else None),
         ("WARC-Profile", REVISIT_PROFILE if revisit else None),
-        ("X-Page-Id", page),
-        ("X-Page-Refers-To", refers_to),
+        ("X-Page-Id", None if page is None else quote(page)),
+        ("X-Page-Refers-To", None if refers_to is None else quote(refers_to)),
         ("X-Payload-Length", str(length)),
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -66,10 +71,14 @@ def record_bytes(page: str | None, url: str | None, payload: bytes, digest: str,
 
 @dataclass
 class Record:
+    """A sound record. ``offset`` is that of its gzip member or, in a plain file, its own; ``inner`` its place
+    in the member's inflated bytes, null in a plain file; ``length`` its bytes there."""
+
     headers: dict[str, str]
     block: bytes
     offset: int = 0
     length: int = 0
+    inner: int | None = None
 
     @property
     def payload(self) -> bytes:
@@ -82,37 +91,156 @@ class Damaged(ValueError):
     """The bytes at hand aren't a sound record."""
 
 
-class Short(Damaged):
-    """The record goes on behind the bytes at hand."""
-
-
-def parse_record(data: bytes | bytearray | memoryview, at: int = 0) -> tuple[Record, int]:
-    """The record that starts at ``at`` and the position behind it; raises unless every check holds."""
-    data = bytes(data[at:]) if at else bytes(data)
-    end = data.find(b"\r\n\r\n")
-    if not (data.startswith(VERSION_START) or VERSION_START.startswith(data[: len(VERSION_START)])):
-        raise Damaged("no version line")
-    if end < 0:
-        raise Short("header goes on") if len(data) < CHUNK else Damaged("header without end")
+def parse_head(head: bytes) -> tuple[dict[str, str], int]:
+    """Header fields by lower-case name, and the length of the block."""
     headers = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
-    if not (size.isascii() and size.isdigit()) or "warc-type" not in headers:
+    if not (size.isascii() and size.isdigit()) or len(size) > 18 or "warc-type" not in headers:
         raise Damaged("header fields missing")
-    begin, stop = end + 4, end + 4 + int(size)
-    if len(data) < stop + 4:
-        raise Short("block goes on")
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    return headers, int(size)
+
+
+# ---- windows on bytes ----
+
+
+class FileWindow:
+    """The bytes of a seekable file from ``base`` on, as far as they have been asked for."""
+
+    def __init__(self, stream: BinaryIO) -> None:
+        self.stream, self.held, self.base = stream, bytearray(), 0
+        self.size: int | None = stream.seek(0, 2)
+
+    @property
+    def upto(self) -> int:
+        return self.base + len(self.held)
+
+    def look(self, at: int, count: int) -> bytes:
+        """Bytes at a position, without holding them."""
+        self.stream.seek(at)
+        return self.stream.read(count)
+
+    def _more(self) -> None:
+        self.held += self.look(self.upto, CHUNK)
+
+    def fill(self, upto: int) -> bool:
+        """Hold the bytes before ``upto``; false if the stream ends earlier."""
+        while self.upto < upto and self.upto != self.size:
+            self._more()
+        return self.upto >= upto
+
+    def forget(self, before: int) -> None:
+        """Hold nothing before a position, which may also lie behind or before what is held."""
+        if self.base <= before <= self.upto:
+            del self.held[: before - self.base]
+        else:
+            self.held = bytearray()
+        self.base = before
+
+    def part(self, begin: int, end: int) -> bytes:
+        return bytes(self.held[begin - self.base : end - self.base])
+
+    def find(self, marks: tuple[bytes, ...], at: int) -> int:
+        """The first position from ``at`` on where a mark stands, or -1; what lies before it is forgotten."""
+        keep = max(map(len, marks)) - 1
+        self.forget(at)
+        while True:
+            found = [p for p in (self.held.find(m) for m in marks) if p >= 0]
+            if found:
+                self.forget(self.base + min(found))
+                return self.base
+            self.forget(max(self.base, self.upto - keep))
+            if not self.fill(self.upto + 1):
+                return -1
+
+
+class MemberWindow(FileWindow):
+    """The inflated bytes of the gzip member that starts at a file position.
+
+    ``raw`` is the position of the next byte to inflate. The end is reached behind the member (``whole``), where
+    the file ends, or where the bytes can't be inflated; everything before a bad byte is still given out.
+    """
+
+    def __init__(self, file: FileWindow, at: int) -> None:
+        self.file, self.raw, self.held, self.base = file, at, bytearray(), 0
+        self.unzip = zlib.decompressobj(31)
+        self.size, self.whole = None, False
+
+    def _more(self) -> None:
+        piece = self.file.look(self.raw, CHUNK)
+        before = self.unzip.copy()
+        try:
+            out = self.unzip.decompress(piece, 4 * CHUNK)
+        except zlib.error:
+            self.unzip, out = before, self._upto_bad_byte(before, piece)
+            self.held += out
+            self.size = self.upto
+            return
+        self.held += out
+        self.raw += len(piece) - len(self.unzip.unconsumed_tail) - len(self.unzip.unused_data)
+        if self.unzip.eof or not (piece or out):
+            self.size, self.whole = self.upto, self.unzip.eof
+
+    def _upto_bad_byte(self, unzip, piece: bytes) -> bytes:
+        out = bytearray()
+        for i in range(len(piece)):
+            try:
+                out += unzip.decompress(piece[i : i + 1])
+            except zlib.error:
+                break
+            self.raw += 1
+        return bytes(out)
+
+    def look(self, at: int, count: int) -> bytes:
+        """Bytes further on, inflated without holding those in between."""
+        probe = MemberWindow(self.file, self.raw)
+        probe.unzip, probe.base, probe.size = self.unzip.copy(), self.upto, self.size
+        while probe.upto < at + count and probe.upto != probe.size:
+            probe.forget(min(at, probe.upto))
+            probe._more()
+        self.known = probe.size
+        return probe.part(at, at + count) if probe.base <= at else b""
+
+    #: Length of the inflated bytes if a look has met their end.
+    known: int | None = None
+
+
+def read_record(window: FileWindow, at: int) -> tuple[Record, int]:
+    """The record that starts at a position of a window and the position behind it; raises unless every check holds.
+
+    A length that goes beyond the end is refused, and of a long block the end is looked at before the block is held.
+    """
+    end = -1
+    for held in (1 << 13, CHUNK):
+        window.fill(at + held)
+        if not window.part(at, at + len(VERSION_START)) == VERSION_START:
+            raise Damaged("no version line")
+        end = window.held.find(HEAD_END, at - window.base, at - window.base + CHUNK)
+        if end >= 0:
+            break
+    if end < 0:
+        raise Damaged("header without end")
+    begin = window.base + end + len(HEAD_END)
+    headers, size = parse_head(window.part(at, begin - len(HEAD_END)))
+    stop = begin + size
+    ends = [e for e in (window.size, getattr(window, "known", None)) if e is not None]
+    if ends and stop + 4 > min(ends):
+        raise Damaged("block goes beyond the end")
+    if size > LONG_BLOCK and stop + 4 > window.upto and window.look(stop, 4) != RECORD_END:
+        raise Damaged("block doesn't end where its length says")
+    if not window.fill(stop + 4):
+        raise Damaged("block is cut off")
+    if window.part(stop, stop + 4) != RECORD_END:
         raise Damaged("block doesn't end where its length says")
-    record = Record(headers, data[begin:stop])
+    record = Record(headers, window.part(begin, stop), at, stop + 4 - at)
     kind, _, digest = headers.get("warc-payload-digest", "").partition(":")
     if kind == "sha256" and headers["warc-type"] == "response" and hashlib.sha256(record.payload).hexdigest() != digest.lower():
         raise Damaged("payload digest differs")
-    return record, at + stop + 4
+    return record, stop + 4
 
 
 # ---- a whole file ----
@@ -120,110 +248,87 @@ def parse_record(data: bytes | bytearray | memoryview, at: int = 0) -> tuple[Rec
 
 @dataclass
 class SalvageReader:
-    """Records of one archive, gzip members or plain, in order; ``gaps`` gets ``(offset, length)`` of bytes given up.
+    """Records of one archive in order: gzip members of any number of records, or plain records.
 
-    Where a check fails, the next gzip or version start at which a sound record can be read is
-    searched, and the bytes in between become one gap. Memory holds one record and one chunk.
+    Where a check fails, the next version line at which a sound record can be read is searched, in the inflated bytes
+    inside a member, and outside also the next gzip start. ``gaps`` gets ``(offset, length)`` of the file's bytes
+    given up, ``inner_gaps`` ``(member's offset, begin, length)`` of inflated bytes given up in members that gave
+    other records. A member that breaks off, has a bad byte or a bad checksum keeps the records before. Memory holds one sound
+    record, or ``LONG_BLOCK`` where a length is wrong, and a few chunks. The stream must be seekable.
     """
 
     stream: BinaryIO
     gaps: list[tuple[int, int]] = field(default_factory=list)
-    _buffer: bytearray = field(default_factory=bytearray)
-    _base: int = 0
-    _ended: bool = False
-
-    def _fill(self, upto: int) -> bool:
-        """Hold at least ``upto`` buffered bytes; false if the file ends before."""
-        while len(self._buffer) < upto and not self._ended:
-            more = self.stream.read(max(CHUNK, upto - len(self._buffer)))
-            self._ended = not more
-            self._buffer += more or b""
-        return len(self._buffer) >= upto
-
-    def _drop(self, count: int) -> None:
-        del self._buffer[:count]
-        self._base += count
-
-    def _member(self, at: int) -> tuple[list[Record], int]:
-        """Records of the gzip member at a buffer position and the position behind it."""
-        unzip, out, pos = zlib.decompressobj(31), bytearray(), at
-        try:
-            while not unzip.eof:
-                if pos >= len(self._buffer) and not self._fill(pos + 1):
-                    raise Damaged("member is cut off")
-                piece = bytes(self._buffer[pos : pos + CHUNK])
-                out += unzip.decompress(piece)
-                pos += len(piece)
-        except zlib.error as e:
-            raise Damaged(str(e)) from e
-        pos -= len(unzip.unused_data)
-        records, inner = [], 0
-        while inner < len(out):
-            record, inner = parse_record(out, inner)
-            records.append(record)
-        if not records:
-            raise Damaged("empty member")
-        return records, pos
-
-    def _plain(self, at: int) -> tuple[list[Record], int]:
-        need = CHUNK
-        while True:
-            whole = self._fill(at + need)
-            try:
-                record, end = parse_record(self._buffer[at : at + need])
-                return [record], at + end
-            except Short:
-                if not whole:
-                    raise
-                need *= 2
-
-    def _read_at(self, at: int) -> tuple[list[Record], int]:
-        if self._buffer.startswith(GZIP_START, at):
-            return self._member(at)
-        if self._buffer.startswith(VERSION_START, at):
-            return self._plain(at)
-        raise Damaged("no record starts here")
-
-    def _next_start(self, at: int) -> int:
-        """Buffer position of the next possible start behind ``at``, or -1 at the end of the file."""
-        while True:
-            found = [p for p in (self._buffer.find(GZIP_START, at), self._buffer.find(VERSION_START, at)) if p >= 0]
-            if found:
-                return min(found)
-            at = max(at, len(self._buffer) - len(VERSION_START) + 1)
-            if not self._fill(len(self._buffer) + 1):
-                return -1
+    inner_gaps: list[tuple[int, int, int]] = field(default_factory=list)
 
-    def __iter__(self) -> Iterator[Record]:
-        lost, at = -1, 0  # file offset where a gap began, buffer position
-        while self._fill(at + 1):
+    def _member(self, window: MemberWindow, offset: int) -> Iterator[Record]:
+        at, lost, found, gaps = 0, -1, False, []
+        while at >= 0 and window.fill(at + 1):
             try:
-                records, end = self._read_at(at)
+                record, end = read_record(window, at)
             except Damaged as why:
                 if lost < 0:
-                    lost = self._base + at
-                    log.warning("damaged record at byte %d: %s", lost, why)
-                at = self._next_start(at + 1)
-                if at < 0:
-                    self._drop(len(self._buffer))
-                    break
-                self._drop(at)  # nothing before the next start is needed any more
-                at = 0
+                    lost = at
+                    log.warning("damaged record at byte %d of the member at %d: %s", at, offset, why)
+                at = window.find((VERSION_START,), at + 1)
                 continue
             if lost >= 0:
-                self._quarantine(lost, self._base + at)
+                gaps.append((offset, lost, at - lost))
                 lost = -1
-            for record in records:
-                record.offset, record.length = self._base + at, end - at
-                yield record
-            self._drop(end)
-            at = 0
+            record.offset, record.inner, found = offset, at, True
+            yield record
+            at = end
+            window.forget(at)
         if lost >= 0:
-            self._quarantine(lost, self._base + len(self._buffer))
+            gaps.append((offset, lost, window.size - lost))
+        if found:
+            self.inner_gaps += gaps
+
+    def __iter__(self) -> Iterator[Record]:
+        file = FileWindow(self.stream)
+        lost, at = -1, 0
+        while at >= 0 and file.fill(at + len(GZIP_START)) or 0 <= at < file.size:
+            search = at + 1
+            if file.part(at, at + len(GZIP_START)) == GZIP_START:
+                window, found = MemberWindow(file, at), False
+                for record in self._member(window, at):
+                    if lost >= 0:
+                        self._quarantine(lost, at)
+                        lost = -1
+                    found = True
+                    yield record
+                if found and window.whole:
+                    at = window.raw
+                    file.forget(at)
+                    continue
+                if lost < 0:
+                    lost = window.raw if found else at
+                    log.warning("member at byte %d can't be read behind byte %d", at, lost)
+                if found or window.whole:
+                    search = window.raw
+            else:
+                try:
+                    record, end = read_record(file, at)
+                except Damaged as why:
+                    if lost < 0:
+                        lost = at
+                        log.warning("damaged record at byte %d: %s", lost, why)
+                else:
+                    if lost >= 0:
+                        self._quarantine(lost, at)
+                        lost = -1
+                    yield record
+                    at = end
+                    file.forget(at)
+                    continue
+            at = file.find((GZIP_START, VERSION_START), search)
+        if 0 <= lost < file.size:
+            self._quarantine(lost, file.size)
 
     def _quarantine(self, begin: int, end: int) -> None:
-        log.warning("quarantined bytes %d to %d", begin, end)
-        self.gaps.append((begin, end - begin))
+        if end > begin:
+            log.warning("quarantined bytes %d to %d", begin, end)
+            self.gaps.append((begin, end - begin))
 
 
 # ---- tables ----
@@ -253,7 +358,7 @@ def write_warc(
     Of rows with equal payloads of at least ``MIN_REVISIT_BYTES`` bytes the one with the smallest id
     becomes a response and the others revisits of it (rows that repeat that id are responses too);
     shorter ones are all responses. A null payload is empty, a null URL has no header, a null id
-    is kept as null and an empty table writes nothing. ``folder`` must be open to all executors.
+    is kept as null, other ids are percent-encoded in their header and an empty table writes nothing. ``folder`` must be open to all executors.
     Every task attempt writes files of its own and the manifest, itself a written table, names only
     those of attempts that succeeded, so a lost executor or a second attempt leaves no doubles.
     """
@@ -292,7 +397,7 @@ def write_warc(
 
 
 RECORD_SCHEMA = (
-    "file string, offset bigint, bytes bigint, gap boolean, record_type string, page string, url string, "
+    "file string, offset bigint, inner_offset bigint, bytes bigint, gap boolean, record_type string, page string, url string, "
     "payload_bytes bigint, payload_digest string, refers_to string"
 )
 
@@ -300,10 +405,12 @@ RECORD_SCHEMA = (
 def read_warc(files: DataFrame, file_col: str = "file", with_payload: bool = False) -> DataFrame:
     """Records and gaps of archives, one task per file at most, read as streams.
 
-    One row per record ``(file, offset, bytes, gap = false, record_type, page, url, payload_bytes,
+    One row per record ``(file, offset, inner_offset, bytes, gap = false, record_type, page, url, payload_bytes,
     payload_digest, refers_to)`` and, with ``with_payload``, the stored payload (empty for revisits).
-    A row with ``gap = true`` logs bytes that no sound record could be read from; their other
-    columns are null. Digest and size are those of the full payload, for revisits as their header
+    ``offset`` is that of the gzip member or plain record, ``inner_offset`` the place in the inflated
+    member (null in plain files), ``bytes`` the record's length there. A row with ``gap = true`` logs bytes
+    that no sound record could be read from, of the file or, with an ``inner_offset``, of an inflated
+    member; their other columns are null. Digest and size are those of the full payload, for revisits as their header
     has them.
     """
 
@@ -314,15 +421,16 @@ def read_warc(files: DataFrame, file_col: str = "file", with_payload: bool = Fal
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, place = fs.FileSystem.from_uri(path)
-                with system.open_input_stream(place, compression=None) as stream:
+                with system.open_input_file(place) as stream:
                     reader = SalvageReader(stream)
                     for record in reader:
-                        held.append((path, record.offset, record.length, False, *_described(record, with_payload)))
+                        held.append((path, record.offset, record.inner, record.length, False, *_described(record, with_payload)))
                         volume += len(record.block) if with_payload else 256
                         if volume > 16 * CHUNK:
                             yield _batch(held, names)
                             held, volume = [], 0
-                    held += [(path, at, size, True, *[None] * (len(names) - 4)) for at, size in reader.gaps]
+                    gaps = [(at, None, size) for at, size in reader.gaps] + reader.inner_gaps
+                    held += [(path, *gap, True, *[None] * (len(names) - 5)) for gap in gaps]
         if held:
             yield _batch(held, names)
 
@@ -335,11 +443,12 @@ def _described(record: Record, with_payload: bool) -> tuple:
     kind, payload = head["warc-type"], record.payload
     digest = head.get("warc-payload-digest", "").partition(":")[2] if kind == "revisit" else hashlib.sha256(payload).hexdigest()
     size = int(head.get("x-payload-length", "0")) if kind == "revisit" else len(payload)
-    told = (kind, head.get("x-page-id"), head.get("warc-target-uri"), size, digest, head.get("x-page-refers-to"))
+    page, first = (None if v is None else unquote(v) for v in (head.get("x-page-id"), head.get("x-page-refers-to")))
+    told = (kind, page, head.get("warc-target-uri"), size, digest, first)
     return (*told, payload) if with_payload else told
 
 
-_TYPES = {"offset": pa.int64(), "bytes": pa.int64(), "gap": pa.bool_(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+_TYPES = {"offset": pa.int64(), "inner_offset": pa.int64(), "bytes": pa.int64(), "gap": pa.bool_(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

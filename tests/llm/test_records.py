@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import pytest
@@ -207,6 +208,93 @@ def test_salvage_of_cut_and_empty_files():
     assert list(reader) == [] and reader.gaps == [(0, 17)]
 
 
+def read_back(data):
+    reader = warc.SalvageReader(io.BytesIO(data))
+    return [int(r.headers["x-page-id"]) for r in reader], reader
+
+
+def member(data):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+@pytest.mark.parametrize("hurt", [0, 4, 9])
+def test_damaged_record_in_a_member_of_several(hurt):
+    parts = archive(10, False)
+    bad = bytearray(parts[hurt])
+    bad[-20] ^= 0x55
+    data = b"".join([*parts[:hurt], bytes(bad), *parts[hurt + 1 :]])
+    got, reader = read_back(b"junk" + member(data) + member(archive(12, False, 1)[11]))
+    assert got == [*[i for i in range(10) if i != hurt], 11]
+    assert reader.gaps == [(0, 4)] and reader.inner_gaps == [(4, sum(map(len, parts[:hurt])), len(bad))]
+
+
+def test_cut_and_broken_members_keep_the_records_before():
+    parts = archive(10, False)
+    zipped, after = member(b"".join(parts)), member(archive(12, False, 1)[11])
+    assert read_back(zipped[: len(zipped) // 2])[0] == list(range(len(read_back(zipped[: len(zipped) // 2])[0])))
+    half, reader = read_back(zipped[: len(zipped) // 2])
+    assert 3 <= len(half) <= 7 and reader.gaps == [] and len(reader.inner_gaps) == 1
+    bad_sum = zipped[:-6] + bytes([zipped[-6] ^ 1]) + zipped[-5:]
+    got, reader = read_back(bad_sum + after)
+    assert got == [*range(10), 11]
+    assert sum(n for _, n in reader.gaps) <= 8 and reader.inner_gaps == []
+    got, reader = read_back(zipped[: len(zipped) // 2] + after)  # the next member starts inside the lost one
+    assert got[:3] == [0, 1, 2] and set(range(10)) | {11} >= set(got)
+
+
+def test_bad_byte_in_a_member_loses_no_record_before_it():
+    texts = [(f"word{i} " * 400).encode() for i in range(50)]
+    parts = [warc.record_bytes(str(i), "u", p, hashlib.sha256(p).hexdigest(), len(p), None, "d") for i, p in enumerate(texts)]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    pieces = [z.compress(p) + z.flush(zlib.Z_FULL_FLUSH) for p in parts] + [z.flush()]
+    at = sum(map(len, pieces[:30]))
+    data = b"".join(pieces)
+    got, reader = read_back(data[:at] + b"\xff" * 4 + data[at + 4 :] + member(parts[0]))
+    assert got == [*range(30), 0] and reader.gaps
+
+
+@pytest.mark.parametrize("gz", [True, False])
+@pytest.mark.parametrize("length", [b"99999999", b"99999999999999", b"5", b"9" * 40, b"-1"])
+def test_wrong_lengths_lose_one_record(gz, length):
+    parts = archive(30, False)
+    cut = parts[7].index(b"Content-Length: ") + 16
+    parts[7] = parts[7][:cut] + length + parts[7][parts[7].index(b"\r\n", cut) :]
+    data = b"".join(parts)
+    got, reader = read_back(member(data) if gz else data)
+    assert got == [i for i in range(30) if i != 7]
+    assert [g[-1] for g in (reader.inner_gaps if gz else reader.gaps)] == [len(parts[7])]
+
+
+@pytest.mark.parametrize("gz", [True, False])
+def test_long_blocks_are_read_and_time_is_linear(gz, monkeypatch):
+    monkeypatch.setattr(warc, "LONG_BLOCK", 1000)
+    monkeypatch.setattr(warc, "CHUNK", 4096)
+    big = random.Random(1).randbytes(200_000)
+    parts = [warc.record_bytes(str(i), "u", big[i:], hashlib.sha256(big[i:]).hexdigest(), len(big) - i, None, "d") for i in range(3)]
+    data = b"".join(parts)
+    assert read_back(member(data) if gz else data)[0] == [0, 1, 2]
+    hurt = [p.replace(b"Content-Length: ", b"Content-Length: 9") for p in archive(3000, False)]
+    start = time.time()
+    got, reader = read_back((member(b"".join(hurt) + parts[1])) if gz else b"".join(hurt) + parts[1])
+    assert got == [1] and time.time() - start < 20
+
+
+def test_ids_with_line_breaks_stay_in_their_header(spark):
+    df = spark.createDataFrame([("a\r\nX: 1", "u", "t" * 200), ("b", "u", "t" * 200)], "page_id string, url string, html string")
+    out = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(df).collect()}
+    assert out == {"a\r\nX: 1": ("response", None), "b": ("revisit", "a\r\nX: 1")}
+
+
+def test_gaps_of_members_are_rows(spark, tmp_path):
+    parts = archive(4, False)
+    bad = parts[1][:-20] + b"?" * 20
+    (tmp_path / "a.warc.gz").write_bytes(member(parts[0] + bad + parts[2]) + b"tail")
+    out = warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "file string")).collect()
+    assert [(r["page"], r["inner_offset"]) for r in out if not r["gap"]] == [("0", 0), ("2", len(parts[0]) + len(bad))]
+    assert sorted((r["inner_offset"] or -1, r["bytes"]) for r in out if r["gap"]) == [(-1, 4), (len(parts[0]), len(bad))]
+
+
 # ---- preferences ----
 
 
