@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from feedlens.operators.prediction_log import PredictionLog
 from feedlens.operators.vector_store import VectorStore
 from feedlens.plans import pipelines, tables
 from feedlens.session import materialise, work_folder
-from feedlens.sources import adapters, exports, files
+from feedlens.sources import adapters, exports, files, sinks
 
 GATES = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
 
@@ -127,6 +129,59 @@ def q_wrapped_records(spark: SparkSession, sf: str) -> DataFrame:
     return files.record_entries(records, ["conv_id", "at"]).withColumn("at", F.col("at").cast("bigint"))
 
 
+def _paged_json(rows: DataFrame, id: str, key: str, path: str, page_rows: int = 500) -> None:
+    """One JSON document ``{key: [records]}`` per file, as an export lands its pages."""
+    record = F.struct(*[c for c in rows.columns if c != id], F.col(id).cast("string").alias(id))
+    pages = rows.groupBy(F.floor(F.col(id) / page_rows).alias("page")).agg(F.collect_list(record).alias(key))
+    sinks.write_table(pages.repartition("page"), path, format="json", partition_by=["page"])
+
+
+def _csv(rows: DataFrame, path: str) -> None:
+    rows.write.option("escape", '"').csv(path, header=True)
+
+
+def _landed(part: str, tickets: DataFrame, id=None) -> DataFrame:
+    return tickets.select(F.lit(part).alias("part"), (F.col("ticket_id") if id is None else id).alias("ticket_id"), "topic", F.md5("message").alias("message_md5"))
+
+
+def q_landed_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents landed as pages of a support desk and as a sheet, read back as tickets."""
+    place, docs = work_folder(spark, "landed"), tables.table(spark, sf, "documents")
+    _paged_json(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.col("text").alias("description")), "id", "tickets", f"{place}/desk")
+    _csv(docs.select(F.col("doc_id").alias("ticket_id"), F.col("source").alias("topic"), F.col("text").alias("message")), f"{place}/sheet")
+    desk = exports.load_export(spark, "zendesk", f"{place}/desk")
+    return _landed("desk", desk).unionByName(_landed("sheet", exports.load_export(spark, "google_sheets", f"{place}/sheet")))
+
+
+def q_landed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of CSV, JSON and text files read by extension; line numbers of text files are left out, as files are split freely."""
+    place, turns = work_folder(spark, "landed"), tables.table(spark, sf, "conversations")
+    turns = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("topic"), F.col("text").alias("message"))
+    _csv(turns.where("id % 2 = 1"), f"{place}/csv")
+    _paged_json(turns.where("id % 2 = 0"), "id", "tickets", f"{place}/json", 50_000)
+    lines = tables.table(spark, sf, "benchmark").select(F.regexp_replace("text", "[\\r\\n]+", " ").alias("value"))
+    lines.where("value is not null").write.text(f"{place}/txt")
+    found = files.read_feedback(spark, place)
+    kind = F.regexp_extract("source_file", r"\.(\w+)$", 1)
+    return _landed("files", found, F.when(kind != "txt", F.col("ticket_id")))
+
+
+def q_landed_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two datasets of a registry file, one in CSV and one in JSON, through their adapters into one table."""
+    place, docs = work_folder(spark, "landed"), tables.table(spark, sf, "documents")
+    _csv(docs.select(F.col("doc_id").alias("tweet_id"), F.col("source").alias("category"), "text"), f"{place}/support")
+    _paged_json(docs.select(F.col("doc_id").alias("number"), F.col("lang").alias("title"), F.col("text").alias("body")), "number", "items", f"{place}/issues")
+    known = [
+        {"name": "support", "path": f"{place}/support", "format": "csv", "adapter": "CustomerSupportAdapter"},
+        {"name": "issues", "path": f"{place}/issues", "format": "json", "adapter": "GitHubIssuesAdapter"},
+    ]
+    spark.createDataFrame([(json.dumps({"datasets": known}),)], "value string").coalesce(1).write.text(f"{place}/registry")
+    found = adapters.load_datasets(spark, f"{place}/registry")
+    numbered = found.agg(F.count_distinct("pos").alias("positions"))
+    rows = found.select("dataset", "ticket_id", "created_at", "topic", F.md5("message").alias("message_md5"))
+    return rows.crossJoin(F.broadcast(numbered))  # one row
+
+
 def q_parse_time(spark: SparkSession, sf: str) -> DataFrame:
     """Event times written in six text forms and read back; one form is no date."""
     ts, form = F.date_trunc("second", "ts"), F.col("event_id") % 6

@@ -382,6 +382,17 @@ ORACLE: dict[str, str] = {
     "q_wrapped_records": """WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS "at", turn, role, md5(text) AS text FROM conversations),
       k AS (SELECT * FROM r WHERE conv_id % 3 < 2 OR "at" = 0)
       SELECT conv_id, "at", 'turn' AS key, CAST(turn AS VARCHAR) AS value FROM k UNION ALL SELECT conv_id, "at", 'role', role FROM k UNION ALL SELECT conv_id, "at", 'text', text FROM k""",
+    "q_landed_exports": f"""SELECT 'desk' AS part, CAST(doc_id AS VARCHAR) AS ticket_id, {strip("coalesce(lang, '')")} AS topic, md5({strip('text')}) AS message_md5
+      FROM documents WHERE {strip("coalesce(text, '')")} <> ''
+      UNION ALL SELECT 'sheet', CAST(doc_id AS VARCHAR), {strip("coalesce(source, 'General Feedback')")}, md5({strip('text')}) FROM documents WHERE {strip("coalesce(text, '')")} <> ''""",
+    "q_landed_files": f"""WITH b AS (SELECT {strip("regexp_replace(text, '[' || chr(13) || chr(10) || ']+', ' ', 'g')")} AS m FROM benchmark)
+      SELECT 'files' AS part, CAST(conv_id * 1000 + turn AS VARCHAR) AS ticket_id, {strip("coalesce(role, 'General Feedback')")} AS topic, md5({strip('text')}) AS message_md5
+      FROM conversations WHERE {strip("coalesce(text, '')")} <> ''
+      UNION ALL SELECT 'files', NULL, {first_words('m')}, md5(m) FROM b WHERE coalesce(m, '') <> '' AND m NOT LIKE '#%'""",
+    "q_landed_datasets": f"""WITH d AS (SELECT * FROM documents WHERE {strip("coalesce(text, '')")} <> '')
+      SELECT r.*, (SELECT 2 * count(*) FROM d) AS positions FROM (
+        SELECT 'support' AS dataset, CAST(doc_id AS VARCHAR) AS ticket_id, '' AS created_at, {strip("coalesce(source, 'General Feedback')")} AS topic, md5({strip('text')}) AS message_md5 FROM d
+        UNION ALL SELECT 'issues', 'GH-' || doc_id, '', {strip("coalesce(lang, 'General Feedback')")}, md5({strip('text')}) FROM d) r""",
     "q_parse_time": """SELECT event_id, CAST(CASE event_id % 6 WHEN 2 THEN epoch(date_trunc('day', ts)) WHEN 4 THEN epoch(date_trunc('second', ts)) - 7200
       WHEN 5 THEN NULL ELSE epoch(date_trunc('second', ts)) END AS BIGINT) AS seconds FROM events""",
     "q_event_properties": """SELECT key, count(*) AS n, count(DISTINCT value) AS distinct_values FROM (
