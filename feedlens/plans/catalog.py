@@ -12,6 +12,7 @@ from feedlens.functions import text as T
 from feedlens.functions.text import embedding_text
 from feedlens.functions import vectors as V
 from feedlens.operators import calibrate, cluster, components, decide, dedup, dense_encoder, encode, evaluate, fingerprint, impact_index, merge_forest, pairs, prompt, resample, retrieve, score
+from feedlens.operators.dedup_store import DedupStore
 from feedlens.operators.prediction_log import PredictionLog
 from feedlens.operators.vector_store import VectorStore
 from feedlens.plans import pipelines, tables
@@ -247,7 +248,7 @@ def q_store_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of benchmark, conversations and documents put into one store in turn: what each batch adds, and vectors found."""
     encoder = tables.encoder(spark, sf)
     path = work_folder(spark, "vector-store")
-    store = VectorStore(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, "vec " + encoder.encode(spark.createDataFrame([("a",)], "text string"), F.col("text"), "vec").schema["vec"].dataType.simpleString())
+    store = VectorStore(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, f"vec {V.SPARSE}")
     out, before = None, 0
     for number, name in enumerate(["benchmark", "conversations", "documents"], 1):
         rows = tables.table(spark, sf, name).select("text")
@@ -343,6 +344,16 @@ def _semantic_members(spark, sf, strategy: str = "longest") -> DataFrame:
     return dedup.choose_representatives(rows, strategy)
 
 
+def q_incremental_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all documents, added to a store in three batches."""
+    rows = tables.tickets(spark, sf)
+    store = DedupStore(spark, work_folder(spark, "dedup"), tables.encoder(spark, sf))
+    last = rows.agg(F.max("pos")).first()[0] or 0
+    for third in range(3):
+        store.add(rows.where(F.floor(F.col("pos") * 3 / (last + 1)) == third))
+    return store.components()
+
+
 def q_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of the graph of similar vectors."""
     edges = pairs.dense_pairs(tables.vectors(spark, sf), tables.VECTOR_THRESHOLD, vec="vec", forest=True)

@@ -425,6 +425,7 @@ ORACLE: dict[str, str] = {
     "q_jaccard_pairs": f"WITH {PAIR_TEXTS} SELECT ticket_a, ticket_b, round(jaccard, 6) AS jaccard FROM {JACCARD}",
     "q_trigram_pairs": f"WITH {PAIR_TEXTS} SELECT ticket_a, ticket_b, round(trigram, 6) AS trigram FROM {TRIGRAM}",
     "q_components": f"WITH RECURSIVE {VECTOR_PAIRS}, ed AS (SELECT a, b FROM vp WHERE s >= 0.35), {reach('ed')} SELECT node, component FROM parts",
+    "q_incremental_dedup": f"{SEMANTIC_MEMBERS} SELECT pos, component FROM mm",
     "q_semantic_dedup_stats": f"{SEMANTIC_MEMBERS} {stats()}",
     "q_semantic_dedup_groups": f"{SEMANTIC_MEMBERS} {GROUP_ROWS}",
     "q_cluster_medoid": f"""WITH {SUMS}, {SIZES}, m AS (SELECT label, vec_id, n, round({dot('embedding', 'total')} / n, 9) AS c FROM embeddings JOIN su USING (label) JOIN sz USING (label))
