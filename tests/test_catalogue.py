@@ -32,3 +32,12 @@ def test_top_k_limits_before_the_shuffle_and_reads_needed_columns(spark):
 
 def test_label_statistics_read_one_column(spark):
     assert "ReadSchema: struct<label:int>" in plan(tables.vectors(spark, SF).groupBy("label").count())
+
+
+def test_gate_sweep_of_two_labels(spark, tmp_path):
+    """Four vectors in two directions: gates up to 0.5 keep one hit of one, none is lost to a name that isn't there."""
+    rows = [(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 1, [0.0, 1.0]), (3, 1, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.q_gate_sweep(spark, str(tmp_path)).orderBy("threshold").collect()
+    assert [r["threshold"] for r in got] == catalog.GATES
+    assert all(r.asDict() | {"threshold": 0} == {"threshold": 0, "precision": 1.0, "recall": 1.0, "f1_score": 1.0, "average_retention_rate": 1.0, "queries_evaluated": 4} for r in got)
