@@ -10,44 +10,30 @@ from feedlens.functions import vectors as V
 from feedlens.functions.text import embedding_text, ticket_key
 from feedlens.operators.components import connected_components
 from feedlens.operators.encode import TextEncoder
-from feedlens.operators.pairs import CELL_ROWS, HOT_FEATURE, _join_in_cells, _prefixes
+from feedlens.operators.pairs import BLOCK_ROWS, HOT_FEATURE, PREFIX, _candidates, _prefixes, _verified
 from feedlens.session import materialise, spread
 
 
 def sparse_delta_pairs(
-    old: DataFrame, old_prefixes: DataFrame, new: DataFrame, new_prefixes: DataFrame, threshold: float,
-    hot_feature: int = HOT_FEATURE, cell_rows: int = CELL_ROWS,
+    old: DataFrame, old_prefixes: DataFrame, new: DataFrame, new_prefixes: DataFrame, threshold: float, width: int,
+    hot_feature: int = HOT_FEATURE, cell_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Edges ``(a, b)`` between new rows ``(id, vec)`` and any rows; pairs of two old rows aren't looked at.
 
     The same bounds as in ``pairs.sparse_pairs``: prefixes depend on the encoder alone, so those of the old rows are read from
-    their table, and only for features that the new rows have. Rows that meet at a frequent prefix feature are matched in cells,
+    their table, and only those with a feature that the new rows have. Blocks of new rows meet blocks of any rows in cells,
     which pass on a spanning forest of their edges.
     """
-    asked = new_prefixes.select("f").distinct()
-    reached = old_prefixes.join(asked, "f", "left_semi").withColumn("inner", F.lit(False))
-    prefixes = materialise(new_prefixes.withColumn("inner", F.lit(True)).unionByName(reached))
-    frequent = prefixes.groupBy("f").count().where(F.col("count") > hot_feature).select("f")
-    has_hot = not frequent.isEmpty()
-    common = prefixes.join(frequent, "f", "left_anti") if has_hot else prefixes
-
-    x, y = common.where("inner").alias("x"), common.alias("y")
-    once = ~F.col("y.inner") | (F.col("x.id") < F.col("y.id"))
-    met = x.join(y, (F.col("x.f") == F.col("y.f")) & once)
-    shared = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.sum(F.col("x.w") * F.col("y.w")).alias("part"),
-        F.min("x.rest").alias("rest_a"), F.min("y.rest").alias("rest_b"),
-        F.min("x.tail").alias("tail_a"), F.min("y.tail").alias("tail_b"),
-    )
-    missing = F.greatest(F.col("tail_a") * F.col("rest_b"), F.col("rest_a") * F.col("tail_b"))
-    candidates = materialise(shared.where(F.col("part") + missing >= threshold - 1e-6).select("a", "b"))
+    if old_prefixes.isEmpty():
+        prefixes = new_prefixes.withColumn("inner", F.lit(True))
+    else:
+        asked = new_prefixes.select(F.explode("f").alias("g")).distinct()
+        reached = old_prefixes.select("id", F.explode("f").alias("g")).join(asked, "g", "left_semi").select("id").distinct()
+        reached = old_prefixes.join(reached, "id", "left_semi").withColumn("inner", F.lit(False))
+        prefixes = materialise(new_prefixes.withColumn("inner", F.lit(True)).unionByName(reached))
+    candidates = materialise(_candidates(prefixes, threshold, width, hot_feature, cell_rows))
     rows = new.select("id", "vec").unionByName(old.select("id", "vec"))
-    left, right = new.select(F.col("id").alias("a"), F.col("vec").alias("va")), rows.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    found = candidates.join(left, "a").join(right, "b").where(V.pair_similarity("va", "vb") >= threshold).select("a", "b")
-    if has_hot:
-        bucketed = prefixes.join(frequent, "f").select(F.col("f").alias("bucket"), "id", "inner").join(rows, "id")
-        found = found.unionByName(_join_in_cells(bucketed, "bucket", threshold, True, cell_rows).select("a", "b"))
-    return found
+    return _verified(candidates, rows, threshold, width, True).select("a", "b")
 
 
 class DedupStore:
@@ -62,7 +48,7 @@ class DedupStore:
 
     TABLES = {
         "positions": "pos bigint, text_hash string", "texts": "text_hash string, key string, canon bigint, component bigint",
-        "prefixes": "id bigint, f int, w double, rest double, tail double", "moved": "root bigint, component bigint",
+        "prefixes": PREFIX, "moved": "root bigint, component bigint",
         "done": "last bigint",
     }
 
@@ -110,7 +96,7 @@ class DedupStore:
         vectors = self.encoder.encode(rows, embedding_text(topic, message)).select(F.col("pos").alias("id"), "vec")
         vectors = materialise(vectors.where("vec is not null"))
         prefixes = materialise(_prefixes(vectors, self.encoder, self.threshold))
-        near = sparse_delta_pairs(self._read("vectors", batch), self._read("prefixes", batch).drop("batch"), vectors, prefixes, self.threshold)
+        near = sparse_delta_pairs(self._read("vectors", batch), self._read("prefixes", batch).drop("batch"), vectors, prefixes, self.threshold, self.encoder.num_features)
 
         edges = materialise(exact.unionByName(near))
         moved = self._moved(batch)

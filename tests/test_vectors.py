@@ -170,3 +170,25 @@ def test_means_at_the_cut_and_ties_are_judged_alike_on_both_paths(spark, local_r
     square = np.array([[1.0, 0, 0], [0.8, 0.6, 0], [0.8, -0.6, 0], [0.28, 0.96, 0]])  # exact ties of neighbours
     got = cluster.cluster_corpus(vector_frame(spark, square), 0.35, vec="vec", local_rows=local_rows).collect()
     assert {(r["pos"], r["cluster"]) for r in got} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+
+
+def test_pairs_that_only_meet_stay_in_their_cell(spark, monkeypatch):
+    """Rows with a few words in common meet by the ten thousand; only pairs whose bound reaches the threshold leave a cell."""
+    monkeypatch.setattr(pairs, "STRIP_PRODUCTS", 500)
+    monkeypatch.setattr(pairs, "STRIP_SUMS", 4000)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 90, 25)) for _ in range(300)]
+    texts += [t + " more" for t in texts[::10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "pos bigint, t string")
+    encoder = encode.fit_text_encoder(df, "t")
+    coded = encoder.encode(df, "t").select(F.col("pos").alias("id"), "vec").localCheckpoint()
+    table = coded.orderBy("id").toArrow()
+    rows = V.Rows(table.column("vec"))
+    sims = V.similarity(rows, rows)
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(sims >= 0.7))) if i < j}
+    prefixes = pairs._prefixes(coded, encoder, 0.7).withColumn("inner", F.lit(True)).localCheckpoint()
+    word = prefixes.select("id", F.explode("f").alias("f"))
+    meet = word.alias("x").join(word.alias("y"), F.expr("x.f = y.f and x.id < y.id")).select("x.id", "y.id").distinct().count()
+    for hot, block in ((2048, 100), (5, 1000)):
+        left = {(r["a"], r["b"]) for r in pairs._candidates(prefixes, 0.7, encoder.num_features, hot, block).collect()}
+        assert want <= left and len(left) < meet / 4, (len(want - left), len(left), meet)
