@@ -48,6 +48,16 @@ def sparse_array(offsets: np.ndarray, idx: np.ndarray, w: np.ndarray, null: np.n
     return pa.StructArray.from_arrays(lists, ["idx", "w"], mask=pa.array(null))
 
 
+#: Rows of an Arrow batch that are worked on at a time: texts and sparse vectors may be long, and a batch has up to 10,000 of them.
+PART_ROWS = 512
+
+
+def in_parts(work, *columns: pa.Array) -> pa.Array:
+    """``work`` applied to a few rows of the columns at a time."""
+    n = len(columns[0])
+    return pa.concat_arrays([work(*(c.slice(at, PART_ROWS) for c in columns)) for at in range(0, max(n, 1), PART_ROWS)])
+
+
 class Rows:
     """The vectors of one Arrow column, ready for matrix products between bounded row blocks."""
 
@@ -140,6 +150,6 @@ def pair_similarity(a: Column | str, b: Column | str) -> Column:
 
     @F.arrow_udf("double")
     def dots(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(row_dots(Rows(a), Rows(b)), pa.float64())
+        return in_parts(lambda x, y: pa.array(row_dots(Rows(x), Rows(y)), pa.float64()), a, b)
 
     return dots.asNondeterministic()(a, b)

@@ -46,8 +46,7 @@ class TextEncoder:
         """The unit vector of a text; null for a blank one."""
         state, total, size = self.counts, self.n_texts, self.num_features
 
-        @F.arrow_udf(V.SPARSE)
-        def weigh(found: pa.Array) -> pa.Array:
+        def weights(found: pa.Array) -> pa.Array:
             offsets, feature = V.list_parts(found)
             n = len(offsets) - 1
             cell, count = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * size + feature, return_counts=True)
@@ -58,6 +57,10 @@ class TextEncoder:
             # a text without any word has no direction, so it gets no vector
             return V.sparse_array(starts, idx, w / length[row], np.diff(starts) == 0)
 
+        @F.arrow_udf(V.SPARSE)
+        def weigh(found: pa.Array) -> pa.Array:
+            return V.in_parts(weights, found)
+
         # marked so that a filter on the vector is not pushed below it and evaluated twice
         vector = weigh.asNondeterministic()
         return vector(features(words(F.coalesce(text, F.lit(""))), size))
@@ -76,11 +79,12 @@ def fit_text_encoder(texts: DataFrame, text: Column | str, num_features: int = N
     def count(batches):
         totals = np.zeros(num_features + 1, dtype=np.int64)
         for batch in batches:
-            offsets, feature = V.list_parts(batch.column("found"))
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            once = np.unique(owner * num_features + feature) % num_features
-            totals[:-1] += np.bincount(once, minlength=num_features)
             totals[-1] += batch.num_rows  # the last cell counts texts
+            for at in range(0, batch.num_rows, V.PART_ROWS):
+                offsets, feature = V.list_parts(batch.column("found").slice(at, V.PART_ROWS))
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                once = np.unique(owner * num_features + feature) % num_features
+                totals[:-1] += np.bincount(once, minlength=num_features)
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["f", "n"])
 
