@@ -30,6 +30,8 @@ from feedlens.session import materialise
 
 CELL_ROWS = 1024
 MAX_PIVOTS = 256
+#: Rows dealt to pivots at a time; at a low threshold each of them becomes a row per pivot.
+ASSIGN_ROWS = 256
 #: Sparse join: a block holds at most so many rows and entries of prefixes, and of whole vectors where pairs are computed.
 BLOCK_ROWS, BLOCK_ENTRIES = 1 << 16, 1 << 23
 VERIFY_ROWS, VERIFY_ENTRIES = 1 << 14, 1 << 22
@@ -151,9 +153,7 @@ def dense_pairs(
 
     def assign(batches):
         pivots = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, ASSIGN_ROWS) for whole in batches for at in range(0, whole.num_rows, ASSIGN_ROWS)):
             angle = np.arccos(np.clip(V.Rows(batch.column("vec")).dense @ pivots.T, -1.0, 1.0))
             home = angle.argmin(axis=1)
             own = angle[np.arange(len(home)), home]
