@@ -192,3 +192,61 @@ def test_pairs_that_only_meet_stay_in_their_cell(spark, monkeypatch):
     for hot, block in ((2048, 100), (5, 1000)):
         left = {(r["a"], r["b"]) for r in pairs._candidates(prefixes, 0.7, encoder.num_features, hot, block).collect()}
         assert want <= left and len(left) < meet / 4, (len(want - left), len(left), meet)
+
+
+def test_sparse_proposals_keep_no_matrix_and_score_in_column_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieve, "_COLUMNS", 3)
+    rng = np.random.default_rng(8)
+    dense = rng.random((9, 20)) * (rng.random((9, 20)) < 0.4)
+    at = [np.flatnonzero(x) for x in dense]
+    sizes = np.concatenate([[0], np.cumsum([len(x) for x in at])])
+    column = V.sparse_array(sizes, np.concatenate(at), np.concatenate([x[i] for x, i in zip(dense, at)]), np.zeros(9, bool))
+    block = retrieve.ProposalBlock(pa.array(range(4)), column.slice(0, 4))
+    assert block.matrix is None
+    assert np.allclose(block.scores(V.Rows(column), 2, 9), dense[2:] @ dense[:4].T, atol=1e-8)
+
+
+def test_dense_tickets_are_not_copied_per_thousand_proposals(spark):
+    x = np.random.default_rng(3).normal(size=(900, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = vector_frame(spark, x)
+    asked = rows.select(F.col("pos").alias("proposal_id"), F.col("vec").alias("query_vec"))
+    found = retrieve.retrieve(asked, rows, 3, 0.2, broadcast_proposals=10)
+    assert "sequence(0, 89" not in found._jdf.queryExecution().analyzed().toString()
+    best = {(r["proposal_id"], r["rank"]): r["pos"] for r in found.where("proposal_id < 20").collect()}
+    sims = np.round(x @ x.T, V.SIM_DIGITS)
+    assert all(best[(i, 1)] == max(np.flatnonzero(sims[i] == sims[i].max())) for i in range(20))
+
+
+def test_long_batches_are_worked_on_in_parts():
+    import pyarrow as pa
+
+    seen = []
+
+    def twice(x):
+        seen.append(len(x))
+        return pa.array([2 * v for v in x.to_pylist()], pa.int64())
+
+    assert V.in_parts(twice, pa.array(range(1300))).to_pylist() == [2 * v for v in range(1300)]
+    assert max(seen) <= 512 and len(V.in_parts(twice, pa.array([], pa.int64()))) == 0
+
+
+def test_rows_are_dealt_to_pivots_in_small_pieces(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 4))
+    df = vector_frame(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    dealt, original = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **k: dealt.append(f) or original(self, f, *a, **k))
+    pairs.dense_pairs(df, 0.1, vec="vec", cell_rows=50, max_pivots=8)
+    batch = df.selectExpr("pos as id", "vec").toArrow().combine_chunks().to_batches()
+    sizes = [b.num_rows for b in dealt[0](iter(batch))]
+    assert len(sizes) >= 3 and max(sizes) <= 256 * 8
+
+
+def test_average_linkage_of_a_table_takes_a_forest_of_edges(spark, monkeypatch):
+    asked, original = [], cluster.dense_pairs
+    monkeypatch.setattr(cluster, "dense_pairs", lambda *a, **k: asked.append(k.get("forest")) or original(*a, **k))
+    x = np.repeat(np.eye(3), 4, axis=0) + np.random.default_rng(6).normal(scale=0.01, size=(12, 3))
+    got = cluster.cluster_corpus(vector_frame(spark, x / np.linalg.norm(x, axis=1, keepdims=True)), 0.2, vec="vec", local_rows=3).collect()
+    assert asked == [True] and {r["pos"]: r["cluster"] for r in got} == {i: i // 4 * 4 for i in range(12)}
