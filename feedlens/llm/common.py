@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.session import materialise
+from feedlens.session import materialise, small_batches
 
 __all__ = ["forest", "materialise", "parts_of", "shared_folder", "small_batches", "stored", "words_of"]
 
@@ -40,23 +39,6 @@ def stored(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """While it lasts, jobs hand rows to Python in Arrow batches of at most ``rows``: whole texts are held
-    twice, by the executor and by its worker, so the default of 10,000 rows may take hundreds of MB.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if 0 < int(before) <= rows:
-        yield
-        return
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The rows of a task in small batches, so that a worker turns few texts into Python objects at a time."""
     for batch in batches:

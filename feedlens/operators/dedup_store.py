@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.constants import DEDUP_THRESHOLD
-from feedlens.functions import vectors as V
 from feedlens.functions.text import embedding_text, ticket_key
 from feedlens.operators.components import connected_components
 from feedlens.operators.encode import TextEncoder
-from feedlens.operators.pairs import BLOCK_ROWS, HOT_FEATURE, PREFIX, _candidates, _prefixes, _verified
-from feedlens.session import materialise, spread
+from feedlens.operators.pairs import BLOCK_ROWS, HOT_FEATURE, RANKED, _dealt, _met, _packed, _ranked
+from feedlens.session import materialise, small_batches, spread
 
 
-def sparse_delta_pairs(
-    old: DataFrame, old_prefixes: DataFrame, new: DataFrame, new_prefixes: DataFrame, threshold: float, width: int,
-    hot_feature: int = HOT_FEATURE, cell_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Edges ``(a, b)`` between new rows ``(id, vec)`` and any rows; pairs of two old rows aren't looked at.
+def sparse_delta_pairs(old: DataFrame, new: DataFrame, threshold: float, width: int, hot_feature: int = HOT_FEATURE, cell_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges ``(a, b)`` between new rows of ``pairs._ranked`` and any rows; pairs of two old rows aren't looked at.
 
     The same bounds as in ``pairs.sparse_pairs``: prefixes depend on the encoder alone, so those of the old rows are read from
-    their table, and only those with a feature that the new rows have. Blocks of new rows meet blocks of any rows in cells,
+    their table, and only those with a feature that the new rows have. Chunks of new rows meet chunks of any rows in cells,
     which pass on a spanning forest of their edges.
     """
-    if old_prefixes.isEmpty():
-        prefixes = new_prefixes.withColumn("inner", F.lit(True))
-    else:
-        asked = new_prefixes.select(F.explode("f").alias("g")).distinct()
-        reached = old_prefixes.select("id", F.explode("f").alias("g")).join(asked, "g", "left_semi").select("id").distinct()
-        reached = old_prefixes.join(reached, "id", "left_semi").withColumn("inner", F.lit(False))
-        prefixes = materialise(new_prefixes.withColumn("inner", F.lit(True)).unionByName(reached))
-    candidates = materialise(_candidates(prefixes, threshold, width, hot_feature, cell_rows))
-    rows = new.select("id", "vec").unionByName(old.select("id", "vec"))
-    return _verified(candidates, rows, threshold, width, True).select("a", "b")
+    asked = np.zeros(width, bool)  # one bit per feature of the encoder, as its own state has one count
+    asked[new.select(F.explode(F.slice("f", F.lit(1), F.col("kept"))).alias("f")).distinct().toArrow().column("f").to_numpy()] = True
+    with small_batches(new.sparkSession):
+        fresh = materialise(_packed(new, True, cell_rows))
+        reached = materialise(_packed(old, False, cell_rows, asked))
+    chunks = _dealt(fresh).unionByName(_dealt(reached).withColumn("chunk", -F.col("chunk") - 1))
+    return _met(chunks, threshold, width, hot_feature, True).select("a", "b")
 
 
 class DedupStore:
@@ -48,7 +42,7 @@ class DedupStore:
 
     TABLES = {
         "positions": "pos bigint, text_hash string", "texts": "text_hash string, key string, canon bigint, component bigint",
-        "prefixes": PREFIX, "moved": "root bigint, component bigint",
+        "vectors": RANKED, "moved": "root bigint, component bigint",
         "done": "last bigint",
     }
 
@@ -56,10 +50,9 @@ class DedupStore:
         if not 0.0 < threshold <= 1.0:
             raise ValueError(f"the threshold of a store lies above 0 and at most at 1, got {threshold}")
         self.spark, self.path, self.encoder, self.threshold = spark, path, encoder, threshold
-        self._vectors = f"id bigint, vec {V.SPARSE}"
 
     def _read(self, name: str, batches: int) -> DataFrame:
-        schema = f"{self.TABLES.get(name, self._vectors)}, batch int"
+        schema = f"{self.TABLES[name]}, batch int"
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
             return self.spark.createDataFrame([], schema)
@@ -93,10 +86,12 @@ class DedupStore:
         first = same_key.groupBy("key").agg(F.min("canon").alias("low"))
         exact = fresh.join(first, "key").where("canon <> low").select(F.col("canon").alias("a"), F.col("low").alias("b"))
         rows = tickets.join(fresh.select(F.col("canon").alias("pos")), "pos", "left_semi")
-        vectors = self.encoder.encode(rows, embedding_text(topic, message)).select(F.col("pos").alias("id"), "vec")
-        vectors = materialise(vectors.where("vec is not null"))
-        prefixes = materialise(_prefixes(vectors, self.encoder, self.threshold))
-        near = sparse_delta_pairs(self._read("vectors", batch), self._read("prefixes", batch).drop("batch"), vectors, prefixes, self.threshold, self.encoder.num_features)
+        vectors = rows.select(F.col("pos").alias("id"), self.encoder.column(embedding_text(topic, message)).alias("vec"))
+        with small_batches(self.spark):
+            self._write("vectors", _ranked(vectors, self.encoder, self.threshold), batch)
+        stored = self._read("vectors", batch + 1)
+        old, new = (stored.where(which).drop("batch") for which in (F.col("batch") < batch, F.col("batch") == batch))
+        near = sparse_delta_pairs(old, new, self.threshold, self.encoder.num_features)
 
         edges = materialise(exact.unionByName(near))
         moved = self._moved(batch)
@@ -117,8 +112,8 @@ class DedupStore:
         again = again.select("root", F.coalesce("to", "component").alias("component"))
         joined = roots.select("root").distinct().join(parts.select(F.col("node").alias("root"), "component"), "root")
         for name, table in (
-            ("positions", keys.select("pos", "text_hash")), ("texts", labelled), ("vectors", vectors),
-            ("prefixes", prefixes), ("moved", again.unionByName(joined)),
+            ("positions", keys.select("pos", "text_hash")), ("texts", labelled),
+            ("moved", again.unionByName(joined)),
         ):
             self._write(name, table, batch)
         high = last if span["high"] is None else span["high"]

@@ -194,6 +194,22 @@ def test_pairs_that_only_meet_stay_in_their_cell(spark, monkeypatch):
         assert want <= left and len(left) < meet / 4, (len(want - left), len(left), meet)
 
 
+def test_vectors_meet_without_being_copied(spark, monkeypatch):
+    """Chunks are read where they lie: no step of the join shuffles, however many chunks there are."""
+    df = spark.createDataFrame(list(enumerate(TEXTS * 2)), "pos bigint, t string").repartition(4)
+    encoder = encode.fit_text_encoder(df, "t")
+    coded = encoder.encode(df, "t").select("pos", "vec").localCheckpoint()
+    table = coded.where("vec is not null").toArrow()
+    rows, pos = V.Rows(table.column("vec")), table.column("pos").to_numpy()
+    want = {(int(pos[i]), int(pos[j])) for i, j in zip(*np.nonzero(V.similarity(rows, rows) >= 0.6)) if pos[i] < pos[j]}
+    plans, plain = [], pairs.materialise
+    monkeypatch.setattr(pairs, "materialise", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or plain(x))
+    monkeypatch.setattr(pairs, "BLOCK_ENTRIES", 60)
+    found = pairs.sparse_pairs(coded, encoder, 0.6)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and not [p for p in plans if "Exchange" in p]
+
+
 def test_sparse_proposals_keep_no_matrix_and_score_in_column_pieces(monkeypatch):
     import pyarrow as pa
 
