@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +49,11 @@ def build_index(tickets: DataFrame, vec: str = "vec", order: str = "pos", block_
     filled by the weight of that feature, so none grows with the table and the first hold the
     highest impacts. Tickets without entries are in no block.
     """
-    listed = entries(tickets, vec, F.col(order).alias("pos")).where("value <> 0")
-    heads = listed.groupBy("pos").agg(F.max(F.struct(F.abs("value").alias("impact"), "feature")).alias("head"))
+    idx, val = tickets.schema[vec].dataType.names
+    rows = materialise(tickets.where(F.col(vec).isNotNull()).select(F.col(order).alias("pos"), F.col(vec).alias("vec")))
+    found = F.filter(F.arrays_zip(F.col(f"vec.{idx}").alias("feature"), F.col(f"vec.{val}").alias("value")), lambda e: e["value"] != 0)
+    own = F.array_max(F.transform(found, lambda e: F.struct(F.abs(e["value"]).alias("impact"), e["feature"].alias("feature"))))
+    heads = rows.select("pos", own.alias("own")).where("own is not null").groupBy("pos").agg(F.max("own").alias("head"))
     heads = materialise(heads.select("pos", F.col("head.feature").alias("head"), F.col("head.impact").alias("impact")))
     # ranges of impact per feature: the sketch of its quantiles has a bounded size for any number of tickets
     quantiles = F.percentile_approx("impact", [i / 64 for i in range(65)], 1000)
@@ -61,7 +64,9 @@ def build_index(tickets: DataFrame, vec: str = "vec", order: str = "pos", block_
     fine = F.pmod(F.xxhash64("pos"), per_band)
     part = F.when(F.col("parts") <= 65, F.floor(band * F.col("parts") / 66)).otherwise(band * per_band + fine)
     dealt = heads.join(cuts, "head").select("pos", (F.col("head").cast("bigint") * F.lit(1 << 31) + part).alias("block"))
-    postings = materialise(listed.join(dealt, "pos").select("feature", "block", "pos", "value"))
+    # whole vectors travel, entries only within a task; a block lies in one partition, where its bounds are complete before the shuffle
+    placed = rows.join(dealt, "pos").repartition("block")
+    postings = materialise(entries(placed, "vec", "block", "pos").where("value <> 0").select("feature", "block", "pos", "value"))
     bounds = materialise(postings.groupBy("feature", "block").agg(F.min("value").alias("low"), F.max("value").alias("high")))
     blocks = materialise(dealt.groupBy("block").agg(F.count("*").alias("size")))
     return ImpactIndex(postings, bounds, blocks)
@@ -90,6 +95,9 @@ def indexed_top_k(
     if threshold <= 0:
         raise ValueError("tickets without a common feature are in no posting list: the threshold must be above 0")
     query = materialise(entries(proposals, query_vec, "proposal_id").withColumnRenamed("value", "weight").where("weight <> 0"))
+    # at most as many as the vectors have dimensions: the rest of the index is read once and not shuffled
+    asked = F.broadcast(query.select("feature").distinct())
+    index = replace(index, postings=materialise(index.postings.join(asked, "feature", "left_semi")), bounds=index.bounds.join(asked, "feature", "left_semi"))
     most = F.greatest(F.lit(0.0), F.col("weight") * F.col("high"), F.col("weight") * F.col("low"))
     reach = query.join(index.bounds, "feature").groupBy("proposal_id", "block").agg((F.sum(most) + SLACK).alias("bound"))
     reach = reach.where(F.col("bound") >= threshold).join(index.blocks, "block")

@@ -62,3 +62,17 @@ def test_few_tickets_are_scored_and_plans_have_no_cross_join(spark):
     scored = found.work.agg(F.sum("scored")).first()[0] or 0
     every = proposals.count() * tickets.where("vec is not null").count()
     assert scored < every / 2, (scored, every)
+
+
+def test_entries_are_not_grouped_to_find_the_heaviest(spark, monkeypatch):
+    """One row per ticket is shuffled for the heads and the blocks, not one per entry; a block lies in one partition."""
+    rng = random.Random(3)
+    right = spark.createDataFrame([(i, vector(rng, 40, False)) for i in range(300)], f"pos long, vec {SCHEMA}").repartition(4)
+    plans, plain = [], impact_index.materialise
+    monkeypatch.setattr(impact_index, "materialise", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or plain(x))
+    index = impact_index.build_index(right, block_rows=8)
+    generated = [p for p in plans if "Generate" in p]
+    # above the explode nothing is exchanged
+    assert len(generated) == 1 and "Exchange" not in generated[0].split("Generate")[0]
+    parts = index.postings.withColumn("part", F.spark_partition_id()).groupBy("block").agg(F.count_distinct("part").alias("n"))
+    assert parts.where("n > 1").isEmpty()
