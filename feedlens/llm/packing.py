@@ -18,7 +18,7 @@ WINDOW = 2048
 #: Leftover pieces packed together; each such group ends with at most a few open windows.
 GROUP_PIECES = 2048
 #: Bytes of each of the two generations of a worker's memory of encoded words, objects and tables included. Longer words aren't kept.
-MEMORY_BYTES = 32 * 1024 * 1024
+MEMORY_BYTES = 64 * 1024 * 1024
 MEMORY_BYTES_OF_WORD = 48
 #: What an entry takes beside the bytes of its word and ids: two objects and its place in a table.
 ENTRY_BYTES = 170
@@ -65,6 +65,8 @@ class WordEncoder:
     #: A stop or comma between a letter or digit and white space is a word of its own. The sign comes first, so that
     #: the search goes from sign to sign.
     STOP = re.compile(rb"[.,](?=[\x20\x09-\x0d]|$)(?<=[a-z0-9][.,])")
+    #: Letters a-z with other signs of ASCII behind them.
+    TAIL = re.compile(rb"([a-z]+)([!-/:-@[-`{-~]+)$")
 
     def __init__(self, path: str, end_id: int, whole_texts: bool = False):
         from tokenizers import Tokenizer
@@ -77,7 +79,7 @@ class WordEncoder:
         # the printable characters that stand for the bytes of a word inside the model
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         latin = (chr(c) for c in range(0x250))
-        self.signs = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in latin if c.isalpha()}
+        self.signs = {c: byte_level.pre_tokenize_str(c)[0][0] for c in latin if c.isalpha()}
         self.tokenize = self.tokenizer.model.tokenize
 
     def _encode_text(self, text: str) -> bytes:
@@ -88,10 +90,13 @@ class WordEncoder:
         if raw.isalpha():  # a-z alone stand for themselves
             signs = word
         else:
-            low = word.lower()
-            if not low.isalpha() or max(low) >= "\u0250":
+            cut = self.TAIL.match(raw)
+            if cut and not self.whole_texts:  # letters meet signs here, so both sides are words
+                return self.known[cut[1]] + self.known[cut[2]]
+            try:
+                signs = "".join([self.signs[c] for c in word.lower()])  # such letters compose with nothing: straight to the model
+            except KeyError:
                 return self._encode_text(word)
-            signs = low.translate(self.signs)  # such letters compose with nothing: straight to the model
         return array("I", [t.id for t in self.tokenize(signs)]).tobytes()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:

@@ -264,6 +264,18 @@ def test_word_memory_is_bounded_and_changes_nothing():
     assert memory[long] == long and long not in memory
 
 
+def test_words_with_signs_behind_are_cut_and_remembered(monkeypatch):
+    texts = ["ended,### once***! plain ended,###", "ended*** 'tis it's don'' ended's,", "\u00c8tre \u0130ki r\u00e9\u00e7u,### \u4e00x, a1,## x<|", "ab\u0301c,, x\u00e9\u00e9 \u01f0\u0323"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.WordEncoder(path, 1)
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(texts)] == want
+    whole = []
+    monkeypatch.setattr(encoder, "_encode_text", lambda text: whole.append(text) or b"")
+    list(encoder.encode(["fresh,### fresh*** \u00e9t\u00e9fresh"]))
+    assert not any("fresh" in text for text in whole)  # only the signs go through the whole tokenizer
+
+
 def test_tightest_window_equals_a_plain_search():
     rng = random.Random(5)
     lengths = sorted((rng.randrange(1, 64) for _ in range(400)), reverse=True)
