@@ -23,6 +23,10 @@ BATCH_ROWS, BATCH_BYTES = 64, 1 << 20
 GROUP_PAIRS, HELD_PAIRS = 1 << 16, 1 << 20
 #: Bytes of pairs that a writing task holds before it writes them.
 ROW_GROUP = 16 << 20
+#: Token ends compared singly before slices are.
+SINGLE_STEPS = 8
+#: Ids whose bytes are compared with the text at a time.
+CHECKED_IDS = 1 << 14
 #: Id pairs sent to all tasks; the rarer ones are joined through a shuffle.
 FREQUENT_PAIRS = 1 << 18
 
@@ -92,8 +96,8 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """Places of the A and of the B tokens that end inside a group; every other token ends one.
 
     ``a`` and ``b`` are the byte offsets at which the tokens of either side end, rising and with
-    the same last one. While the ends agree at the current shift between the two indices, slices
-    of doubling length are compared and jumped; in the slice that differs the length is halved
+    the same last one. While the ends agree at the current shift between the two indices, a few are
+    compared singly, then slices of doubling length are compared and jumped; in the slice that differs the length is halved
     down to the first difference. There the side that ends first moves on until both end
     together, which makes one irregular group and sets the new shift.
     """
@@ -101,16 +105,26 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     inner_a: list[int] = []
     inner_b: list[int] = []
     while True:
-        step = 1
-        while a[i : i + step] == b[i + shift : i + shift + step]:
-            i += step
+        # one by one at first, as most runs between irregular groups are short
+        j = i + shift
+        for _ in range(SINGLE_STEPS):
+            if a[i] != b[j]:
+                break
+            i += 1
+            j += 1
             if i >= n:
                 return inner_a, inner_b
-            step *= 2
-        while step > 1:
-            step //= 2
-            if a[i : i + step] == b[i + shift : i + shift + step]:
+        else:
+            step = 1
+            while a[i : i + step] == b[i + shift : i + shift + step]:
                 i += step
+                if i >= n:
+                    return inner_a, inner_b
+                step *= 2
+            while step > 1:
+                step //= 2
+                if a[i : i + step] == b[i + shift : i + shift + step]:
+                    i += step
         j = i + shift
         end_a, end_b = a[i], b[j]
         while end_a != end_b:
@@ -192,15 +206,39 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, size_a: np.nd
     return found.total()
 
 
+class JoinedPieces:
+    """The bytes of all ids of a tokenizer behind one another."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    def give(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the joined bytes of the ids are ``raw``."""
+        done = 0
+        for at in range(0, len(ids), CHECKED_IDS):
+            part = ids[at : at + CHECKED_IDS]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            place = np.repeat(self.starts[part] - ends + sizes, sizes)
+            place += np.arange(len(place))
+            if self.bytes[place].tobytes() != raw[done : done + len(place)]:
+                return False
+            done += len(place)
+        return done == len(raw)
+
+
 class Aligner:
     """Both tokenizers of a worker with what is looked up per id."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteTokenizer(path_a), PieceTokenizer(path_b)
-        self.bytes_a, self.bytes_b = (np.array([len(p) for p in t.pieces], dtype=np.int64) for t in (self.a, self.b))
-        # an id as it stands in the written groups, first inside a side and then at its end
+        self.joined_a, self.joined_b = JoinedPieces(self.a.pieces), JoinedPieces(self.b.pieces)
+        self.bytes_a, self.bytes_b = self.joined_a.sizes, self.joined_b.sizes
+        # an id as it stands in the written groups, first inside a side and then at its end; shorter ones are filled up with zeros
         self.written_a, self.written_b = (
-            np.array([f"{i}{sign}".encode() for sign in ("," + last) for i in range(len(t.pieces))], dtype=object) for t, last in ((self.a, "|"), (self.b, ";"))
+            np.array([f"{i}{sign}".encode() for sign in ("," + last) for i in range(len(t.pieces))], dtype="S8").view("<u8") for t, last in ((self.a, "|"), (self.b, ";"))
         )
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple]:
@@ -210,9 +248,9 @@ class Aligner:
     def _row(self, text: str) -> tuple:
         ids_a, ids_b = self.a.encode(text), self.b.encode(text)
         raw = b" " + text.encode()
-        if any(b"".join([pieces[i] for i in ids]) != raw for pieces, ids in ((self.a.pieces, ids_a), (self.b.pieces, ids_b))):
-            return NO_TOKENS
         a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
+        if not self.joined_a.give(a, raw) or not self.joined_b.give(b, raw):
+            return NO_TOKENS
         inner_a, inner_b = align(np.cumsum(self.bytes_a[a]).tolist(), np.cumsum(self.bytes_b[b]).tolist())
         groups = *group_ends(len(a), inner_a), *group_ends(len(b), inner_b)
         keys, links = linked_pairs(a, b, *groups)
@@ -226,10 +264,10 @@ class Aligner:
         # an A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its own group too
         at_a = np.arange(len(a)) + np.repeat(ends_b - size_b, size_a)
         at_b = np.arange(len(b)) + np.repeat(ends_a, size_b)
-        written = np.empty(len(a) + len(b), dtype=object)
+        written = np.empty(len(a) + len(b), dtype="<u8")
         written[at_a] = self.written_a[a + last_a]
         written[at_b] = self.written_b[b + last_b]
-        return hashlib.sha256(b"".join(written.tolist())[:-1]).hexdigest()
+        return hashlib.sha256(written.tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 NO_TOKENS = (0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))

@@ -180,3 +180,30 @@ def test_a_long_irregular_group_costs_its_distinct_pairs():
     whole_a, whole_b = np.array([50_000]), np.array([40_000])
     keys, links = alignment.linked_pairs(a, b, whole_a, whole_a, whole_b, whole_b)
     assert len(keys) == 6 and links.sum() == 50_000 * 40_000
+
+
+def test_bytes_of_ids_are_compared_slice_by_slice(monkeypatch):
+    pieces = [b"", b"a", b"bc", b"\xc3", b"\xa9d", b" "]
+    joined = alignment.JoinedPieces(pieces)
+    rng = random.Random(4)
+    for size in (1, 3, 1 << 14):
+        monkeypatch.setattr(alignment, "CHECKED_IDS", size)
+        for _ in range(50):
+            ids = [rng.randrange(6) for _ in range(rng.randrange(12))]
+            raw = b"".join(pieces[i] for i in ids)
+            assert joined.give(np.array(ids, dtype=np.int64), raw)
+            assert not joined.give(np.array(ids, dtype=np.int64), raw + b"x")
+            if raw:
+                assert not joined.give(np.array(ids, dtype=np.int64), raw[:-1]) and not joined.give(np.array(ids, dtype=np.int64), b"?" + raw[1:])
+
+
+@pytest.mark.parametrize("single", [1, 2, 8, 50])
+def test_alignment_is_the_same_however_many_ends_are_compared_singly(monkeypatch, single):
+    monkeypatch.setattr(alignment, "SINGLE_STEPS", single)
+    rng = random.Random(single)
+    for _ in range(300):
+        last = rng.randrange(1, 120)
+        both = [x for x in range(1, last) if rng.random() < 0.8]
+        a, b = (sorted({x for x in both if rng.random() < 0.95} | {last}) for _ in range(2))
+        ends = set(a) & set(b)
+        assert alignment.align(a, b) == tuple([i for i, x in enumerate(side) if x not in ends] for side in (a, b))
