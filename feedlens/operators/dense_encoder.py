@@ -1,8 +1,9 @@
 """Text -> dense unit vector: truncated SVD of the TF-IDF rows by a distributed randomised range finder.
 
-The rows meet a seeded Gaussian block, a tree of QR factors over the partitions orthonormalises
-the products, and a second pass projects the rows on them. What leaves the tasks has a size that
-depends on the number of features and dimensions alone, so the fitted basis can be broadcast.
+The rows meet a seeded Gaussian block. One pass gives a tree of QR factors over the partitions,
+which orthonormalises the products, and the rows times the products, which the factor turns into
+the projection. What leaves the tasks has a size that depends on the number of features and
+dimensions alone, so the fitted basis can be broadcast.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from feedlens.session import materialise, spread
 
 #: Features of the encoder below; with the dimensions they set the size of the basis (16 MB by default).
 DENSE_FEATURES = 1 << 16
-#: Texts multiplied at a time, as a dense matrix over the features they have.
-CHUNK_ROWS = 64
+#: Products that are stacked before they are factored.
+FACTOR_ROWS = 1024
 #: Partial results that one task of the tree combines.
 FAN_IN = 32
 #: Features of one block of a partial projection.
@@ -47,8 +48,8 @@ class DenseEncoder:
             basis = shared.value
             out = np.zeros((len(vec), basis.shape[1]))
             some = np.flatnonzero(~V.flat(vec).is_null().to_numpy(zero_copy_only=False))
-            for rows, features, values in _chunks(V.flat(vec).take(pa.array(some))):
-                out[some[rows]] = values @ basis[features]
+            for row, (feature, weight) in zip(some, _sparse_rows(V.flat(vec).take(pa.array(some))), strict=True):
+                out[row] = weight @ basis[feature]
             length = np.linalg.norm(out, axis=1)
             good = length > 1e-12
             out[good] /= length[good, None]
@@ -81,27 +82,24 @@ def fit_dense_encoder(
     singular = np.zeros(0)
     for _ in range(max(1, rounds)):
         shared = context.broadcast(block.astype(np.float32))
-        factor = tree_r(rows, shared)
+        factor, product = sketch(rows, shared, num_features)
         if factor is None:
             block = np.zeros((num_features, 0))
             break
         # Q = Y W / s has orthonormal columns; directions without extent are left out
         _, s, wt = np.linalg.svd(factor, full_matrices=False)
         keep = s > s[0] * 1e-10
-        projected = project_rows(rows, shared, wt[keep].T / s[keep], num_features)
-        block, singular, _ = np.linalg.svd(projected, full_matrices=False)
+        block, singular, _ = np.linalg.svd(product @ (wt[keep].T / s[keep]), full_matrices=False)
     kept = (singular > singular[:1].max(initial=0.0) * 1e-6)[:dims]
     basis = np.ascontiguousarray(block[:, :dims][:, kept]) if len(kept) else np.zeros((num_features, 1))
     return DenseEncoder(base, context.broadcast(basis.astype(np.float32)), singular[:dims][kept])
 
 
-def _chunks(vec: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers, features and values (rows x features) of a few sparse rows at a time."""
+def _sparse_rows(vec: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and weights of each row."""
     rows = V.Rows(vec)
-    for start in range(0, rows.n, CHUNK_ROWS):
-        stop = min(start + CHUNK_ROWS, rows.n)
-        features = np.unique(rows.idx[rows.offsets[start] : rows.offsets[stop]])
-        yield np.arange(start, stop), features, rows.block(start, stop, V.FeatureMap(features), len(features))
+    for start, stop in zip(rows.offsets[:-1].tolist(), rows.offsets[1:].tolist(), strict=True):
+        yield rows.idx[start:stop], rows.w[start:stop]
 
 
 _PART = "part bigint, block int, rows int, cells binary"
@@ -121,7 +119,8 @@ def _tree(parts: DataFrame, combine) -> list[tuple[int, np.ndarray]]:
 
     def merged(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")  # one order, whatever came first
-        return pa.Table.from_batches([_part(table.column("part")[0].as_py() // FAN_IN, table.column("block")[0].as_py(), combine(_matrices(table)))])
+        block = table.column("block")[0].as_py()
+        return pa.Table.from_batches([_part(table.column("part")[0].as_py() // FAN_IN, block, combine(block, _matrices(table)))])
 
     parts = materialise(parts)
     while parts.groupBy("block").count().where("count > 1").limit(1).count():
@@ -131,39 +130,40 @@ def _tree(parts: DataFrame, combine) -> list[tuple[int, np.ndarray]]:
     return list(zip(done.column("block").to_pylist(), _matrices(done), strict=True))
 
 
-def tree_r(rows: DataFrame, shared: Broadcast) -> np.ndarray | None:
-    """The R factor of all rows times the block: each task folds its rows into one, the tree stacks and factors those."""
+def sketch(rows: DataFrame, shared: Broadcast, num_features: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """The R factor of Y, which is all rows times the block, and the rows transposed times Y: features x columns.
 
-    def fold(batches):
-        from pyspark import TaskContext
-
-        factor = np.zeros((0, shared.value.shape[1]))
-        for batch in batches:
-            for _, features, values in _chunks(batch.column(0)):
-                factor = np.linalg.qr(np.concatenate((factor, values @ shared.value[features])), mode="r")
-        if len(factor):
-            yield _part(TaskContext.get().partitionId(), 0, factor)
-
-    found = _tree(rows.mapInArrow(fold, _PART), lambda parts: np.linalg.qr(np.concatenate(parts), mode="r"))
-    return found[0][1] if found else None
-
-
-def project_rows(rows: DataFrame, shared: Broadcast, whiten: np.ndarray, num_features: int) -> np.ndarray:
-    """Rows transposed times Q, where Q is rows times the block times ``whiten``: features x columns."""
+    Each task folds its rows into one factor and one product; the tree stacks and factors the factors and adds the products.
+    """
+    factors = -1
 
     def fold(batches):
         from pyspark import TaskContext
 
-        total = np.zeros((num_features, whiten.shape[1]))
+        part, block = TaskContext.get().partitionId(), shared.value
+        factor, held = np.zeros((0, block.shape[1])), []
+        total = np.zeros((num_features, block.shape[1]))
         for batch in batches:
-            for _, features, values in _chunks(batch.column(0)):
-                total[features] += values.T @ (values @ shared.value[features] @ whiten)
-        for block in range(0, num_features, BLOCK_FEATURES):
-            part = total[block : block + BLOCK_FEATURES]
-            if part.any():
-                yield _part(TaskContext.get().partitionId(), block, part)
-
-    out = np.zeros((num_features, whiten.shape[1]))
-    for block, matrix in _tree(rows.mapInArrow(fold, _PART), lambda parts: np.sum(parts, axis=0)):
-        out[block : block + len(matrix)] = matrix
-    return out
+            for feature, weight in _sparse_rows(batch.column(0)):
+                held.append(weight @ block[feature])
+                total[feature] += np.outer(weight, held[-1])
+                if len(held) == FACTOR_ROWS:
+                    factor, held = np.linalg.qr(np.vstack((factor, *held)), mode="r"), []
+        if held:
+            factor = np.linalg.qr(np.vstack((factor, *held)), mode="r")
+        if len(factor):
+            yield _part(part, factors, factor)
+        for at in range(0, num_features, BLOCK_FEATURES):
+            if total[at : at + BLOCK_FEATURES].any():
+                yield _part(part, at, total[at : at + BLOCK_FEATURES])
+
+    def combine(block: int, parts: list[np.ndarray]) -> np.ndarray:
+        return np.linalg.qr(np.concatenate(parts), mode="r") if block == factors else np.sum(parts, axis=0)
+
+    factor, product = None, np.zeros((num_features, shared.value.shape[1]))
+    for block, matrix in _tree(rows.mapInArrow(fold, _PART), combine):
+        if block == factors:
+            factor = matrix
+        else:
+            product[block : block + len(matrix)] = matrix
+    return factor, product

@@ -1,9 +1,14 @@
 """The dense encoder against an exact singular value decomposition, and the comparison of encoders."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from feedlens.functions.runs import word_runs
+from feedlens.functions.text import match_key, words
 from feedlens.operators import dense_encoder, encode, evaluate
 
 WORDS = "login password reset fails crash battery drain dark mode theme search filter slow page export csv invoice payment refund card".split()
@@ -99,3 +104,49 @@ def test_encoders_answer_the_same_queries(spark):
         assert got[name]["queries_evaluated"] == 3
         want = np.mean(rates, axis=0)
         assert np.allclose([got[name][c] for c in ("precision_at_k", "recall_at_k", "mrr", "map")], want, atol=6e-5)
+
+
+ODD_TEXTS = [
+    "", None, "plain words, plain_words 2x", "d\u00e9j\u00e0 vu \u00ab\u00e9t\u00e9\u00bb 3\u00b2 \u00bd \u00d7 \u00f7 \u0130I\u0131", "it\u2019s \u2014 so\u2026", "\u4f60\u597d, \u043c\u0438\u0440 \u0663", "a\u0301b \U0001d7d8\U0001f600z",
+    *("x" * n + " y" + "\u00e9" * n for n in (1, 27, 28, 54, 55, 56, 64, 200)), "".join(chr(c) + "q" for c in range(1, 0x260)), "".join("q" + chr(c) for c in range(0x2000, 0x2070)),
+]
+
+
+def test_features_are_the_digests_of_the_words(spark):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "pos int, text string").coalesce(1)
+    plain, odd = encode.spelled(F.coalesce("text", F.lit("")))
+    rows = df.select(plain.alias("plain"), odd.alias("odd"), words(F.coalesce("text", F.lit(""))).alias("words")).toArrow().combine_chunks()
+    want = [[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1000 for w in found] for found in rows.column("words").to_pylist()]
+    assert 0 < rows.column("odd").null_count < len(want)
+    for start in (0, 2):
+        part = rows.slice(start)
+        offsets, found = encode.features(part.column("plain").combine_chunks(), part.column("odd").combine_chunks(), 1000)
+        assert [found[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want[start:]
+    offsets, found = encode.features(pa.array([], pa.string()), pa.array([], pa.list_(pa.string())))
+    assert offsets.tolist() == [0] and not len(found)
+
+
+def test_a_round_of_the_dense_fit_reads_the_rows_once(spark, monkeypatch):
+    passes = []
+    tree = dense_encoder._tree
+    monkeypatch.setattr(dense_encoder, "_tree", lambda *a: passes.append(1) or tree(*a))
+    dense_encoder.fit_dense_encoder(frame(spark, texts(40)), "text", 4, 6, 3, 1 << 10)
+    assert len(passes) == 3
+
+
+def test_runs_of_words_meet_as_the_words_do(spark):
+    rng = np.random.default_rng(2)
+    signs = ["a", "b", "B,", "c'c", "-", "\u00e9", "x.", "longer" * 12]
+    gaps = [" ", "  ", "\t", "\u00a0", "\u2003", "\x1c", "\n", "\u3000", "\x85"]
+    rows = ["".join(rng.choice(signs) + rng.choice(gaps) for _ in range(rng.integers(0, 14))) for _ in range(60)] + [None, "", "a b c"]
+    df = spark.createDataFrame(list(enumerate(rows)), "pos int, text string")
+    got = df.select("pos", F.split(match_key(F.col("text")), " ").alias("w"), word_runs(F.lower("text"), 3).alias("runs")).collect()
+    seen: dict = {}
+    for r in got:
+        want = {tuple(r["w"][i : i + 3]) for i in range(len(r["w"]) - 2)}
+        assert len(r["runs"]) == len(want)
+        for i in range(len(r["w"]) - 2):
+            seen.setdefault(tuple(r["w"][i : i + 3]), []).append(set(r["runs"]))
+    assert all(set.intersection(*found) for found in seen.values())
+    every = {x for r in got for x in r["runs"]}
+    assert len(every) == len(seen)
