@@ -10,24 +10,25 @@ from feedlens.constants import DEDUP_THRESHOLD
 from feedlens.functions.text import embedding_text, ticket_key
 from feedlens.operators.components import connected_components
 from feedlens.operators.encode import TextEncoder
-from feedlens.operators.pairs import BLOCK_ROWS, HOT_FEATURE, RANKED, _dealt, _met, _packed, _ranked
+from feedlens.operators.pairs import BLOCK_ROWS, HOT_FEATURE, RANKED, _dealt, _met, _packed, _ranked, _rare_ranks
 from feedlens.session import materialise, small_batches, spread
 
 
-def sparse_delta_pairs(old: DataFrame, new: DataFrame, threshold: float, width: int, hot_feature: int = HOT_FEATURE, cell_rows: int = BLOCK_ROWS) -> DataFrame:
+def sparse_delta_pairs(old: DataFrame, new: DataFrame, threshold: float, encoder: TextEncoder, hot_feature: int = HOT_FEATURE, cell_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges ``(a, b)`` between new rows of ``pairs._ranked`` and any rows; pairs of two old rows aren't looked at.
 
     The same bounds as in ``pairs.sparse_pairs``: prefixes depend on the encoder alone, so those of the old rows are read from
     their table, and only those with a feature that the new rows have. Chunks of new rows meet chunks of any rows in cells,
     which pass on a spanning forest of their edges.
     """
-    asked = np.zeros(width, bool)  # one bit per feature of the encoder, as its own state has one count
+    asked = np.zeros(encoder.num_features, bool)  # one bit per feature of the encoder, as its own state has one count
     asked[new.select(F.explode(F.slice("f", F.lit(1), F.col("kept"))).alias("f")).distinct().toArrow().column("f").to_numpy()] = True
+    rare = _rare_ranks(encoder.counts.value, encoder.n_texts, threshold, hot_feature)
     with small_batches(new.sparkSession):
-        fresh = materialise(_packed(new, True, cell_rows))
-        reached = materialise(_packed(old, False, cell_rows, asked))
+        fresh = materialise(_packed(new, True, cell_rows, rare))
+        reached = materialise(_packed(old, False, cell_rows, rare, asked))
     chunks = _dealt(fresh).unionByName(_dealt(reached).withColumn("chunk", -F.col("chunk") - 1))
-    return _met(chunks, threshold, width, hot_feature, True).select("a", "b")
+    return _met(chunks, threshold, encoder.num_features, True).select("a", "b")
 
 
 class DedupStore:
@@ -91,7 +92,7 @@ class DedupStore:
             self._write("vectors", _ranked(vectors, self.encoder, self.threshold), batch)
         stored = self._read("vectors", batch + 1)
         old, new = (stored.where(which).drop("batch") for which in (F.col("batch") < batch, F.col("batch") == batch))
-        near = sparse_delta_pairs(old, new, self.threshold, self.encoder.num_features)
+        near = sparse_delta_pairs(old, new, self.threshold, self.encoder)
 
         edges = materialise(exact.unionByName(near))
         moved = self._moved(batch)

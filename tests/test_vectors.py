@@ -266,3 +266,45 @@ def test_average_linkage_of_a_table_takes_a_forest_of_edges(spark, monkeypatch):
     x = np.repeat(np.eye(3), 4, axis=0) + np.random.default_rng(6).normal(scale=0.01, size=(12, 3))
     got = cluster.cluster_corpus(vector_frame(spark, x / np.linalg.norm(x, axis=1, keepdims=True)), 0.2, vec="vec", local_rows=3).collect()
     assert asked == [True] and {r["pos"]: r["cluster"] for r in got} == {i: i // 4 * 4 for i in range(12)}
+
+
+@pytest.mark.parametrize("held", [1, 2000, 1 << 24])
+def test_chunks_meet_without_a_product_of_rows(spark, monkeypatch, held):
+    """Every two chunks meet once, however many are held at a time, and no row carries two of them."""
+    df = spark.createDataFrame(list(enumerate(TEXTS * 2)), "pos bigint, t string").repartition(3)
+    encoder = encode.fit_text_encoder(df, "t")
+    coded = encoder.encode(df, "t").select("pos", "vec").localCheckpoint()
+    table = coded.where("vec is not null").toArrow()
+    rows, pos = V.Rows(table.column("vec")), table.column("pos").to_numpy()
+    want = sorted(tuple(sorted((int(pos[i]), int(pos[j])))) for i, j in zip(*np.nonzero(V.similarity(rows, rows) >= 0.6)) if pos[i] < pos[j])
+    plans, plain = [], pairs.materialise
+    monkeypatch.setattr(pairs, "materialise", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or plain(x))
+    monkeypatch.setattr(pairs, "BLOCK_ENTRIES", 150)
+    monkeypatch.setattr(pairs, "HELD_BYTES", held)
+    found = pairs.sparse_pairs(coded, encoder, 0.6).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == want
+    assert not [p for p in plans if "CartesianProduct" in p or "NestedLoop" in p]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.85])
+def test_group_norms_bound_what_rare_features_leave_out(threshold):
+    """Candidates hold all pairs at the threshold and few others, whatever counts as rare."""
+    import pyarrow as pa
+
+    rng, width, n = np.random.default_rng(2), 4096, 300
+    x = np.where(rng.random((n, width)) < 0.02, rng.random((n, width)) ** 3, 0.0)
+    x[::5] = x[1::5] + np.where(rng.random((n // 5, width)) < 0.005, 0.3, 0.0)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    row, f = np.nonzero(x)
+    size = np.bincount(row, minlength=n).astype(np.int32)
+    for rare in (0, 1500, width):
+        norms = np.stack([np.sqrt((x[:, rare:][:, np.arange(rare, width) % 64 == g] ** 2).sum(axis=1)) for g in range(64)], axis=1).astype(np.float32)
+        alone = np.bincount(row[f < rare], minlength=n).astype(np.int32)
+        arrays = [np.arange(n), size, size, np.zeros(n), f.astype(np.int32), x[row, f], alone, norms]
+        batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], pairs._ARRAYS)
+        chunk = pairs._Chunk(batch, "", 0)
+        found = [(i, j) for a, b in pairs.candidates(chunk, chunk, True, threshold, width) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        want = {(i, j) for i, j in zip(*(k.tolist() for k in np.nonzero(x @ x.T >= threshold))) if i < j}
+        assert want and want <= set(found) and len(found) == len(set(found))
+        if rare == width:
+            assert len(found) <= len(want) + 2
