@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,29 @@ def entries(rows: DataFrame, vec: str, *keep: str) -> DataFrame:
     return rows.where(F.col(vec).isNotNull()).select(*keep, F.inline(pairs).alias("feature", "value"))
 
 
+def _bounds(batches):
+    """Smallest and largest value of each feature of a block; the entries of a block follow each other."""
+    held, last = [], None
+
+    def found():
+        table = pa.Table.from_batches(held).group_by(["feature", "block"], use_threads=False).aggregate([("value", "min"), ("value", "max")])
+        return table.select(["feature", "block", "value_min", "value_max"]).rename_columns(["feature", "block", "low", "high"]).to_batches()
+
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        turns = np.flatnonzero(np.diff(blocks)) + 1
+        for start, stop in zip([0, *turns], [*turns, len(blocks)], strict=True):
+            if stop == start:
+                continue
+            if held and blocks[start] != last:
+                yield from found()
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = blocks[start]
+    if held:
+        yield from found()
+
+
 def build_index(tickets: DataFrame, vec: str = "vec", order: str = "pos", block_rows: int = BLOCK_ROWS) -> ImpactIndex:
     """Index of sparse ticket vectors; ``order`` is a unique ``bigint`` position.
 
@@ -64,10 +89,12 @@ def build_index(tickets: DataFrame, vec: str = "vec", order: str = "pos", block_
     fine = F.pmod(F.xxhash64("pos"), per_band)
     part = F.when(F.col("parts") <= 65, F.floor(band * F.col("parts") / 66)).otherwise(band * per_band + fine)
     dealt = heads.join(cuts, "head").select("pos", (F.col("head").cast("bigint") * F.lit(1 << 31) + part).alias("block"))
-    # whole vectors travel, entries only within a task; a block lies in one partition, where its bounds are complete before the shuffle
-    placed = rows.join(dealt, "pos").repartition("block")
-    postings = materialise(entries(placed, "vec", "block", "pos").where("value <> 0").select("feature", "block", "pos", "value"))
-    bounds = materialise(postings.groupBy("feature", "block").agg(F.min("value").alias("low"), F.max("value").alias("high")))
+    # whole vectors travel and are kept, entries arise within a task; a block lies in one partition, where its bounds are complete before the shuffle
+    placed = materialise(rows.join(dealt, "pos").repartition("block").sortWithinPartitions("block"))
+    postings = entries(placed, "vec", "block", "pos").where("value <> 0").select("feature", "block", "pos", "value")
+    kinds = {c: postings.schema[c].dataType.simpleString() for c in ("feature", "value")}
+    schema = f"feature {kinds['feature']}, block bigint, low {kinds['value']}, high {kinds['value']}"
+    bounds = materialise(postings.select("feature", "block", "value").mapInArrow(_bounds, schema))
     blocks = materialise(dealt.groupBy("block").agg(F.count("*").alias("size")))
     return ImpactIndex(postings, bounds, blocks)
 

@@ -76,3 +76,16 @@ def test_entries_are_not_grouped_to_find_the_heaviest(spark, monkeypatch):
     assert len(generated) == 1 and "Exchange" not in generated[0].split("Generate")[0]
     parts = index.postings.withColumn("part", F.spark_partition_id()).groupBy("block").agg(F.count_distinct("part").alias("n"))
     assert parts.where("n > 1").isEmpty()
+
+
+def test_vectors_are_kept_instead_of_entries(spark, monkeypatch):
+    """What an index writes per entry are bounds only; the postings of asked features are read from the vectors."""
+    rng = random.Random(7)
+    right = spark.createDataFrame([(i, vector(rng, 40, True)) for i in range(300)], f"pos long, vec {SCHEMA}").repartition(4)
+    kept, plain = [], impact_index.materialise
+    monkeypatch.setattr(impact_index, "materialise", lambda x: kept.append(plain(x)) or kept[-1])
+    index = impact_index.build_index(right, block_rows=8)
+    entries = index.postings.count()
+    assert [df.count() for df in kept if "value" in df.columns] == []
+    want = index.postings.groupBy("feature", "block").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    assert sorted(map(tuple, index.bounds.collect())) == sorted(map(tuple, want.collect())) and index.bounds.count() < entries
