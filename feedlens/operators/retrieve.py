@@ -22,6 +22,8 @@ LEAST_BLOCKS = (8, 4)
 #: Columns of a sparse block that are laid out at a time.
 _COLUMNS = 4096
 _ROWS = 1024
+#: Pairs that reach the floors in a block of rows are computed one by one up to so many times ``k`` per proposal.
+_FEW = 2
 
 
 class ProposalBlock:
@@ -38,6 +40,27 @@ class ProposalBlock:
         self.n, self.rows = rows.n, rows
         self.features = rows.features() if rows.sparse else None
         self.matrix = None if rows.sparse else rows.block(0, rows.n)
+        self.single = None if rows.sparse else np.ascontiguousarray(self.matrix.T, np.float32)
+        self.length = 0.0 if rows.sparse else _longest(self.matrix)
+
+    def reaching(self, rows: V.Rows, start: int, stop: int, floor: np.ndarray, most: int):
+        """Rows, proposals and similarities of dense vectors at or above the floor of the proposal; None if that may be more than ``most``.
+
+        Products in single precision, with what they can lose, tell the few pairs that are computed in double precision.
+        """
+        block = rows.block(start, stop)
+        if block.shape[1] != self.matrix.shape[1]:
+            raise ValueError("vector dimension mismatch")
+        lost = 2 * np.finfo(np.float32).eps * (block.shape[1] + 2) * _longest(block) * self.length + 10.0**-V.SIM_DIGITS
+        if not np.isfinite(lost):
+            return None
+        near = np.flatnonzero(block.astype(np.float32) @ self.single >= (floor - lost).astype(np.float32))
+        if len(near) > most:
+            return None
+        at, q = np.divmod(near, self.n)
+        s = np.round(np.einsum("ij,ij->i", block[at], self.matrix[q]), V.SIM_DIGITS)
+        hit = s >= floor[q]
+        return at[hit], q[hit], s[hit]
 
     def scores(self, rows: V.Rows, start: int, stop: int) -> np.ndarray:
         if rows.sparse:
@@ -59,6 +82,10 @@ class ProposalBlock:
         return codes[:, None] == self.codes[None, :]
 
 
+def _longest(block: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", block, block).max(initial=0.0)))
+
+
 class BestK:
     """Running top-k tickets of each proposal of a block, with their rows."""
 
@@ -72,8 +99,16 @@ class BestK:
         table = table.combine_chunks()
         rows = V.Rows(table.column(self.vec))
         order = table.column(self.order).to_numpy()
+        base = self.rows.num_rows if self.rows is not None else 0
         for start in range(0, rows.n, _ROWS):
             stop = min(start + _ROWS, rows.n)
+            if not rows.sparse and not self.within:  # once the floors are known few pairs reach them
+                few = self.block.reaching(rows, start, stop, self.floor, _FEW * self.k * self.block.n)
+                if few is not None:
+                    at, q, s = few
+                    if len(at):
+                        self._merge(q, s, order[start + at], base + start + at)
+                    continue
             scores = self.block.scores(rows, start, stop)
             if self.within:
                 scores[~self.block.reachable(table.column(self.within).slice(start, stop - start))] = -np.inf
@@ -83,20 +118,20 @@ class BestK:
                 floor = np.maximum(floor, kth)
             at, q = np.nonzero((scores >= floor) & (scores > -np.inf))
             if len(at):
-                self._merge(table, q, scores[at, q], order[start + at], start + at)
+                self._merge(q, scores[at, q], order[start + at], base + start + at)
+        pool = table if self.rows is None else pa.concat_tables([self.rows, table])
+        used, self.at = np.unique(self.at, return_inverse=True)
+        self.rows = pool.take(pa.array(used)).combine_chunks()
 
-    def _merge(self, table: pa.Table, q, s, o, at) -> None:
-        base = self.rows.num_rows if self.rows is not None else 0
+    def _merge(self, q, s, o, at) -> None:
+        """Add pairs; ``at`` numbers the rows held so far and behind them those of the table that is being added."""
         q, s = np.concatenate([self.q, q]), np.concatenate([self.s, s])
-        o, at = np.concatenate([self.o, o]), np.concatenate([self.at, base + at])
+        o, at = np.concatenate([self.o, o]), np.concatenate([self.at, at])
         ranked = np.lexsort((-o, -s, q))
         q, s, o, at = q[ranked], s[ranked], o[ranked], at[ranked]
         first = np.searchsorted(q, q)
         keep = np.arange(len(q)) - first < self.k
         q, s, o, at = q[keep], s[keep], o[keep], at[keep]
-        pool = table if self.rows is None else pa.concat_tables([self.rows, table])
-        used, at = np.unique(at, return_inverse=True)
-        self.rows = pool.take(pa.array(used)).combine_chunks()
         self.q, self.s, self.o, self.at = q, s, o, at
         held = np.bincount(q, minlength=self.block.n)
         last = np.searchsorted(q, np.arange(self.block.n), side="right") - 1

@@ -308,3 +308,24 @@ def test_group_norms_bound_what_rare_features_leave_out(threshold):
         assert want and want <= set(found) and len(found) == len(set(found))
         if rare == width:
             assert len(found) <= len(want) + 2
+
+
+def test_few_dense_pairs_are_computed_in_double_precision(monkeypatch):
+    """Once every proposal holds k tickets, only pairs that single precision can't rule out are computed and ranked; ties stay exact."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieve, "_ROWS", 64)
+    x = unit_rows(640, dim=16, copies=200)
+    queries, k = unit_rows(40, dim=16, copies=0), 4
+    table = pa.table({"vec": pa.array(x.tolist(), pa.list_(pa.float64())), "pos": pa.array(np.arange(640))})
+    block = retrieve.ProposalBlock(pa.array(np.arange(40)), pa.array(queries.tolist(), pa.list_(pa.float64())))
+    whole, plain = [], block.scores
+    monkeypatch.setattr(block, "scores", lambda *a: whole.append(a[1]) or plain(*a))
+    best = retrieve.BestK(block, k, -1.0, "vec", "pos")
+    for at in range(0, 640, 320):
+        best.add(table.slice(at, 320))
+    got = best.result(pa.schema([("proposal_id", pa.int64()), ("similarity", pa.float64()), ("pos", pa.int64())])).to_pylist()
+    sims = np.round(queries @ x.T, 9)
+    want = {(q, int(j), sims[q, j]) for q in range(40) for j in np.lexsort((-np.arange(640), -sims[q]))[:k]}
+    assert {(r["proposal_id"], r["pos"], r["similarity"]) for r in got} == want and len(got) == 160
+    assert whole and len(whole) < 10 / 2, whole
